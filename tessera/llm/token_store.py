@@ -17,8 +17,9 @@ blocks of a frame in step, one table look-up per id.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections import Counter
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -27,20 +28,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, scratch, small_batches, texts
+from tessera.llm.common import forget, map_batches, scratch, texts
 
 #: Ids in a block, least ids in a frame before it is closed, longest code.
 BLOCK, FRAME, MAX_BITS = 1024, 1 << 20, 18
+_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
+#: Bytes above ASCII in the byte alphabet of vocabularies: printable Latin-1 is itself, the rest follows U+0143.
+_BYTES = {b: 256 + 33 + i for i, b in enumerate(range(127, 161))} | {173: 256 + 67}
 NULL_ID = -(2**63)
 #: Entries of a worker's cache of encoded words; beyond it the cache starts anew, which changes no result.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 350_000
 
 
 class WordEncoder:
     """The tokenizers library's encoding of whole texts, remembered by chunk.
 
     Texts are cut at spaces and line feeds, which this vocabulary drops before the merges and across which no piece
-    reaches; each distinct chunk goes through the library once.
+    reaches; each distinct chunk goes through the library once. A Latin word with marks behind it is two pieces, the
+    word in lower case and the marks, so that these are what is remembered longest.
     """
 
     def __init__(self, path: str) -> None:
@@ -54,32 +59,62 @@ class WordEncoder:
         split = next((x for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"), None)
         #: Whether white space is dropped between pieces, as cutting at it needs.
         self.cuts = bool(split and split["behavior"] == "Removed" and split["invert"] and spec["post_processor"] is None and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or set(x["content"]) & set(" \n") for x in spec["added_tokens"]))
+        self.lowers = self.cuts and "Lowercase" in json.dumps(spec["normalizer"])
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, bytes] = {}
-
-    def chunks(self, text: str) -> list[str]:
-        return text.replace("\n", " ").split(" ") if self.cuts else [text]
+        self.array = "H" if self.size <= 1 << 16 else "I"
+        self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _through_library(self, new: set[str]) -> None:
+        """Words go to the library's merges alone: normalised, one pre-token, in the byte alphabet; all else through the whole of it."""
+        if self.lowers:
+            tokenize = self.tokenizer.model.tokenize
+            for w in [w for w in new if _WORD.fullmatch(w) and w.islower()]:
+                letters = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES)
+                self.pieces[w] = array(self.array, [t.id for t in tokenize(letters)]).tobytes()
+            new = new.difference(self.pieces)
+        if new:
+            part = list(new)
+            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.pieces[c] = array(self.array, e.ids).tobytes()
 
     def learn(self, chunks: set[str]) -> None:
-        if len(self.known) >= CACHE_ENTRIES:
-            self.known.clear()
-        new = list(chunks.difference(self.known))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
+        """Put chunks in self.chunks. Of the pieces, those in use since the last turn-over survive it."""
+        if len(self.chunks) >= CACHE_ENTRIES:
+            self.chunks.clear()
+        if len(self.pieces) >= CACHE_ENTRIES:
+            self.old, self.pieces = self.pieces, {}
+        pieces, old, split, new = self.pieces, self.old, [], set()
+        for c in chunks.difference(self.chunks):
+            m = _WORD.fullmatch(c) if self.lowers else None
+            word, marks = (m[1].lower(), m[2]) if m else (c, "")
+            split.append((c, word, marks))
+            for x in (word, marks):
+                if x not in pieces:
+                    if x in old:
+                        pieces[x] = old[x]
+                    else:
+                        new.add(x)
+        self._through_library(new)
+        for c, word, marks in split:
+            self.chunks[c] = pieces[word] + pieces[marks] if marks else pieces[word]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.chunks(t) for t in texts]
-        try:
-            return [b"".join(map(self.known.__getitem__, c)) for c in cut]
-        except KeyError:
-            self.learn(set().union(*cut))
-        return [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        """Ids of each text as little-endian unsigned integers, of 16 bits where the vocabulary allows it."""
+        out: list[bytes] = []
+        for i in range(0, len(texts), 100):
+            cut = [t.replace("\n", " ").split(" ") if self.cuts else [t] for t in texts[i : i + 100]]
+            try:
+                out += [b"".join(map(self.chunks.__getitem__, c)) for c in cut]
+            except KeyError:
+                self.learn(set().union(*cut))
+                out += [b"".join(map(self.chunks.__getitem__, c)) for c in cut]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -171,34 +206,29 @@ class Codec:
         return out.T.reshape(-1)[:n] if left == BLOCK or n <= BLOCK else np.concatenate([out[:, :-1].T.reshape(-1), out[:left, -1]])
 
 
-def count_ids(docs: DataFrame, vocabulary: str, end_id: int) -> np.ndarray:
-    """How often each id occurs over all documents, end marks included. The driver gets an entry per id of the vocabulary."""
-    small_batches(docs.sparkSession)
+def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+    """doc_id and ids (binary, in the encoder's kind) of every whole text, the end mark included."""
 
-    def run(batches):
-        enc, seen, n = encoder(vocabulary), Counter(), 0
-        total = np.zeros(max(enc.size, end_id + 1), np.int64)
+    def make():
+        enc = encoder(vocabulary)
+        end = np.array([end_id], enc.kind).tobytes()
+        return lambda batch: {"doc_id": batch.column("doc_id"), "ids": [x + end for x in enc.encode(batch.column("text").to_pylist())]}
 
-        def flush() -> None:
-            enc.learn(set(seen))
-            ids = [np.frombuffer(enc.known[c], "<u4") for c in seen]
-            if ids:
-                np.add.at(total, np.concatenate(ids), np.repeat(np.fromiter(seen.values(), np.int64, len(seen)), [len(x) for x in ids]))
-            seen.clear()
+    return map_batches(texts(docs), make, "doc_id long, ids binary")
 
+
+def count_ids(coded: DataFrame, kind: str, size: int) -> np.ndarray:
+    """How often each id occurs over all documents. The driver gets an entry per id of the vocabulary."""
+
+    def run(batches):
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            for t in batch.column("text").to_pylist():
-                seen.update(enc.chunks(t))
-            n += batch.num_rows
-            if len(seen) > CACHE_ENTRIES // 4:
-                flush()
-        flush()
-        total[end_id] += n
+            total += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind), minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": used, "n": total[used]})
 
-    got = docs.select("text").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(max([encoder(vocabulary).size, end_id + 1, *(got["id"] + 1)]), np.int64)
+    got = coded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(size, np.int64)
     counts[got["id"]] = got["n"]
     return counts
 
@@ -208,27 +238,33 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, *, end_id: int) ->
 
     A null text is empty and so gives the end mark alone; documents with a null doc_id come first; rows with one
     doc_id all stay, next to each other. Other columns of docs play no part. An empty table gives no frame.
+
+    The texts are encoded once, into a scratch table of plain ids that is deleted when the files are written: the code
+    can't be chosen before all ids are counted.
     """
     spark = docs.sparkSession
-    docs = texts(docs)
-    lengths = code_lengths(count_ids(docs, vocabulary, end_id))
+    enc = encoder(vocabulary)
+    kind = enc.kind
+    plain = scratch(spark, "ids")
+    encoded(docs, vocabulary, end_id).write.option("compression", "zstd").parquet(plain)
+    coded = spark.read.schema("doc_id long, ids binary").parquet(plain)
+    lengths = code_lengths(count_ids(coded, kind, max(enc.size, end_id + 1)))
     spark.createDataFrame([(1, len(lengths), bytearray(lengths.tobytes()))], "version int, size long, lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
     shared = spark.sparkContext.broadcast(lengths)  # a byte per id of the vocabulary
 
     def run(batches):
-        enc, codec, part = encoder(vocabulary), Codec(shared.value), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
+        codec, part = Codec(shared.value), TaskContext.get().partitionId()
         ids, sizes, parts, n, start, frame = [], [], [], 0, 0, 0
 
         def close():
-            payload, checkpoints = codec.encode(np.frombuffer(b"".join(parts), "<u4"))
+            payload, checkpoints = codec.encode(np.frombuffer(b"".join(parts), kind))
             return pa.RecordBatch.from_pydict({"part": [part], "frame": [frame], "start": [start], "n_tokens": [n], "doc_ids": [np.array(ids, "<i8").tobytes()], "doc_tokens": [np.array(sizes, "<u4").tobytes()], "checkpoints": [checkpoints], "payload": [payload]})
 
         for batch in batches:
-            for doc_id, coded in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text").to_pylist()), strict=True):
+            for doc_id, own in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 ids.append(NULL_ID if doc_id is None else doc_id)
-                sizes.append(len(coded) // 4 + 1)
-                parts += [coded, end]
+                sizes.append(len(own) // int(kind[-1]))
+                parts.append(own)
                 n += sizes[-1]
                 if n >= FRAME:
                     yield close()
@@ -237,9 +273,10 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, *, end_id: int) ->
         if ids:
             yield close()
 
-    small_batches(spark)
-    frames = docs.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(run, "part long, frame long, start long, n_tokens long, doc_ids binary, doc_tokens binary, checkpoints binary, payload binary")
+    order = F.col("doc_id").asc_nulls_first()
+    frames = coded.repartitionByRange(order).sortWithinPartitions(order, "ids").mapInArrow(run, "part long, frame long, start long, n_tokens long, doc_ids binary, doc_tokens binary, checkpoints binary, payload binary")
     frames.write.option("compression", "uncompressed").parquet(f"{path}/frames")
+    forget(spark, plain)
 
 
 def read_tokens(spark: SparkSession, path: str, *, keep_ids: bool = False) -> DataFrame:
