@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm import language_id, pii, quality_rules
 from tessera.llm.bpe import bpe_round_trip
 from tessera.llm.common import read
 from tessera.llm.token_store import token_files
@@ -18,6 +19,20 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+def op3_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(read(spark, sf_dir, "documents"), pii.train(pii.labelled(spark)))
+
+
+def op4_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs)).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
+
+
 def op6_bpe_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -27,7 +42,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_bpe_dp, op10_token_files)}
+    return {f.__name__: f for f in (op2_decision_list, op3_pii_crf, op4_language_ppm, op6_bpe_dp, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
