@@ -24,28 +24,34 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import forget, map_batches, scratch, texts
+from tessera.llm.common import forget, map_batches, scratch, small_batches, texts
 
 #: Ids in a block, least ids in a frame before it is closed, longest code.
 BLOCK, FRAME, MAX_BITS = 1024, 1 << 20, 18
-_WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)")
+_WORD = re.compile(r"[a-zß-öø-ÿ]+")
+#: Texts that are encoded as they are: other letters than ASCII's and Latin-1's, marks beside commas or stops, special tokens.
+_ODD = r"[^\x00-\x7FÀ-ÖØ-öø-ÿ]|[^A-Za-z0-9À-ÖØ-öø-ÿ \n][.,]|[.,][^A-Za-z0-9À-ÖØ-öø-ÿ \n]|<\|"
+#: Documents in a batch that is passed on, and bytes of text encoded at a time.
+SLICE, TOGETHER = 1000, 12 << 20
 #: Bytes above ASCII in the byte alphabet of vocabularies: printable Latin-1 is itself, the rest follows U+0143.
 _BYTES = {b: 256 + 33 + i for i, b in enumerate(range(127, 161))} | {173: 256 + 67}
 NULL_ID = -(2**63)
 #: Entries of a worker's cache of encoded words; beyond it the cache starts anew, which changes no result.
-CACHE_ENTRIES = 350_000
+CACHE_ENTRIES = 900_000
 
 
 class WordEncoder:
-    """The tokenizers library's encoding of whole texts, remembered by chunk.
+    """The tokenizers library's encoding of whole texts, by distinct piece.
 
     Texts are cut at spaces and line feeds, which this vocabulary drops before the merges and across which no piece
-    reaches; each distinct chunk goes through the library once. A Latin word with marks behind it is two pieces, the
-    word in lower case and the marks, so that these are what is remembered longest.
+    reaches. A batch's pieces are made and numbered by Arrow; each distinct one goes through the library once and is
+    remembered. Texts of ASCII and Latin-1 letters alone, in which commas and stops stand by themselves, are first set
+    in lower case and cut before these marks too, which changes no id and leaves fewer distinct pieces.
     """
 
     def __init__(self, path: str) -> None:
@@ -59,62 +65,70 @@ class WordEncoder:
         split = next((x for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if x["type"] == "Split"), None)
         #: Whether white space is dropped between pieces, as cutting at it needs.
         self.cuts = bool(split and split["behavior"] == "Removed" and split["invert"] and spec["post_processor"] is None and not any(x["lstrip"] or x["rstrip"] or x["single_word"] or set(x["content"]) & set(" \n") for x in spec["added_tokens"]))
-        self.lowers = self.cuts and "Lowercase" in json.dumps(spec["normalizer"])
+        self.lowers = self.cuts and "Lowercase" in json.dumps(spec["normalizer"]) and all(x["content"].startswith("<|") for x in spec["added_tokens"])
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.array = "H" if self.size <= 1 << 16 else "I"
         self.kind = "<u2" if self.size <= 1 << 16 else "<u4"
-        self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
 
-    def _through_library(self, new: set[str]) -> None:
-        """Words go to the library's merges alone: normalised, one pre-token, in the byte alphabet; all else through the whole of it."""
-        if self.lowers:
-            tokenize = self.tokenizer.model.tokenize
-            for w in [w for w in new if _WORD.fullmatch(w) and w.islower()]:
+    def learn(self, new: list[str]) -> None:
+        """Words go to the library's merges alone: in lower case, one pre-token, in the byte alphabet; all else through the whole of it."""
+        rest = []
+        tokenize = self.tokenizer.model.tokenize
+        for w in new:
+            if self.lowers and _WORD.fullmatch(w):
                 letters = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTES)
                 self.pieces[w] = array(self.array, [t.id for t in tokenize(letters)]).tobytes()
-            new = new.difference(self.pieces)
-        if new:
-            part = list(new)
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.pieces[c] = array(self.array, e.ids).tobytes()
-
-    def learn(self, chunks: set[str]) -> None:
-        """Put chunks in self.chunks. Of the pieces, those in use since the last turn-over survive it."""
-        if len(self.chunks) >= CACHE_ENTRIES:
-            self.chunks.clear()
-        if len(self.pieces) >= CACHE_ENTRIES:
-            self.old, self.pieces = self.pieces, {}
-        pieces, old, split, new = self.pieces, self.old, [], set()
-        for c in chunks.difference(self.chunks):
-            m = _WORD.fullmatch(c) if self.lowers else None
-            word, marks = (m[1].lower(), m[2]) if m else (c, "")
-            split.append((c, word, marks))
-            for x in (word, marks):
-                if x not in pieces:
-                    if x in old:
-                        pieces[x] = old[x]
-                    else:
-                        new.add(x)
-        self._through_library(new)
-        for c, word, marks in split:
-            self.chunks[c] = pieces[word] + pieces[marks] if marks else pieces[word]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned integers, of 16 bits where the vocabulary allows it."""
-        out: list[bytes] = []
-        for i in range(0, len(texts), 100):
-            cut = [t.replace("\n", " ").split(" ") if self.cuts else [t] for t in texts[i : i + 100]]
-            try:
-                out += [b"".join(map(self.chunks.__getitem__, c)) for c in cut]
-            except KeyError:
-                self.learn(set().union(*cut))
-                out += [b"".join(map(self.chunks.__getitem__, c)) for c in cut]
-        return out
+            else:
+                rest.append(w)
+        for c, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else (), strict=True):
+            self.pieces[c] = array(self.array, e.ids).tobytes()
+
+    def _encode(self, texts: pa.StringArray, plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        if self.cuts:
+            if plain:
+                texts = pc.replace_substring(pc.replace_substring(pc.utf8_lower(texts), ",", " ,"), ".", " .")
+            lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        else:
+            lists = pa.ListArray.from_arrays(pa.array(range(len(texts) + 1), pa.int32()), texts)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.pieces) > CACHE_ENTRIES:
+            self.pieces.clear()
+        ids = list(map(self.pieces.get, words))
+        if new := [i for i, x in enumerate(ids) if x is None]:
+            self.learn([words[i] for i in new])
+            for i in new:
+                ids[i] = self.pieces[words[i]]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // int(self.kind[-1])
+        flat = np.frombuffer(b"".join(ids), self.kind)
+        at = coded.indices.to_numpy()
+        size = sizes[at]
+        ends = np.cumsum(size)
+        out = flat[np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        edges = np.append(0, ends)[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return out, edges
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one after the other, and where each text's ids begin and end."""
+        if not self.lowers:
+            return self._encode(texts, False)
+        odd = pc.match_substring_regex(texts, _ODD)
+        if not pc.any(odd).as_py():
+            return self._encode(texts, True)
+        odd = odd.to_numpy(zero_copy_only=False)
+        parts = [self._encode(texts.filter(pa.array(mask)), plain) for mask, plain in ((~odd, True), (odd, False))]
+        sizes = np.zeros(len(texts), np.int64)
+        for (_, edges), mask in zip(parts, (~odd, odd), strict=True):
+            sizes[mask] = np.diff(edges)
+        edges = np.append(0, np.cumsum(sizes))
+        out = np.empty(edges[-1], self.kind)
+        at = np.repeat(odd, sizes)
+        out[~at], out[at] = parts[0][0], parts[1][0]
+        return out, edges
 
 
 @lru_cache(maxsize=2)
@@ -206,28 +220,61 @@ class Codec:
         return out.T.reshape(-1)[:n] if left == BLOCK or n <= BLOCK else np.concatenate([out[:, :-1].T.reshape(-1), out[:left, -1]])
 
 
+def gathered(batches):
+    """Batches put together, up to TOGETHER bytes of text: more text at a time has fewer distinct pieces a byte."""
+    held, size = [], 0
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SLICE):
+            held.append(batch.slice(lo, SLICE))
+            size += pc.sum(pc.binary_length(held[-1].column("text"))).as_py() or 0
+            if size >= TOGETHER:
+                yield from _joined(held)
+                held, size = [], 0
+    if held:
+        yield from _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]):
+    whole = pa.Table.from_batches(held).combine_chunks()
+    if whole.num_rows:
+        yield whole.column("doc_id").chunk(0), whole.column("text").chunk(0).cast(pa.string())
+
+
 def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """doc_id and ids (binary, in the encoder's kind) of every whole text, the end mark included."""
+    """doc_id and ids (binary, in the encoder's kind) of every whole text, the end mark included; and a row per task with its counts of ids in ids, marked by counts."""
 
-    def make():
+    def run(batches):
         enc = encoder(vocabulary)
-        end = np.array([end_id], enc.kind).tobytes()
-        return lambda batch: {"doc_id": batch.column("doc_id"), "ids": [x + end for x in enc.encode(batch.column("text").to_pylist())]}
+        total = np.zeros(max(enc.size, end_id + 1), np.int64)
+        width = int(enc.kind[-1])
+        for doc_ids, own in gathered(batches):
+            ids, edges = enc.encode(own)
+            ids = np.insert(ids, edges[1:], end_id)
+            edges = edges + np.arange(len(edges))
+            total += np.bincount(ids, minlength=len(total))
+            for lo in range(0, len(own), SLICE):
+                cut = edges[lo : lo + SLICE + 1]
+                binary = pa.BinaryArray.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(((cut - cut[0]) * width).astype(np.int32)), pa.py_buffer(ids[cut[0] : cut[-1]].copy())])
+                yield pa.RecordBatch.from_arrays([doc_ids[lo : lo + SLICE], binary, pa.array([False] * (len(cut) - 1))], ["doc_id", "ids", "counts"])
+        used = np.flatnonzero(total)
+        if len(used):
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([np.stack([used, total[used]]).astype("<i8").tobytes()], pa.binary()), pa.array([True])], ["doc_id", "ids", "counts"])
 
-    return map_batches(texts(docs), make, "doc_id long, ids binary")
+    small_batches(docs.sparkSession)
+    return texts(docs).mapInArrow(run, "doc_id long, ids binary, counts boolean")
 
 
-def count_ids(coded: DataFrame, kind: str, size: int) -> np.ndarray:
+def count_ids(coded: DataFrame, size: int) -> np.ndarray:
     """How often each id occurs over all documents. The driver gets an entry per id of the vocabulary."""
 
-    def run(batches):
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            total += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind), minlength=size)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"id": used, "n": total[used]})
+    def make():
+        def run(batch: pa.RecordBatch) -> dict:
+            both = np.concatenate([np.frombuffer(x, "<i8").reshape(2, -1) for x in batch.column("ids").to_pylist()], 1)
+            return {"id": both[0], "n": both[1]}
+
+        return run
 
-    got = coded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    got = map_batches(coded.where("counts").select("ids"), make, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(size, np.int64)
     counts[got["id"]] = got["n"]
     return counts
@@ -247,8 +294,8 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, *, end_id: int) ->
     kind = enc.kind
     plain = scratch(spark, "ids")
     encoded(docs, vocabulary, end_id).write.option("compression", "zstd").parquet(plain)
-    coded = spark.read.schema("doc_id long, ids binary").parquet(plain)
-    lengths = code_lengths(count_ids(coded, kind, max(enc.size, end_id + 1)))
+    coded = spark.read.schema("doc_id long, ids binary, counts boolean").parquet(plain)
+    lengths = code_lengths(count_ids(coded, max(enc.size, end_id + 1)))
     spark.createDataFrame([(1, len(lengths), bytearray(lengths.tobytes()))], "version int, size long, lengths binary").coalesce(1).write.parquet(f"{path}/codebook")
     shared = spark.sparkContext.broadcast(lengths)  # a byte per id of the vocabulary
 
@@ -274,7 +321,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, *, end_id: int) ->
             yield close()
 
     order = F.col("doc_id").asc_nulls_first()
-    frames = coded.repartitionByRange(order).sortWithinPartitions(order, "ids").mapInArrow(run, "part long, frame long, start long, n_tokens long, doc_ids binary, doc_tokens binary, checkpoints binary, payload binary")
+    frames = coded.where("not counts").select("doc_id", "ids").repartitionByRange(order).sortWithinPartitions(order, "ids").mapInArrow(run, "part long, frame long, start long, n_tokens long, doc_ids binary, doc_tokens binary, checkpoints binary, payload binary")
     frames.write.option("compression", "uncompressed").parquet(f"{path}/frames")
     forget(spark, plain)
 
