@@ -125,3 +125,23 @@ _WORD = re.compile(r"\w+")
 def plain_words(text: str) -> list[str]:
     """Lower-case runs of letters, digits and underscores."""
     return _WORD.findall(text.lower())
+
+
+#: Bits of the id filter at most: 4 MB, whatever the number of ids.
+FILTER_BITS = 1 << 25
+
+
+def possibly_in(df: DataFrame, ids: DataFrame, *, column: str = "doc_id") -> DataFrame:
+    """The rows of df whose id may be among ids (one column of longs): none that is goes missing, a few that are not stay.
+
+    A bitmap of hashed ids, of FILTER_BITS at most, is joined by broadcast; it spares a shuffle of texts that a join
+    would throw away. With very many ids it lets everything pass.
+    """
+    name = ids.columns[0]
+    n = ids.count()
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (max(1, 16 * n) - 1).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    words = ids.where(F.col(name).isNotNull()).select(place(F.col(name)).alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, int(bit & 63))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    rows = df.withColumn("_bit", place(F.col(column)))
+    hit = rows.join(F.broadcast(words), F.shiftright("_bit", 6) == words["word"]).where(F.expr("shiftrightunsigned(mask, int(_bit & 63)) & 1L = 1L"))
+    return hit.select(*df.columns)

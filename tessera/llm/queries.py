@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, language_id, pii, quality_rules
+from tessera.llm import chat_format, decontaminate, language_id, minhash, pii, quality_rules
 from tessera.llm.bpe import bpe_round_trip
 from tessera.llm.common import read
 from tessera.llm.token_store import token_files
@@ -42,6 +42,10 @@ def op6_bpe_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(read(spark, sf_dir, "documents"))
+
+
 def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
@@ -54,7 +58,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_decision_list, op3_pii_crf, op4_language_ppm, op6_bpe_dp, op8_chat_windows, op10_token_files)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_decision_list, op3_pii_crf, op4_language_ppm, op6_bpe_dp, op7_near_duplicates, op8_chat_windows, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
