@@ -131,8 +131,8 @@ def plain_words(text: str) -> list[str]:
 FILTER_BITS = 1 << 25
 
 
-def possibly_in(df: DataFrame, ids: DataFrame, *, column: str = "doc_id") -> DataFrame:
-    """The rows of df whose id may be among ids (one column of longs): none that is goes missing, a few that are not stay.
+def flagged(df: DataFrame, ids: DataFrame, *, column: str = "doc_id", flag: str = "maybe") -> DataFrame:
+    """df with a boolean: false only where the id is surely not among ids (one column of longs).
 
     A bitmap of hashed ids, of FILTER_BITS at most, is joined by broadcast; it spares a shuffle of texts that a join
     would throw away. With very many ids it lets everything pass.
@@ -141,7 +141,12 @@ def possibly_in(df: DataFrame, ids: DataFrame, *, column: str = "doc_id") -> Dat
     n = ids.count()
     bits = min(FILTER_BITS, max(1 << 16, 1 << (max(1, 16 * n) - 1).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    words = ids.where(F.col(name).isNotNull()).select(place(F.col(name)).alias("bit")).select(F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, int(bit & 63))").alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    words = ids.where(F.col(name).isNotNull()).select(place(F.col(name)).alias("bit")).select(F.shiftright("bit", 6).alias("_word"), F.expr("shiftleft(1L, int(bit & 63))").alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_mask"))
     rows = df.withColumn("_bit", place(F.col(column)))
-    hit = rows.join(F.broadcast(words), F.shiftright("_bit", 6) == words["word"]).where(F.expr("shiftrightunsigned(mask, int(_bit & 63)) & 1L = 1L"))
-    return hit.select(*df.columns)
+    hit = rows.join(F.broadcast(words), F.shiftright("_bit", 6) == words["_word"], "left")
+    return hit.select(*df.columns, F.coalesce(F.expr("shiftrightunsigned(_mask, int(_bit & 63)) & 1L = 1L"), F.lit(False)).alias(flag))
+
+
+def possibly_in(df: DataFrame, ids: DataFrame, *, column: str = "doc_id") -> DataFrame:
+    """The rows of df whose id may be among ids: none that is goes missing, a few that are not stay."""
+    return flagged(df, ids, column=column, flag="_maybe").where("_maybe").select(*df.columns)

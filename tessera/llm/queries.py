@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, language_id, minhash, pii, quality_rules
+from tessera.llm import chat_format, decontaminate, language_id, minhash, pii, quality_rules, suffix_array
 from tessera.llm.bpe import bpe_round_trip
 from tessera.llm.common import read
 from tessera.llm.token_store import token_files
@@ -53,12 +53,16 @@ def op8_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_conversations(turns.unionByName(own)))
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_array.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_decision_list, op3_pii_crf, op4_language_ppm, op6_bpe_dp, op7_near_duplicates, op8_chat_windows, op10_token_files)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_decision_list, op3_pii_crf, op4_language_ppm, op6_bpe_dp, op7_near_duplicates, op8_chat_windows, op9_suffix_array, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
