@@ -4,10 +4,10 @@
 2. Improved consistent weighted sampling draws BANDS * ROWS samples of each document; documents that agree in all
    samples of a band are candidates. Documents of equal words are taken together before: one stands for all.
 3. In each band's bucket every document is held against the first one; weighted Jaccard decides. Links found make
-   components. A bucket whose documents are then still in more than one component is gone through again, every
-   component against every other, until a link joins them or no pair is left. So no link between two documents of a
-   bucket is lost to the components, without all pairs of a group of copies being compared. Large buckets are dealt
-   out by pairs of parts.
+   components. In a bucket whose documents are then still in more than one component, the components are held against
+   each other, until a link joins them or no pair is left that the distances to the first one allow. So no link
+   between two documents of a bucket is lost to the components, without all pairs of a group of copies being compared.
+   Large buckets are dealt out by pairs of parts.
 """
 
 from __future__ import annotations
@@ -148,13 +148,10 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     pairs = members.where("rep <> head").select("rep", "head").distinct()
     wanted = members.select("rep").distinct()
     bodies = written(possibly_in(docs.where(F.col("doc_id").isNotNull()), wanted).join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "bodies")
-    found = _verified(pairs, bodies, idf, similarity)
-    links = written(found, "links")
+    measured = written(_measured(pairs, bodies, idf), "measured")
+    links = measured.where(F.col("similarity") >= similarity)
     joined = components(links.select(F.col("rep").alias("a"), F.col("head").alias("b")))
-    # Buckets whose documents are not yet in one component.
-    placed = members.join(joined, members.rep == joined.node, "left").select("band", "h", "rep", "n", F.coalesce("component", "rep").alias("c"))
-    apart = placed.groupBy("band", "h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band", "h")
-    more = written(_apart(placed.join(apart, ["band", "h"]), bodies, idf, similarity), "more")
+    more = written(_between(members, measured, joined, bodies, idf, similarity), "more")
     every = links.select(F.col("rep").alias("a"), F.col("head").alias("b")).unionByName(more)
     last = components(every) if not more.isEmpty() else joined
     of_rep = reps.select("key", "rep").join(last, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("class"))
@@ -162,30 +159,48 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     return docs.select("doc_id").join(named, "doc_id", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
 
 
-def _verified(pairs: DataFrame, bodies: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
-    """The pairs (rep, head) whose similarity is enough."""
+def _measured(pairs: DataFrame, bodies: DataFrame, idf: np.ndarray) -> DataFrame:
+    """The pairs (rep, head) with their similarity."""
     shared = pairs.sparkSession.sparkContext.broadcast(idf)  # PLACES numbers
 
     def make():
         def run(batch: pa.RecordBatch) -> dict:
-            keep = np.concatenate([similarities(batch.column("a").slice(i, 500), batch.column("b").slice(i, 500), shared.value) for i in range(0, batch.num_rows, 500)]) >= similarity
-            return {x: batch.column(x).filter(pa.array(keep)) for x in ("rep", "head")}
+            parts = [similarities(batch.column("a").slice(i, 500), batch.column("b").slice(i, 500), shared.value) for i in range(0, batch.num_rows, 500)]
+            return {"rep": batch.column("rep"), "head": batch.column("head"), "similarity": np.concatenate(parts)}
 
         return run
 
     a, b = bodies.select(F.col("doc_id").alias("rep"), F.col("text").alias("a")), bodies.select(F.col("doc_id").alias("head"), F.col("text").alias("b"))
-    return map_batches(pairs.join(a, "rep").join(b, "head").select("rep", "head", "a", "b"), make, "rep long, head long")
+    return map_batches(pairs.join(a, "rep").join(b, "head").select("rep", "head", "a", "b"), make, "rep long, head long, similarity double")
+
+
+def _between(members: DataFrame, measured: DataFrame, joined: DataFrame, bodies: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
+    """Links (a, b) between documents of a bucket that the head doesn't join.
+
+    One less the weighted Jaccard is a distance, so two documents whose distances to the head differ by more than
+    1 - similarity can't be linked. Only the documents of a bucket are looked at that are outside its head's component,
+    and those inside that are not ruled out so.
+    """
+    reach = 1 - similarity + 1e-6
+    of = lambda name, as_: joined.select(F.col("node").alias(name), F.col("component").alias(as_))
+    rows = members.where("rep <> head").join(measured, ["rep", "head"]).join(of("rep", "c0"), "rep", "left").join(of("head", "c1"), "head", "left")
+    rows = written(rows.select("band", "h", "rep", (1 - F.col("similarity")).alias("d"), F.coalesce("c0", "rep").alias("c"), F.coalesce("c1", "head").alias("ch")), "inside")
+    outside = rows.where("c <> ch").groupBy("band", "h").agg(F.min("d").alias("least"))
+    rows = rows.join(outside, ["band", "h"]).where((F.col("c") != F.col("ch")) | (F.col("d") >= F.col("least") - reach))
+    several = rows.groupBy("band", "h").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high").select("band", "h", "n")
+    return _apart(rows.join(several, ["band", "h"]).select("band", "h", "rep", "d", "n", "c"), bodies, idf, similarity)
 
 
 def _apart(rows: DataFrame, bodies: DataFrame, idf: np.ndarray, similarity: float) -> DataFrame:
-    """Links (a, b) between components within buckets: rows are band, h, rep, n and component c of buckets that hold more than one."""
+    """Links (a, b) between components within buckets: rows are band, h, rep, d (distance to the bucket's head), n and component c."""
     shared = rows.sparkSession.sparkContext.broadcast(idf)  # PLACES numbers
     small_batches(rows.sparkSession)
+    reach = 1 - similarity + 1e-6
     parts = F.ceil(F.col("n") / PART).cast("int")
     dealt = rows.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     # Part i meets part j in block (i, j), i <= j; a bucket of one part is one block.
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    with_text = dealt.join(bodies, dealt.rep == bodies.doc_id).select("band", "h", "i", "j", "rep", "c", "text")
+    with_text = dealt.join(bodies, dealt.rep == bodies.doc_id).select("band", "h", "i", "j", "rep", "d", "c", "text")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["c", "rep"])
@@ -193,7 +208,7 @@ def _apart(rows: DataFrame, bodies: DataFrame, idf: np.ndarray, similarity: floa
         for lo in range(0, len(part), 1000):
             h, w, b, _ = weighted(pa.array(part["text"].iloc[lo : lo + 1000]), shared.value)
             sets += [(h[x:y], w[x:y]) for x, y in zip(b[:-1], b[1:], strict=True)]
-        reps, groups = part["rep"].tolist(), {}
+        reps, d, groups = part["rep"].tolist(), part["d"].tolist(), {}
         for k, c in enumerate(part["c"].tolist()):
             groups.setdefault(c, []).append(k)
         links, merged = [], []
@@ -201,7 +216,7 @@ def _apart(rows: DataFrame, bodies: DataFrame, idf: np.ndarray, similarity: floa
             # Against each group so far; those that a link reaches become one with it.
             near = []
             for g, group in enumerate(merged):
-                hit = next(((x, y) for y in own for x in group if _jaccard(*sets[x], *sets[y]) >= similarity), None)
+                hit = next(((x, y) for y in own for x in group if abs(d[x] - d[y]) <= reach and _jaccard(*sets[x], *sets[y]) >= similarity), None)
                 if hit:
                     links.append((reps[hit[0]], reps[hit[1]]))
                     near.append(g)
