@@ -150,3 +150,24 @@ def flagged(df: DataFrame, ids: DataFrame, *, column: str = "doc_id", flag: str
 def possibly_in(df: DataFrame, ids: DataFrame, *, column: str = "doc_id") -> DataFrame:
     """The rows of df whose id may be among ids: none that is goes missing, a few that are not stay."""
     return flagged(df, ids, column=column, flag="_maybe").where("_maybe").select(*df.columns)
+
+
+def filter_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
+    """The rows for which the function made once per task says true; all columns stay."""
+    small_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(f(batch), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
+def without(df: DataFrame, ids: DataFrame, *, column: str = "doc_id") -> DataFrame:
+    """The rows of df whose id is not among ids (one column); rows with a null id stay."""
+    name = ids.columns[0]
+    rows = flagged(df, ids, column=column, flag="_maybe")
+    rest = rows.where("_maybe").join(ids.select(F.col(name).alias("_gone")), F.col(column) == F.col("_gone"), "left_anti")
+    return rows.where("not _maybe").select(*df.columns).unionByName(rest.select(*df.columns))

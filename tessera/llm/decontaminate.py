@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_batches, plain_words, texts
+from tessera.llm.common import filter_batches, map_batches, plain_words, texts
 
 WIDTH, SHARE, PART_SHARE = 5, 0.8, 0.5
 K1, B = 1.2, 0.75
@@ -156,6 +156,30 @@ class BlockMaxIndex:
         return out
 
 
+def indexes(benchmark: DataFrame) -> Iterable[BlockMaxIndex]:
+    """Indexes of at most about INDEX_BYTES of item texts each."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = 1 + 2 * size // INDEX_BYTES if size > INDEX_BYTES else 1
+    for k in range(parts):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
+        yield BlockMaxIndex([x for r in rows if (x := Item(r.item_id, r.text)).words])
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that leak no item, with all their columns; null texts stay."""
+    spark = docs.sparkSession
+    for index in indexes(benchmark):
+        shared = spark.sparkContext.broadcast(index)  # INDEX_BYTES of text or so
+
+        def make(shared=shared):
+            index = shared.value
+            return lambda batch: [t is None or not index.leaks(t) for t in batch.column("text").to_pylist()]
+
+        docs = filter_batches(docs, make)
+    return docs
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row per document and item that it leaks: doc_id, item_id, n_shingles, n_shared, n_question, n_answer, score.
 
@@ -164,15 +188,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     at most INDEX_BYTES of text, split by hash; a document table is read once for each.
     """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = 1 + 2 * size // INDEX_BYTES if size > INDEX_BYTES else 1
     queries = texts(docs)
     schema = "doc_id long, item_id long, n_shingles long, n_shared long, n_question long, n_answer long, score double"
 
-    def against(k: int) -> DataFrame:
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).orderBy("item_id", "text").collect()
-        index = BlockMaxIndex([x for r in rows if (x := Item(r.item_id, r.text)).words])
+    def against(index: BlockMaxIndex) -> DataFrame:
         shared = spark.sparkContext.broadcast(index)  # INDEX_BYTES of text or so
 
         def make():
@@ -187,7 +206,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         return map_batches(queries, make, schema)
 
-    return reduce(DataFrame.unionByName, [against(k) for k in range(parts)])
+    return reduce(DataFrame.unionByName, map(against, indexes(benchmark)))
 
 
 #: The rows of find_leaks but for the score, for DuckDB: shingles held against each other, without retrieval.

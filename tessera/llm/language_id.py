@@ -16,9 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tessera.llm.common import map_batches, small_batches, texts
+from tessera.llm.common import filter_batches, map_batches, small_batches, texts
 
 ORDER = 3
 #: Whole texts learned from per language: a bounded sample, by the hash of doc_id.
@@ -154,7 +153,7 @@ def fit_trees(counts: dict[str, dict[int, int]]) -> ContextTrees | None:
 
 
 def train(docs: DataFrame, *, rows_per_language: int = ROWS_PER_LANGUAGE) -> ContextTrees | None:
-    """Learn from at most rows_per_language whole texts of each language, chosen by the hash of doc_id.
+    """Learn from about rows_per_language whole texts of each language at most, chosen by the hash of doc_id.
 
     Only rows with a text and a lang that held_out leaves are learned from. The driver gets the counts of the grams of
     this bounded sample.
@@ -162,9 +161,9 @@ def train(docs: DataFrame, *, rows_per_language: int = ROWS_PER_LANGUAGE) -> Con
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows_per_language).select("doc_id", "lang").distinct()
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"])  # at most rows_per_language ids a language
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows")).select(F.col("lang").alias("_lang"), (F.lit(rows_per_language) / F.col("rows")).alias("share"))
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
+    sample = rows.join(sizes, rows.lang == sizes._lang).where(chance < F.col("share"))  # all rows where there are fewer
 
     def run(batches):
         for batch in batches:
@@ -223,3 +222,26 @@ def identify(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
 
     found = map_batches(texts(docs, null=None), make, "doc_id long, lang_pred string, score double, bits_per_byte double")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte", F.coalesce(F.col("bits_per_byte") < 8, F.lit(False)).alias("accepted"))
+
+
+def accepted(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
+    """The rows that identify accepts, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the sample that it is learned from
+
+    def make():
+        trees = shared.value
+
+        def run(batch: pa.RecordBatch) -> list[bool]:
+            raw = batch.column("text").to_pylist()
+            out = [False] * len(raw)
+            rows = [i for i, t in enumerate(raw) if t is not None and trees is not None and _LETTER.search(t)]
+            data = [raw[i].encode("utf-8", "replace") for i in rows]
+            if rows:
+                bits = trees.score(data).min(1)
+                for i, b, x in zip(rows, bits.tolist(), data, strict=True):
+                    out[i] = b < 8 * len(x)
+            return out
+
+        return run
+
+    return filter_batches(docs, make)

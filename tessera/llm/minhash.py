@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, map_batches, possibly_in, small_batches, texts, written
+from tessera.llm.common import components, map_batches, possibly_in, small_batches, texts, without, written
 from tessera.llm.shingles import document_frequencies, levels, mix, weighted
 
 SIMILARITY, BANDS, ROWS = 0.8, 9, 3
@@ -159,6 +159,21 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
     return docs.select("doc_id").join(named, "doc_id", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents without all but the first (by doc_id) of each class, with all their columns.
+
+    Of rows with one doc_id one stays, the least by text. Rows with a null doc_id or without words stay.
+    """
+    told = written(classes(docs), "classes")
+    kept = without(docs, told.where("doc_id <> class_id").select("doc_id").distinct())
+    twice = told.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id")
+    if twice.isEmpty():
+        return kept
+    again = kept.join(twice, "doc_id", "left_semi").select(*docs.columns)
+    least = again.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+    return without(kept, twice).unionByName(least)
+
+
 def _measured(pairs: DataFrame, bodies: DataFrame, idf: np.ndarray) -> DataFrame:
     """The pairs (rep, head) with their similarity."""
     shared = pairs.sparkSession.sparkContext.broadcast(idf)  # PLACES numbers

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, language_id, minhash, pii, quality_rules, suffix_array
+from tessera.llm import chat_format, decontaminate, language_id, line_dedup, minhash, pii, quality_rules, suffix_array
 from tessera.llm.bpe import bpe_round_trip
 from tessera.llm.common import read
 from tessera.llm.token_store import token_files
@@ -38,6 +38,11 @@ def op4_language_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.train(docs)).select("doc_id", "held_out", "lang_pred", "score", "bits_per_byte")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return line_dedup.dedupe_lines(docs.select("doc_id", "text"))
+
+
 def op6_bpe_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -62,7 +67,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_decision_list, op3_pii_crf, op4_language_ppm, op6_bpe_dp, op7_near_duplicates, op8_chat_windows, op9_suffix_array, op10_token_files)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_decision_list, op3_pii_crf, op4_language_ppm, op5_line_dedup, op6_bpe_dp, op7_near_duplicates, op8_chat_windows, op9_suffix_array, op10_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
