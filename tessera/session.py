@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -32,3 +32,22 @@ def local_session(threads: int | str = 8, **conf: str) -> SparkSession:
     spark = SparkSession.builder.master(f"local[{threads}]").config(map=base | conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or a folder of our own where it is unset, as in tests."""
+    import tempfile
+
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at:
+        at = f"file://{tempfile.gettempdir()}/tessera-shared-{os.getuid()}"
+        spark.conf.set("spark.checkpoint.dir", at)
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df computed and cut from its lineage in the shared folder, so that loops neither recompute nor lose it with an executor."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
