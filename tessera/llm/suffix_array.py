@@ -10,7 +10,10 @@ of one right extension; within an interval, the occurrences in order of their le
 extended to the left with some other one. An interval whose left extensions differ is a maximal repeat. Where left and
 right extension together make LENGTH bytes or more, the occurrence is covered that far.
 
-Groups of more than GROUP different snippets are not gathered: there, the windows themselves are counted by hash.
+Before bytes are gathered, snippets that can't have a partner go: two that share LENGTH bytes around the anchor also
+share, for some multiple t of GRID, the bytes from t before it on that make LENGTH - GRID in all; a snippet that shares
+none of these with another is dropped. Groups of more than GROUP different snippets even so are not gathered: there,
+the windows themselves are counted by hash.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +30,7 @@ from tessera.llm.common import flagged, possibly_in, small_batches, written
 
 LENGTH, GRAM = 200, 40
 REACH = LENGTH - GRAM
-GROUP = 4000
+GROUP, GRID = 50_000, 20
 _STEP = 1 << 20
 NONE = -(2**63)
 
@@ -80,8 +84,10 @@ def anchors_of(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndar
     over = np.unique(np.concatenate([np.arange(max(0, e - GRAM + 1), min(e, len(h))) for e in ends.tolist()]))  # strings over the edge of two texts
     h[over.astype(np.int64)] = np.iinfo(np.uint64).max
     least = _sliding(h, REACH + 1, np.minimum, np.iinfo(np.uint64).max)
-    # A place is an anchor if it is the least of a window that holds it: the greatest of those windows' least.
-    least[max(0, len(h) - REACH) :] = 0
+    # A place is an anchor if it is the least of a window that holds it: the greatest of those windows' least. Windows
+    # over the edge of two texts don't count.
+    sizes = np.diff(edges)
+    least[np.repeat(ends, sizes)[: len(least)] - np.arange(len(least)) < LENGTH] = 0
     greatest = _sliding(least[::-1], REACH + 1, np.maximum, 0)[::-1]
     at = np.flatnonzero((h == greatest) & (h != np.iinfo(np.uint64).max))
     text = np.searchsorted(edges, at, side="right") - 1
@@ -182,25 +188,27 @@ def _snippets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of snippets: wanted has h, s, n, d, th, pos, l, r; the result h, s, n, d, th, pos, left (reversed), right."""
     asked = wanted.groupBy("d", "th").agg(F.collect_list(F.struct("h", "s", "n", "pos", "l", "r")).alias("asked"))  # bounded by the text's length
     rows = possibly_in(keyed.select("d", "th", "text"), asked.select("d"), column="d")
-    names = ["h", "s", "n", "d", "th", "pos", "left", "right"]
+    names = ["h", "s", "n", "d", "th", "pos", "left", "right", "keys"]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
 
     def run(batches):
         for batch in batches:
             out: dict = {x: [] for x in names}
             for d, th, text, asked in zip(*(batch.column(x).to_pylist() for x in ("d", "th")), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("asked").to_pylist(), strict=True):
                 for x in asked:
-                    p = x["pos"]
-                    out["left"].append(text[p - x["l"] : p][::-1])
-                    out["right"].append(text[p : p + x["r"]])
+                    p, l, r = x["pos"], x["l"], x["r"]  # noqa: E741
+                    out["left"].append(text[p - l : p][::-1])
+                    out["right"].append(text[p : p + r])
+                    out["keys"].append([xxhash.xxh64_intdigest(text[p - t : p + LENGTH - GRID - t], t) - (1 << 63) for t in range(0, REACH + 1, GRID) if t <= l and LENGTH - GRID - t <= r])
                     out["pos"].append(p)
                     out["d"].append(d)
                     out["th"].append(th)
                     for k in ("h", "s", "n"):
                         out[k].append(x[k])
-            yield pa.RecordBatch.from_arrays([pa.array(out[x], t) for x, t in zip(names, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(out[x], t) for x, t in zip(names, types, strict=True)], names)
 
-    # One row of each key: n = 1 below means that one row holds the snippet once, so equal rows can't be asked for here.
-    return rows.join(asked, ["d", "th"]).mapInArrow(run, f"h long, s long, n long, {_KEY}, pos int, left binary, right binary")
+    # Of rows equal in text, a snippet found in one of them occurs in the other too, so n counts both.
+    return rows.join(asked, ["d", "th"]).mapInArrow(run, f"h long, s long, n long, {_KEY}, pos int, left binary, right binary, keys array<long>")
 
 
 def _from_groups(snippets: DataFrame) -> DataFrame:
@@ -265,7 +273,12 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     full = shared.join(whole, ["h", "s"], "left_semi").select("d", "th", (F.col("pos") - F.col("l")).cast("long").alias("a"), (F.col("pos") + F.col("r")).cast("long").alias("b"))
     groups = counted.where(F.col("l") + F.col("r") >= LENGTH).groupBy("h").agg(F.count("*").alias("size"), F.min("n").alias("least")).where("size > 1 and least = 1")
     wanted = counted.where(F.col("l") + F.col("r") >= LENGTH).join(groups, "h").drop("least")
-    snippets = written(_snippets(keyed, wanted).join(groups.select("h", "size"), "h"), "snippets")
+    snippets = written(_snippets(keyed, wanted.drop("size")), "snippets")
+    keys = snippets.select("h", "s", F.explode("keys").alias("key"))
+    met = written(keys.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key"), "met")
+    alive = written(possibly_in(keys, met, column="key").join(met, "key", "left_semi").select("h", "s").distinct(), "alive")
+    sizes = alive.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
+    snippets = written(snippets.drop("keys").join(alive, ["h", "s"], "left_semi").join(sizes, "h"), "alike")
     out = full.unionByName(_from_groups(snippets.where(F.col("size") <= GROUP).drop("size")))
     if not (large := snippets.where(F.col("size") > GROUP)).isEmpty():
         out = out.unionByName(_from_windows(large.drop("size")))
