@@ -27,15 +27,27 @@ EVIDENCE = T.StructType(
 )
 
 
-def _table(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text.replace("EVIDENCE", EVIDENCE.simpleString()))
+def _table(text: str) -> str:
+    return text.replace("EVIDENCE", EVIDENCE.simpleString())
 
 
-RELATIONS: dict[str, T.StructType] = {
+def columns(relation: str) -> list[str]:
+    """Names of a relation's columns."""
+    text, depth, out = RELATIONS[relation], 0, [""]
+    for c in text:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip().split(" ")[0] for x in out]
+
+
+RELATIONS: dict[str, str] = {
     "components": _table("id string, name string, kind string, language string, path string, parent string, evidence array<EVIDENCE>"),
     "symbols": _table("id string, name string, kind string, component string, signature string, evidence array<EVIDENCE>"),
     "edges": _table("src string, dst string, kind string, evidence array<EVIDENCE>"),
-    "edge_evidence": T.StructType([T.StructField("src", T.StringType()), T.StructField("dst", T.StringType()), T.StructField("kind", T.StringType()), *EVIDENCE.fields]),
+    "edge_evidence": "src string, dst string, kind string, " + ", ".join(f"{x.name} {x.dataType.simpleString()}" for x in EVIDENCE.fields),
     "unmapped_imports": _table("src string, module string, reason string, provided_by array<string>, evidence EVIDENCE"),
     "dynamic_imports": _table("src string, call string, prefix struct<written:string,path:string,first:array<string>>, evidence EVIDENCE"),
     "unread_macros": _table("src string, name string, names array<string>, evidence EVIDENCE"),

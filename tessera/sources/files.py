@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.paths import base, extension, parent, stem
+from tessera.session import workers_can_import
 
 #: Languages by suffix. The first three have analyzers.
 LANGUAGES = {
@@ -74,19 +77,46 @@ def scan(spark: SparkSession, root: str, *, content: bool = True) -> DataFrame:
     """Every file below root that isn't ignored: path (from root), size, modified, and content (bytes).
 
     Hidden and dependency directories are skipped, ignore files are followed, and a build output goes if the manifest
-    of the tool that writes it stands beside it and it is no Python package. Files are listed and read by Spark.
+    of the tool that writes it stands beside it and it is no Python package. Links to files are followed, links to
+    directories are not. The driver lists the tree, whose folder the workers must see too: Spark's own listing leaves
+    out names that begin with an underscore, such as packages' initial files. Contents are read by the workers.
     """
-    root = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    where = F.regexp_replace("path", "^file:/*", "/")
-    prefix = root.removeprefix("file://").rstrip("/") + "/"
-    rows = raw.select(F.substring(where, len(prefix) + 1, 1 << 20).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), *(["content"] if content else []))
-    hidden = F.exists(F.split("path", "/"), lambda x: (F.startswith(x, F.lit(".")) & ~x.isin(".gitignore", ".ignore")) | x.isin(*SKIPPED))
-    rows = rows.where(~hidden)
-    rules = raw.where(F.regexp_extract("path", "([^/]*)$", 1).isin(".gitignore", ".ignore")).select(where.alias("p"), F.decode("content", "UTF-8").alias("text")).collect()  # a tree's few ignore files
-    patterns = [(r.p[len(prefix) :].rpartition("/")[0], line) for r in sorted(rules, key=lambda r: (r.p.count("/"), r.p)) if r.p.startswith(prefix) for line in r.text.splitlines()]
-    rows = rows.where(~_ignored(patterns)).where(~base(F.col("path")).isin(".gitignore", ".ignore"))
-    return without_outputs(rows)
+    workers_can_import(spark)
+    root = root.removeprefix("file://").rstrip("/")
+    found, rules = [], []
+    for at, dirs, names in os.walk(root):
+        dirs[:] = sorted(d for d in dirs if not d.startswith(".") and d not in SKIPPED and not os.path.islink(os.path.join(at, d)))
+        inside = os.path.relpath(at, root).replace(os.sep, "/").removeprefix(".").lstrip("/")
+        for n in sorted(names):
+            full = os.path.join(at, n)
+            if n in (".gitignore", ".ignore"):
+                with open(full, encoding="utf-8", errors="replace") as f:
+                    rules += [(inside, line) for line in f.read().splitlines()]
+            elif not n.startswith(".") and os.path.isfile(full):
+                st = os.stat(full)
+                found.append((f"{inside}/{n}" if inside else n, st.st_size, st.st_mtime_ns))
+    rows = spark.createDataFrame(found, "path string, size long, modified long")
+    rules.sort(key=lambda r: r[0].count("/") + bool(r[0]))
+    rows = without_outputs(rows.where(~_ignored(rules)))
+    return with_content(rows, root) if content else rows
+
+
+def with_content(files: DataFrame, root: str) -> DataFrame:
+    """Files (path, size, modified) with their bytes; a file that is gone meanwhile drops out."""
+
+    def run(parts):
+        for part in parts:
+            data = []
+            for path in part["path"]:
+                try:
+                    with open(os.path.join(root, path), "rb") as f:
+                        data.append(f.read())
+                except OSError:
+                    data.append(None)
+            part["content"] = data
+            yield part[part["content"].notna()]
+
+    return files.repartition(max(1, files.sparkSession.sparkContext.defaultParallelism)).mapInPandas(run, "path string, size long, modified long, content binary")
 
 
 def without_outputs(files: DataFrame) -> DataFrame:
