@@ -27,7 +27,7 @@ _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W
 #: A space between white space and more of it (or the end): there, cutting at spaces would part a pre-token.
 _SPACES = regex.compile(rf"[{_WS}] (?=[{_WS}]|\Z)")
 #: Entries kept in a worker's cache of encoded chunks; beyond it the cache starts anew, which changes no result.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -69,7 +69,7 @@ class PrefixBpe:
         for t, i in self.special.items():
             self.decoded[i] = t.encode()
         self._edges: tuple[dict[int, list[tuple[int, int]]], dict[int, list[tuple[int, int]]]] = ({}, {})
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.pieces: dict[str, list[int]] = {}
         self.chunks: dict[str, bytes] = {}
 
@@ -89,9 +89,9 @@ class PrefixBpe:
 
     def compatible(self, first: int, second: int) -> bool:
         """Whether the merges leave the two tokens as they are, side by side."""
-        ok = self.pairs.get((first, second))
+        ok = self.pairs.get(first << 20 | second)
         if ok is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > CACHE_ENTRIES:
                 self.pairs.clear()
             ok = True
             for a, a_until in self._edge(first, 1):
@@ -100,7 +100,7 @@ class PrefixBpe:
                     # Equal merges are done from the left: inside the first token before, inside the second after.
                     if rank is not None and rank < a_until and rank <= b_until:
                         ok = False
-            self.pairs[first, second] = ok
+            self.pairs[first << 20 | second] = ok
         return ok
 
     def encode_piece(self, piece: str) -> list[int]:
