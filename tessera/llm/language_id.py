@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import filter_batches, map_batches, small_batches, texts
+from tessera.llm.common import filter_batches, map_batches, possibly_in, small_batches, texts
 
 ORDER = 3
 #: Whole texts learned from per language: a bounded sample, by the hash of doc_id.
 ROWS_PER_LANGUAGE = 500
 #: Bytes whose evidence counts in full for the score; beyond them the mean counts.
 SCORE_BYTES = 64
+#: Bits a byte from which on a text is in none of the languages.
+MOST_BITS = 10
 _LETTER = re.compile(r"[^\W\d_]")
 _START = b" " * ORDER
 
@@ -161,9 +163,12 @@ def train(docs: DataFrame, *, rows_per_language: int = ROWS_PER_LANGUAGE) -> Con
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows")).select(F.col("lang").alias("_lang"), (F.lit(rows_per_language) / F.col("rows")).alias("share"))
+    # The choice is made on ids alone; a bitmap of the chosen ones then spares the texts a shuffle.
+    ids = rows.select("doc_id", "lang")
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("rows")).select("lang", (F.lit(rows_per_language) / F.col("rows")).alias("share"))
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(1 << 30)
-    sample = rows.join(sizes, rows.lang == sizes._lang).where(chance < F.col("share"))  # all rows where there are fewer
+    chosen = ids.join(sizes, "lang").where(chance < F.col("share")).select("doc_id").distinct()  # all rows where there are fewer
+    sample = possibly_in(rows, chosen).join(chosen, "doc_id", "left_semi")
 
     def run(batches):
         for batch in batches:
@@ -194,7 +199,7 @@ def identify(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
 
     One row per input row, copies too. lang_pred is `und` and score 0 for a null text, one without a letter, and if
     there was nothing to learn from. Ties go to the first language by name. accepted: a language was found and its
-    code is shorter than the plain 8 bits a byte; text in another script or plain noise takes more.
+    code is shorter than MOST_BITS a byte, the plain 8 and a margin for new words; text in another script takes more.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(trees)  # bounded by the sample that it is learned from
@@ -221,7 +226,7 @@ def identify(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
         return run
 
     found = map_batches(texts(docs, null=None), make, "doc_id long, lang_pred string, score double, bits_per_byte double")
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte", F.coalesce(F.col("bits_per_byte") < 8, F.lit(False)).alias("accepted"))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte", F.coalesce(F.col("bits_per_byte") < MOST_BITS, F.lit(False)).alias("accepted"))
 
 
 def accepted(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
@@ -239,7 +244,7 @@ def accepted(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
             if rows:
                 bits = trees.score(data).min(1)
                 for i, b, x in zip(rows, bits.tolist(), data, strict=True):
-                    out[i] = b < 8 * len(x)
+                    out[i] = b < MOST_BITS * len(x)
             return out
 
         return run
