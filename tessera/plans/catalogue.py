@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import paths as P
 from tessera.functions import text as X
-from tessera.operators import graph, history, lookups, relations, rules, work
+from tessera.operators import graph, history, lookups, relations, rules, uses, work
 from tessera.operators import predicates as C
 from tessera.plans import projections as J
 
@@ -503,3 +503,69 @@ def impact_reach(spark, d):
     edges = spark.createDataFrame([("b.py", "a.py", False), ("t.py", "b.py", True), ("c.py", "d.py", False)], "src string, dst string, test boolean")
     owners = spark.createDataFrame([("a.py", "A", False), ("b.py", "B", False), ("t.py", "T", True), ("c.py", "C", False), ("d.py", "D", False)], "file string, component string, test boolean")
     return graph.impact(edges, owners, spark.createDataFrame([("a.py",)], "file string")).withColumn("distance", F.col("distance").cast("int"))
+
+
+# Symbols and sets
+
+_IMPORTS = f"{J.sparse_sql()}, im AS (SELECT DISTINCT src AS file, line, dst AS target, CASE WHEN line = 1 THEN '*' ELSE scope END AS name, line % 2 = 0 AS passes_on FROM sp)"
+
+
+@query(f"WITH RECURSIVE {_IMPORTS}, s(symbol, file, name) AS (SELECT 'N1::module', 'N1', 'module' UNION SELECT s.symbol, im.file, CASE WHEN im.name = '*' THEN s.name ELSE im.name END FROM s JOIN im ON im.target = s.file AND (im.name = s.name OR im.name = '*') WHERE im.passes_on) SELECT DISTINCT s.symbol, im.file, im.line, im.target AS through, CASE WHEN im.name = '*' THEN 'whole' ELSE 'name' END AS kind FROM im JOIN s ON im.target = s.file AND (im.name = s.name OR im.name = '*')")
+def symbol_importers(spark, d):
+    im = J.sparse(spark, d).select(F.col("src").alias("file"), "line", F.col("dst").alias("target"), F.when(F.col("line") == 1, "*").otherwise(F.col("scope")).alias("name"), F.lit(None).cast("string").alias("alias"), (F.col("line") % 2 == 0).alias("passes_on")).distinct()
+    return uses.symbol_importers(im, spark.createDataFrame([("N1::module", "N1", "module")], "symbol string, file string, name string"))
+
+
+@query(f"WITH {EV}, m AS (SELECT src AS test, dst AS way, min(line) AS steps, min(CASE WHEN NOT test THEN line END) AS running FROM ev GROUP BY ALL) SELECT test, way, steps, coalesce(running = steps, false) AS runs, running FROM m")
+def best_routes(spark, d):
+    e = J.evidence(spark, d)
+    return uses.best_routes(e.select(F.col("src").alias("test"), F.col("dst").alias("way"), F.col("line").alias("steps"), (~F.col("test")).alias("runs")))
+
+
+@query("SELECT id FROM (SELECT l_partkey AS id FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 40) UNION SELECT p_partkey FROM part WHERE p_size = 1")
+def tests_only(spark, d):
+    li, key = J.table(spark, d, "lineitem"), F.col("l_partkey").alias("id")
+    return uses.only_tests(li.where("l_returnflag = 'R'").select(key).distinct(), li.where("l_returnflag = 'A' and l_quantity > 40").select(key).distinct(), J.table(spark, d, "part").where("p_size = 1").select(F.col("p_partkey").alias("id")))
+
+
+@query("SELECT l_partkey AS id FROM lineitem WHERE l_quantity > 48 INTERSECT SELECT p_partkey FROM part WHERE p_size > 20")
+def loaded_by_listed(spark, d):
+    return uses.loaded_by_listed(J.table(spark, d, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("id")), J.table(spark, d, "part").where("p_size > 20").select(F.col("p_partkey").alias("id")))
+
+
+@query("SELECT 'p' || l_partkey AS file FROM lineitem WHERE l_quantity > 49 UNION SELECT 's' || s_suppkey FROM supplier UNION SELECT 'p' || p_partkey FROM part WHERE p_size < 3")
+def known_files(spark, d):
+    t = lambda n: J.table(spark, d, n)
+    return uses.known_files(t("lineitem").where("l_quantity > 49").select(J.named("p", "l_partkey").alias("file")), t("supplier").select(J.named("s", "s_suppkey").alias("file")), t("part").where("p_size < 3").select(J.named("p", "p_partkey").alias("file")))
+
+
+@query("WITH c AS (SELECT 'P' || p_partkey AS id, p_name AS name FROM part) SELECT id, CASE WHEN count(*) OVER (PARTITION BY name) > 1 THEN id ELSE name END AS shown FROM c")
+def display_names(spark, d):
+    return uses.display_names(J.table(spark, d, "part").select(J.named("P", "p_partkey").alias("id"), F.col("p_name").alias("name")))
+
+
+@query(f"WITH {EV}, {FOLD}, p AS (SELECT DISTINCT a.n AS src, file, line FROM ev JOIN leaf a ON a.id = src), r AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY file, line) AS n, count(*) OVER (PARTITION BY src) AS total FROM p) SELECT src, string_agg(file || ':' || line, ' ' ORDER BY n) AS places, any_value(total) AS total FROM r WHERE n <= 3 GROUP BY src")
+def capped_evidence(spark, d):
+    e = J.evidence(spark, d).join(graph.folded(J.components(spark, d), 1).select(F.col("id").alias("src"), "at"), "src")
+    first = uses.first_evidence(e.select(F.col("at").alias("src"), "file", "line"), ["src"])
+    return first.select("src", F.array_join(F.transform("places", lambda p: F.concat(p["file"], F.lit(":"), p["line"].cast("string"))), " ").alias("places"), "total")
+
+
+@query(f"WITH {_LINKS} SELECT number, max(p_partkey * 7 % 1000) AS newest FROM ln JOIN part ON ln.id = 'p' || p_partkey GROUP BY 1")
+def newest_commits(spark, d):
+    commits = J.table(spark, d, "part").select(J.named("p", "p_partkey").alias("id"), (F.col("p_partkey") * 7 % 1000).alias("time"))
+    return uses.newest(_links(spark, d)[2], commits)
+
+
+@query(f"WITH {_FILES} SELECT file, regexp_replace(file, '/[^/]*$', '') AS parent, regexp_extract(file, '\\.([^./]+)$', 1) AS extension, regexp_replace(regexp_replace(file, '^.*/', ''), '\\.[^.]*$', '') AS stem, len(string_split(file, '/')) + 1 AS ancestors FROM files")
+def path_parts(spark, d):
+    f = _files(spark, d)
+    p = F.col("file")
+    return f.select("file", P.parent(p).alias("parent"), P.extension(p).alias("extension"), P.stem(p).alias("stem"), F.size(P.ancestors(p)).cast("long").alias("ancestors"))
+
+
+@query(r"SELECT p_partkey, lower(regexp_replace(p_name || '_' || p_brand, '[-_. ]+', '-', 'g')) AS distribution, split_part(p_type, ' ', 1) || '/' || split_part(p_type, ' ', 2) AS specifier, split_part(p_type, ' ', 1) AS package, '@types/' || split_part(p_type, ' ', 1) AS types FROM part")
+def package_names(spark, d):
+    p = J.table(spark, d, "part")
+    spec = F.concat_ws("/", F.element_at(F.split("p_type", " "), 1), F.coalesce(F.try_element_at(F.split("p_type", " "), F.lit(2)), F.lit("")))
+    return p.select("p_partkey", P.distribution(F.translate(F.concat("p_name", F.lit("_"), "p_brand"), " ", "-")).alias("distribution"), spec.alias("specifier"), P.npm_package(spec).alias("package"), P.types_package(P.npm_package(spec)).alias("types"))

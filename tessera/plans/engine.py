@@ -276,3 +276,18 @@ def render(tables: dict[str, DataFrame], most: int = 10) -> str:
             out.append(f"  +{df.count() - most} more")
     return "\n".join(out) + "\n"
 
+
+
+def trimmed(lists: dict[str, list[str]], most_bytes: int = 8192, least: int = 10) -> str:
+    """Ranked lists as text under a budget: the lowest row of the longest list goes until it fits, but for a floor per list."""
+    kept = {k: list(v) for k, v in lists.items()}
+
+    def text() -> str:
+        return "".join(f"{k}\n" + "".join(f"- {x}\n" for x in v) + (f"  +{len(lists[k]) - len(v)} more\n" if len(v) < len(lists[k]) else "") for k, v in kept.items())
+
+    while len(text().encode()) > most_bytes:
+        longest = max(kept, key=lambda k: len("".join(kept[k])) if len(kept[k]) > least else -1)
+        if len(kept[longest]) <= least:
+            break
+        kept[longest].pop()
+    return text()

@@ -177,3 +177,37 @@ def test_rust_facts():
 def test_cargo():
     rows_ = list(manifests.cargo('[package]\nname = "my-app"\n[dependencies]\nserde = "1"\nlocal = { path = "../local" }\n[dev-dependencies]\nx.workspace = true\n[[bin]]\nname = "tool"\npath = "src/t.rs"\n'))
     assert ("dependency", "serde", "normal", "1", 4) in rows_ and ("dependency", "local", "normal", "path:../local", 5) in rows_ and ("dependency", "x", "dev", "workspace", 7) in rows_ and ("target", "tool", "bin", "src/t.rs", None) in rows_ and rows_[0][:4] == ("package", "my-app", "lib", "my_app")
+
+
+def test_python_uses():
+    from tessera.sources.uses import environment_uses, python_uses
+
+    text = "import m\nfrom m import C\nclass D(C): pass\n@C\ndef f(x: C, m=1) -> C:\n    m.g()\n    return C(x)\nm.g(C)\nm.h = 1\ny: C = [m.g for _ in ()]\ndef k():\n    C = 1\n    return C\n"
+    got = sorted((n, line, role) for n, line, _, role, _ in python_uses(text, {"C", "m.g", "m.h"}))
+    assert got == [("C", 3, "subclass"), ("C", 4, "decorator"), ("C", 5, "annotation"), ("C", 5, "annotation"), ("C", 7, "call"), ("C", 8, "read"), ("C", 10, "annotation"), ("m.g", 8, "call"), ("m.g", 10, "read"), ("m.h", 9, "write")]
+    text = "import os\nfrom os import environ as e, getenv\na = os.environ['A']\ne['B'] = '1'\nos.getenv('C', 'x'); getenv(a)\n'D' in os.environ\ne.get('E')\ndict(os.environ)\n"
+    assert sorted((n or "", line, role) for n, line, _, role, _ in environment_uses(text)) == [("", 5, "computed read"), ("", 8, "whole"), ("A", 3, "read"), ("B", 4, "write"), ("C", 5, "read"), ("D", 6, "read"), ("E", 7, "read")]
+
+
+def test_uses_of_a_tree(spark, tree, engine):
+    from tessera.sources import uses
+
+    content = uses.read_from(tree, engine.tree)
+    got = uses.uses(content, spark.createDataFrame([("shop/cart.py", "total"), ("tests/test_cart.py", "Cart"), ("broken.py", "x")], "file string, name string"))
+    assert got.count() == 0  # imported, never used
+    assert uses.environment(content).count() == 0
+
+
+def test_text_under_a_budget():
+    from tessera.plans.engine import trimmed
+
+    text = trimmed({"a": ["x" * 50] * 400, "b": ["y"] * 12})
+    assert len(text.encode()) <= 8192 and "more" in text and text.count("- y") == 12
+    assert trimmed({"a": ["x" * 5000] * 12}).count("- x") == 10
+
+
+def test_tree_under_a_cap(engine):
+    from tessera.operators import graph, uses
+
+    shown = uses.tree_under_cap(engine.components, graph.dependents(engine.evidence), 4)
+    assert len(shown) <= 4 and shown[0] == "." and "web" in shown
