@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import os
 import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.session import workers_can_import
+from tessera.session import shared_folder, workers_can_import
 
 #: Rows of one Arrow batch; bounds the Python workers' memory when texts are long.
 BATCH_ROWS = 1000
@@ -28,20 +26,9 @@ def texts(docs: DataFrame, *, null: str | None = "") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(text, F.lit(null)) if null is not None else text).alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = f"file://{tempfile.gettempdir()}/tessera-shared-{os.getuid()}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -116,11 +103,6 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components have not settled after {max_rounds} rounds")
 
 
-def ascii_words(text: Column) -> Column:
-    """Words as runs of characters that aren't ASCII white space."""
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-
-
 _WORD = re.compile(r"\w+")
 
 
