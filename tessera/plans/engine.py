@@ -15,7 +15,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.paths import lexical, module_path, npm_package, parent
+from tessera.functions.paths import lexical, module_path, npm_package, npm_subpath, parent, under
 from tessera.operators import graph, lookups, relations, rules, work
 from tessera.operators import history as commits
 from tessera.operators.predicates import test_file
@@ -51,13 +51,34 @@ def python_imports(facts: DataFrame, tree: DataFrame) -> DataFrame:
     return relative.unionByName(direct)
 
 
-def typescript_imports(facts: DataFrame, tree: DataFrame) -> DataFrame:
-    """Imports of script files with the file that a relative specifier means; packages have none."""
+def typescript_imports(facts: DataFrame, tree: DataFrame, declared: DataFrame) -> DataFrame:
+    """Imports of script files with the file that they load, if it is in the tree; other packages have none.
+
+    In this order: a relative specifier; an alias of the nearest configuration whose pattern fits, the longest first; a
+    package of the tree by its name, through its declared entries, its sources or its directory. Of each the first of
+    the usual suffixes that is there. declared: manifest rows, of which the aliases and packages are few and broadcast.
+    """
     f = facts.where("what in ('import', 'star', 'mock') and module is not null and file rlike '[.][cm]?[jt]sx?$'")
-    at = F.when(F.col("module").rlike(r"^\.{1,2}(/|$)"), lexical(F.concat_ws("/", F.when(parent(F.col("file")) != "", parent(F.col("file"))), "module")))
-    f = f.withColumn("_id", F.struct("file", "line", "module", "name", "what")).withColumn("at", at)
-    tries = f.where("at is not null").select("_id", F.posexplode(F.array(*[F.concat(F.regexp_replace("at", r"\.(js|mjs|cjs)$", "") if e.startswith((".ts", ".mts")) else F.col("at"), F.lit(e)) for e in _EXTENSIONS])).alias("order", "target"))
-    found = tries.join(tree.select(F.col("path").alias("target")), "target").groupBy("_id").agg(F.min_by("target", "order").alias("target"))
+    f = f.withColumn("_id", F.struct("file", "line", "module", "name", "what"))
+    home = parent(F.col("file"))
+    m = F.col("module")
+    near = f.where(m.rlike(r"^\.{1,2}(/|$)")).select("_id", F.lit(0).alias("rank"), lexical(F.concat_ws("/", F.when(home != "", home), m)).alias("at"))
+    bare = f.where(~m.rlike(r"^\.{1,2}(/|$)"))
+    aliases = declared.where("what = 'alias'").select(parent(F.col("file")).alias("dir"), F.substring_index("name", "*", 1).alias("head"), F.when(F.col("name").contains("*"), F.substring_index("name", "*", -1)).alias("tail"), F.col("value").alias("to"))
+    fits = F.when(F.col("tail").isNull(), m == F.col("head")).otherwise(F.startswith(m, F.col("head")) & F.endswith(m, F.col("tail")) & (F.length(m) >= F.length("head") + F.length("tail")))
+    inside = F.substring(m, F.length("head") + 1, F.length(m) - F.length("head") - F.length(F.coalesce("tail", F.lit(""))))
+    aliased = bare.join(F.broadcast(aliases), fits & under(F.col("file"), F.col("dir")))
+    aliased = aliased.select("_id", (1 + 2000 * (100 - F.least(F.size(F.split("dir", "/")), F.lit(99))) - F.least(F.length("head"), F.lit(999))).alias("rank"), lexical(F.concat_ws("/", F.when(F.col("dir") != "", F.col("dir")), F.replace(F.col("to"), F.lit("*"), F.when(F.col("tail").isNull(), "").otherwise(inside)))).alias("at"))
+    packages = declared.where("what = 'package' and file like '%package.json'").select(parent(F.col("file")).alias("dir"), F.col("name").alias("_package"))
+    entries = declared.where("what = 'entry'").select(parent(F.col("file")).alias("dir"), F.col("name").alias("entry"))
+    sub = F.coalesce(npm_subpath(m), F.lit(""))
+    own = bare.withColumn("_package", npm_package(m)).join(F.broadcast(packages), "_package")
+    ways = F.array(F.concat_ws("/", F.when(F.col("dir") != "", F.col("dir")), F.when(sub != "", sub)), F.concat_ws("/", F.when(F.col("dir") != "", F.col("dir")), F.lit("src"), F.when(sub != "", sub).otherwise("index")))
+    by_name = own.select("_id", F.posexplode(ways).alias("k", "at")).select("_id", (1_000_000 + F.col("k")).alias("rank"), "at")
+    by_entry = own.where(sub == "").join(F.broadcast(entries), "dir").select("_id", F.lit(999_999).alias("rank"), lexical(F.concat_ws("/", F.when(F.col("dir") != "", F.col("dir")), "entry")).alias("at"))
+    ways = near.unionByName(aliased).unionByName(by_name).unionByName(by_entry).where("at is not null")
+    tries = ways.select("_id", "rank", F.posexplode(F.array(*[F.concat(F.regexp_replace("at", r"\.(js|mjs|cjs)$", "") if e.startswith((".ts", ".mts")) else F.col("at"), F.lit(e)) for e in _EXTENSIONS])).alias("order", "target"))
+    found = tries.join(tree.select(F.col("path").alias("target")), "target").groupBy("_id").agg(F.min_by("target", F.struct("rank", "order")).alias("target"))
     return f.join(found, "_id", "left").select("file", "line", "module", "name", "target", "scope", "type_only")
 
 
@@ -81,7 +102,7 @@ class Engine:
     @cached_property
     def imports(self) -> DataFrame:
         """Statements that import: file, line, module, name, target, scope, type_only, test."""
-        both = python_imports(self.facts, self.tree).unionByName(typescript_imports(self.facts, self.tree))
+        both = python_imports(self.facts, self.tree).unionByName(typescript_imports(self.facts, self.tree, self.manifests))
         return settle(both.distinct().withColumn("test", test_file(F.col("file"))))
 
     @cached_property

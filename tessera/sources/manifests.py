@@ -165,11 +165,26 @@ def pnpm(text: str) -> Iterator[Row]:
             inside = False
 
 
+def config(text: str) -> Iterator[Row]:
+    """Path aliases of a script project's configuration (JSON with comments): pattern, and each target with the base directory before it."""
+    text = re.sub(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/', lambda m: m[1] or "", text, flags=re.S)
+    data = json.loads(re.sub(r",(\s*[}\]])", r"\1", text))
+    options = data.get("compilerOptions", {})
+    base = (options.get("baseUrl") or ".").rstrip("/")
+    if isinstance(data.get("extends"), str):
+        yield "extends", data["extends"], "extends", None, None
+    if "baseUrl" in options:
+        yield "alias", "*", "baseUrl", f"{base}/*", None
+    for pattern, targets in options.get("paths", {}).items():
+        for t in targets:
+            yield "alias", pattern, "paths", f"{base}/{t.removeprefix('./')}", None
+
+
 def reader_of(name: str):
     """The reader of a manifest by its base name, or None."""
     if re.fullmatch(r"(?:[\w.-]*[-_.])?requirements(?:[-_.][\w.-]*)?\.(?:txt|in)", name):
         return requirements
-    return {"Cargo.toml": cargo, "pyproject.toml": pyproject, "package.json": package_json, "pnpm-workspace.yaml": pnpm}.get(name)
+    return {"Cargo.toml": cargo, "pyproject.toml": pyproject, "package.json": package_json, "pnpm-workspace.yaml": pnpm, "tsconfig.json": config, "jsconfig.json": config}.get(name)
 
 
 def dev_word(path: str) -> str | None:
@@ -194,8 +209,8 @@ def manifests(files: DataFrame) -> DataFrame:
             frame = pd.DataFrame(out, columns=["file", "what", "name", "section", "value", "line"])
             yield frame.astype({"line": "Int32"})
 
-    wanted = files.where(F.regexp_extract("path", "([^/]*)$", 1).rlike(r"^(Cargo\.toml|pyproject\.toml|package\.json|pnpm-workspace\.yaml|.*requirements.*\.(txt|in))$"))
-    kept = wanted.where(F.regexp_extract("path", "([^/]*)$", 1).rlike(r"^(Cargo\.toml|pyproject\.toml|package\.json|pnpm-workspace\.yaml|([\w.-]*[-_.])?requirements([-_.][\w.-]*)?\.(txt|in))$"))
+    wanted = files.where(F.regexp_extract("path", "([^/]*)$", 1).rlike(r"^(Cargo\.toml|pyproject\.toml|package\.json|[tj]sconfig\.json|pnpm-workspace\.yaml|.*requirements.*\.(txt|in))$"))
+    kept = wanted.where(F.regexp_extract("path", "([^/]*)$", 1).rlike(r"^(Cargo\.toml|pyproject\.toml|package\.json|[tj]sconfig\.json|pnpm-workspace\.yaml|([\w.-]*[-_.])?requirements([-_.][\w.-]*)?\.(txt|in))$"))
     return kept.select("path", "content").mapInPandas(run, SCHEMA)
 
 

@@ -19,6 +19,11 @@ FILES = {
     "web/package.json": '{\n  "name": "@shop/web",\n  "dependencies": {\n    "react": "18",\n    "lodash": "4"\n  }\n}\n',
     "web/src/app.ts": "import React from 'react';\nimport { fmt } from './format';\nexport * from './types.js';\n// import x from './comment'\nexport function App() { return fmt(1) }\n",
     "web/src/format.ts": "export const fmt = (n: number) => n;\nimport type { T } from './types';\n",
+    "web/tsconfig.json": '{\n  // aliases\n  "compilerOptions": { "baseUrl": "./src", "paths": { "@/*": ["*"], "@fmt": ["format.ts"], }, },\n}\n',
+    "kit/package.json": '{"name": "@shop/kit", "main": "lib/main.js"}',
+    "kit/lib/main.js": "module.exports = require('./deep')\n",
+    "kit/lib/deep.js": "",
+    "web/src/more.ts": "import { T } from '@/types';\nimport f from '@fmt';\nimport { App } from 'app';\nimport kit from '@shop/kit';\nimport d from '@shop/kit/lib/deep';\n",
     "web/src/types.ts": "export interface T { a: string }\n",
     "web/node_modules/react/index.js": "x",
     "dist/made.py": "import nothing\n",
@@ -83,6 +88,11 @@ def test_imports_between_files(engine):
     assert not any("comment" in d for _, d, *_ in got)
 
 
+def test_aliases_and_packages_of_the_tree(engine):
+    got = rows(engine.evidence.where("target is not null and (src like 'kit/%' or src = 'web/src/more.ts')"), "src", "dst", "line")
+    assert got == [("kit/lib/main.js", "kit/lib/deep.js", 1), ("web/src/more.ts", "kit/lib/deep.js", 5), ("web/src/more.ts", "kit/lib/main.js", 4), ("web/src/more.ts", "web/src/app.ts", 3), ("web/src/more.ts", "web/src/format.ts", 2), ("web/src/more.ts", "web/src/types.ts", 1)]
+
+
 def test_externals_and_gaps(engine):
     got = rows(engine.evidence.where("target is null"), "src", "dst")
     assert got == [("shop/cart.py", "ext:pypi:pyyaml"), ("shop/cart.py", "ext:pypi:requests"), ("web/src/app.ts", "ext:npm:react")]
@@ -124,7 +134,7 @@ def test_check(engine):
 
 def test_summary(engine):
     s = engine.summary(1)
-    assert {r.language: r.files for r in s["languages"].collect()} == {"Python": 6, "TypeScript": 3}
+    assert {r.language: r.files for r in s["languages"].collect()} == {"Python": 6, "TypeScript": 4, "JavaScript": 2}
     assert ("ext:pypi:requests", 1) in rows(s["externals"], "dst", "importers")
     assert "most_depended_on:" in render(s)
 
