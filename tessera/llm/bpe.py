@@ -27,7 +27,7 @@ _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_W
 #: A space between white space and more of it (or the end): there, cutting at spaces would part a pre-token.
 _SPACES = regex.compile(rf"[{_WS}] (?=[{_WS}]|\Z)")
 #: Entries kept in a worker's cache of encoded chunks; beyond it the cache starts anew, which changes no result.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 200_000
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -101,7 +101,7 @@ def fit_trees(counts: dict[str, dict[int, int]]) -> ContextTrees | None:
         n4[np.searchsorted(keys, np.fromiter(counts[x], np.int64, len(counts[x]))), c] = np.fromiter(counts[x].values(), np.float64, len(counts[x]))
     seen = np.unique(np.stack([keys >> s & 255 for s in (24, 16, 8, 0)]))
     base = len(seen) + 1
-    symbol = np.full(256, base - 1, np.int64)
+    symbol = np.full(256, base - 1, np.int32)
     symbol[seen] = np.arange(base - 1)
     grams = {4: (keys, n4)}
     for k in (3, 2, 1):
