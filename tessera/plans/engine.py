@@ -82,6 +82,33 @@ def typescript_imports(facts: DataFrame, tree: DataFrame, declared: DataFrame) -
     return f.join(found, "_id", "left").select("file", "line", "module", "name", "target", "scope", "type_only")
 
 
+def rust_imports(facts: DataFrame, tree: DataFrame, declared: DataFrame) -> DataFrame:
+    """Imports of Rust files with the file of the longest module path that they name; other crates have none.
+
+    A crate is the nearest directory with a package manifest; a file's module path is its path below src. A path
+    starts at the crate, at the module itself or above it, at another crate of the tree by its library's name, or at a
+    module below one's own. Paths are resolved by their leading segments, an equi-join.
+    """
+    crates = declared.where("what = 'package' and file like '%Cargo.toml'").select(parent(F.col("file")).alias("crate"), F.col("value").alias("lib"))
+    sources = lookups.nearest(tree.where("ext = 'rs'").select("path"), "path", crates.select("crate").withColumn("_c", F.col("crate")), "crate").select(F.col("path").alias("file"), F.col("_c").alias("crate"))
+    below = F.when(F.col("crate") == "", F.col("file")).otherwise(F.expr("substring(file, length(crate) + 2)"))
+    mod = F.regexp_replace(F.regexp_replace(below, r"^src/|\.rs$", ""), r"(^|/)(mod|lib|main)$", "")
+    sources = settle(sources.withColumn("mod", F.translate(mod, "/", ":")).withColumn("mod", F.replace("mod", F.lit(":"), F.lit("::"))))
+    f = facts.where("what in ('import', 'star') and file like '%.rs'").join(sources, "file")
+    full = F.split(F.when((F.col("name") == "*") | (F.col("name") == F.col("module")), F.col("module")).otherwise(F.concat_ws("::", "module", "name")), "::")
+    f = f.withColumns({"_id": F.struct("file", "line", "module", "name", "alias"), "seg": full, "own": F.filter(F.split("mod", "::"), lambda x: x != "")})
+    head = F.element_at("seg", 1)
+    ups = F.size("seg") - F.size(F.array_remove("seg", "super"))
+    rest = F.slice("seg", 2, F.size("seg"))
+    same = f.select("_id", "crate", F.when(head == "crate", rest).when(head == "self", F.concat("own", rest)).when(head == "super", F.concat(F.slice("own", 1, F.greatest(F.size("own") - ups, F.lit(0))), F.expr("slice(seg, 1 + size(seg) - size(array_remove(seg, 'super')), size(seg))"))).otherwise(F.concat("own", "seg")).alias("at"), F.when(head.isin("crate", "self", "super"), -1).otherwise(F.size("own")).alias("more_than"))
+    other = f.join(F.broadcast(crates.select(F.col("crate").alias("_to"), "lib")), head == F.col("lib")).select("_id", F.col("_to").alias("crate"), rest.alias("at"), F.lit(-1).alias("more_than"))
+    ways = same.unionByName(other).select("_id", "crate", "more_than", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("at")), lambda k: F.array_join(F.slice("at", 1, F.size("at") - k), "::"))).alias("k", "mod"))
+    known = sources.where("file not like '%/main.rs' or mod <> ''").select("crate", "mod", F.col("file").alias("target"))
+    met = ways.join(known, ["crate", "mod"]).withColumn("n", F.size(F.filter(F.split("mod", "::"), lambda x: x != ""))).where("n > more_than")
+    found = met.groupBy("_id").agg(F.max_by("target", F.struct("n", "target")).alias("target"))
+    return f.join(found, "_id", "left").select("file", "line", "module", "name", "target", "scope", "type_only")
+
+
 @dataclass
 class Engine:
     spark: SparkSession
@@ -102,7 +129,7 @@ class Engine:
     @cached_property
     def imports(self) -> DataFrame:
         """Statements that import: file, line, module, name, target, scope, type_only, test."""
-        both = python_imports(self.facts, self.tree).unionByName(typescript_imports(self.facts, self.tree, self.manifests))
+        both = python_imports(self.facts, self.tree).unionByName(typescript_imports(self.facts, self.tree, self.manifests)).unionByName(rust_imports(self.facts, self.tree, self.manifests))
         return settle(both.distinct().withColumn("test", test_file(F.col("file"))))
 
     @cached_property
@@ -139,7 +166,8 @@ class Engine:
         py_names = lookups.distributions(out.where("file rlike '[.]pyi?$' and module <> ''").select("module"), externals.where("dst like 'ext:pypi:%'").select(F.col("_n").alias("name")), self.spark.createDataFrame([], "prefix string, distribution string"), self.spark.createDataFrame(WELL_KNOWN, "top string, distribution string"))
         py = out.where("file rlike '[.]pyi?$'").join(py_names, "module").withColumn("dst", F.concat(F.lit("ext:pypi:"), "distribution"))
         cols = ["src", "dst", "kind", "file", "line", "target", "name", "test", "type_only", "scope"]
-        ext = npm.select(*out.columns, "dst").unionByName(py.select(*out.columns, "dst")).select(F.col("file").alias("src"), "dst", F.lit("imports").alias("kind"), "file", "line", F.lit(None).cast("string").alias("target"), F.coalesce("name", F.lit("*")).alias("name"), "test", "type_only", "scope")
+        rs = out.where("file like '%.rs'").withColumn("_n", F.substring_index("module", "::", 1)).join(externals.where("dst like 'ext:cargo:%'").select("dst", F.translate("_n", "-", "_").alias("_n")), "_n")
+        ext = npm.select(*out.columns, "dst").unionByName(py.select(*out.columns, "dst")).unionByName(rs.select(*out.columns, "dst")).select(F.col("file").alias("src"), "dst", F.lit("imports").alias("kind"), "file", "line", F.lit(None).cast("string").alias("target"), F.coalesce("name", F.lit("*")).alias("name"), "test", "type_only", "scope")
         rows = inside.select(*cols).unionByName(ext.select(*cols)).groupBy(*[c for c in cols if c != "name"]).agg(F.array_sort(F.collect_set("name")).alias("names"))
         return settle(rows.withColumn("server_reference", F.lit(False)))
 
@@ -149,7 +177,7 @@ class Engine:
         known = self.evidence.select("file", "line").distinct()
         u = self.imports.where("target is null and module <> ''").join(known, ["file", "line"], "left_anti")
         std = F.col("file").rlike("[.]pyi?$") & F.substring_index("module", ".", 1).isin(*STANDARD)
-        node = F.col("module").startswith("node:")
+        node = F.col("module").startswith("node:") | (F.col("file").endswith(".rs") & F.substring_index("module", "::", 1).isin("std", "core", "alloc"))
         return settle(u.where(~std & ~node).select(F.col("file").alias("src"), "module", F.when(F.col("module").startswith("."), "not_found").otherwise("undeclared").alias("reason"), "file", "line", "test"))
 
     @cached_property

@@ -24,6 +24,14 @@ FILES = {
     "kit/lib/main.js": "module.exports = require('./deep')\n",
     "kit/lib/deep.js": "",
     "web/src/more.ts": "import { T } from '@/types';\nimport f from '@fmt';\nimport { App } from 'app';\nimport kit from '@shop/kit';\nimport d from '@shop/kit/lib/deep';\n",
+    "rs/app/Cargo.toml": '[package]\nname = "my-app"\n[dependencies]\nserde_json = "1"\n',
+    "rs/app/src/main.rs": "mod cart;\nuse cart::Cart;\nuse serde_json::Value;\nuse base_kit::price::total;\nuse std::fmt;\nuse nowhere::X;\n",
+    "rs/app/src/cart.rs": "pub mod line;\npub use self::line::Line;\nuse crate::cart::line::*;\npub struct Cart;\n",
+    "rs/app/src/cart/line.rs": "use super::Cart;\nuse super::super::other::Y;\npub struct Line;\n",
+    "rs/app/src/other/mod.rs": "pub struct Y;\n",
+    "rs/kit/Cargo.toml": '[package]\nname = "base-kit"\n',
+    "rs/kit/src/lib.rs": "pub mod price;\n",
+    "rs/kit/src/price.rs": "pub fn total() {}\n",
     "web/src/types.ts": "export interface T { a: string }\n",
     "web/node_modules/react/index.js": "x",
     "dist/made.py": "import nothing\n",
@@ -93,10 +101,15 @@ def test_aliases_and_packages_of_the_tree(engine):
     assert got == [("kit/lib/main.js", "kit/lib/deep.js", 1), ("web/src/more.ts", "kit/lib/deep.js", 5), ("web/src/more.ts", "kit/lib/main.js", 4), ("web/src/more.ts", "web/src/app.ts", 3), ("web/src/more.ts", "web/src/format.ts", 2), ("web/src/more.ts", "web/src/types.ts", 1)]
 
 
+def test_rust_paths(engine):
+    got = sorted((a.removeprefix("rs/"), b.removeprefix("rs/"), n) for a, b, n in rows(engine.evidence.where("src like 'rs/%'"), "src", "dst", "line"))
+    assert got == [("app/src/cart.rs", "app/src/cart/line.rs", 2), ("app/src/cart.rs", "app/src/cart/line.rs", 3), ("app/src/cart/line.rs", "app/src/cart.rs", 1), ("app/src/cart/line.rs", "app/src/other/mod.rs", 2), ("app/src/main.rs", "app/src/cart.rs", 2), ("app/src/main.rs", "ext:cargo:serde_json", 3), ("app/src/main.rs", "kit/src/price.rs", 4)]
+
+
 def test_externals_and_gaps(engine):
-    got = rows(engine.evidence.where("target is null"), "src", "dst")
+    got = rows(engine.evidence.where("target is null and src not like 'rs/%'"), "src", "dst")
     assert got == [("shop/cart.py", "ext:pypi:pyyaml"), ("shop/cart.py", "ext:pypi:requests"), ("web/src/app.ts", "ext:npm:react")]
-    assert rows(engine.unmapped, "src", "module", "reason") == [("shop/price.py", "missing.thing", "undeclared")]
+    assert rows(engine.unmapped, "src", "module", "reason") == [("rs/app/src/main.rs", "nowhere", "undeclared"), ("shop/price.py", "missing.thing", "undeclared")]
     assert rows(engine.facts.where("what = 'error'"), "file") == [("broken.py",)]
     assert rows(engine.facts.where("what = 'dynamic'"), "file", "module") == [("shop/user.py", "shop.plugins.")]
 
@@ -134,7 +147,7 @@ def test_check(engine):
 
 def test_summary(engine):
     s = engine.summary(1)
-    assert {r.language: r.files for r in s["languages"].collect()} == {"Python": 6, "TypeScript": 4, "JavaScript": 2}
+    assert {r.language: r.files for r in s["languages"].collect()} == {"Python": 6, "TypeScript": 4, "JavaScript": 2, "Rust": 6}
     assert ("ext:pypi:requests", 1) in rows(s["externals"], "dst", "importers")
     assert "most_depended_on:" in render(s)
 
