@@ -133,6 +133,25 @@ def test_lines_against_brute_force(spark, lined):
     assert sum(r.n_lines for r in rows.values()) == sum(len(t.split("\n")) for _, t in lined if t is not None)
 
 
+@pytest.mark.parametrize("part", [500, 16])
+def test_hot_bucket_against_brute_force(spark, monkeypatch, part):
+    """Lines with equal first quarters, so of one bucket, of which each has one that differs by a letter of the last quarter."""
+    monkeypatch.setattr(line_dedup, "PART", part)
+    rnd = random.Random(8)
+    letters = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    head = " ".join(letters(4) for _ in range(16))
+    rows = []
+    for k in range(50):
+        line = head + "".join(f" {letters(10)}" for _ in range(4))
+        rows += [(k, line), (100 + k, line[:-1] + ("a" if line[-1] != "a" else "b"))]
+    lines = sorted({norm(t) for _, t in rows})
+    linked = [(a, b) for a, b in itertools.combinations(lines, 2) if alike(a, b)]
+    want = dict(slow_lines(rows, linked))
+    assert sum(t == "" for t in want.values()) == 50
+    got = {r.doc_id: r.text for r in line_dedup.dedupe_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_blocks_are_majorities(spark):
     from pyspark.sql import functions as F
 
