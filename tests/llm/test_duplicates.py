@@ -152,6 +152,25 @@ def test_hot_bucket_against_brute_force(spark, monkeypatch, part):
     assert got == want
 
 
+def test_numbers_count_as_text(spark):
+    rnd = random.Random(9)
+    rows = [(k, f"In the year {rnd.randrange(1000, 3000)} the town had {rnd.randrange(10 ** rnd.randint(1, 6))} schools.") for k in range(60)]
+    rows += [(100, "in the year 1998 the town had 12 schools"), (101, "in the year 2021 the town had 48731 schools"), (102, rows[0][1].upper())]
+    parts = {d: tuple(regex.findall(r"[\p{L}\p{M}\p{N}]+", t.lower())) for d, t in rows}
+    assert not alike(parts[100], parts[101])
+    u = Union()
+    for a, b in itertools.combinations(parts, 2):
+        if alike(parts[a], parts[b]):
+            u.join(a, b)
+    want = {d: t if u.find(d) == d else "" for d, t in rows}
+    got = {r.doc_id: r.text for r in line_dedup.dedupe_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and want[102] == ""
+
+    # No chain through others: both stay, whose words are equal.
+    two = spark.createDataFrame(rows[60:62], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_dedup.dedupe_lines(two).collect()} == dict(rows[60:62])
+
+
 def test_blocks_are_majorities(spark):
     from pyspark.sql import functions as F
 
