@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.session import shared_folder, workers_can_import
@@ -79,14 +79,12 @@ def components(edges: DataFrame, *, max_rounds: int = 60) -> DataFrame:
     about log² rounds and whose edge count never grows; each round is checkpointed in the shared folder. Self loops
     and repeated edges are allowed; an empty table gives an empty one. Raises if it has not settled after max_rounds.
     """
-    spark = edges.sparkSession
-    nodes_type = edges.schema["a"].dataType
     e = edges.select(F.col("a"), F.col("b")).where("a is not null and b is not null and a <> b")
     e = written(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = mark(e)
     if not before[0]:
-        return spark.createDataFrame([], "node long, component long").select(F.col("node").cast(nodes_type), F.col("component").cast(nodes_type))
+        return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("m"))
@@ -115,25 +113,42 @@ def plain_words(text: str) -> list[str]:
 FILTER_BITS = 1 << 25
 
 
-def flagged(df: DataFrame, ids: DataFrame, *, column: str = "doc_id", flag: str = "maybe") -> DataFrame:
-    """df with a boolean: false only where the id is surely not among ids (one column of longs).
+def own_columns(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as keep it apart from all columns of df."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def flagged(df: DataFrame, ids: DataFrame, *, column: str = "doc_id") -> tuple[DataFrame, str]:
+    """df with one more boolean column, and its name: false only where the id is surely not among ids (one column of longs).
 
     A bitmap of hashed ids, of FILTER_BITS at most, is joined by broadcast; it spares a shuffle of texts that a join
-    would throw away. With very many ids it lets everything pass.
+    would throw away. With very many ids it lets everything pass. The new name is one that df doesn't have.
     """
     name = ids.columns[0]
     n = ids.count()
     bits = min(FILTER_BITS, max(1 << 16, 1 << (max(1, 16 * n) - 1).bit_length()))
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    words = ids.where(F.col(name).isNotNull()).select(place(F.col(name)).alias("bit")).select(F.shiftright("bit", 6).alias("_word"), F.expr("shiftleft(1L, int(bit & 63))").alias("_mask")).groupBy("_word").agg(F.bit_or("_mask").alias("_mask"))
-    rows = df.withColumn("_bit", place(F.col(column)))
-    hit = rows.join(F.broadcast(words), F.shiftright("_bit", 6) == words["_word"], "left")
-    return hit.select(*df.columns, F.coalesce(F.expr("shiftrightunsigned(_mask, int(_bit & 63)) & 1L = 1L"), F.lit(False)).alias(flag))
+    maybe, bit, word, mask = fresh(df, "maybe", "bit", "word", "mask")
+    words = ids.where(F.col(name).isNotNull()).select(place(F.col(name)).alias(bit)).select(F.shiftright(bit, 6).alias(word), F.expr(f"shiftleft(1L, int({bit} & 63))").alias(mask)).groupBy(word).agg(F.bit_or(mask).alias(mask))
+    rows = df.select(*own_columns(df), place(F.col(column)).alias(bit))
+    hit = rows.join(F.broadcast(words), F.shiftright(bit, 6) == F.col(word), "left")
+    return hit.select(*own_columns(df), F.coalesce(F.expr(f"shiftrightunsigned({mask}, int({bit} & 63)) & 1L = 1L"), F.lit(False)).alias(maybe)), maybe
 
 
 def possibly_in(df: DataFrame, ids: DataFrame, *, column: str = "doc_id") -> DataFrame:
     """The rows of df whose id may be among ids: none that is goes missing, a few that are not stay."""
-    return flagged(df, ids, column=column, flag="_maybe").where("_maybe").select(*df.columns)
+    rows, maybe = flagged(df, ids, column=column)
+    return rows.where(maybe).select(*own_columns(df))
 
 
 def filter_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list[bool]]]) -> DataFrame:
@@ -151,7 +166,7 @@ def filter_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
 
 def without(df: DataFrame, ids: DataFrame, *, column: str = "doc_id") -> DataFrame:
     """The rows of df whose id is not among ids (one column); rows with a null id stay."""
-    name = ids.columns[0]
-    rows = flagged(df, ids, column=column, flag="_maybe")
-    rest = rows.where("_maybe").join(ids.select(F.col(name).alias("_gone")), F.col(column) == F.col("_gone"), "left_anti")
-    return rows.where("not _maybe").select(*df.columns).unionByName(rest.select(*df.columns))
+    rows, maybe = flagged(df, ids, column=column)
+    (gone,) = fresh(df, "gone")
+    rest = rows.where(maybe).join(ids.select(F.col(ids.columns[0]).alias(gone)), F.col(column) == F.col(gone), "left_anti")
+    return rows.where(f"not {maybe}").select(*own_columns(df)).unionByName(rest.select(*own_columns(df)))

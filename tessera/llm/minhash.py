@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, map_batches, possibly_in, small_batches, texts, without, written
+from tessera.llm.common import components, fresh, map_batches, own_columns, possibly_in, small_batches, texts, without, written
 from tessera.llm.shingles import document_frequencies, levels, mix, weighted
 
 SIMILARITY, BANDS, ROWS = 0.8, 9, 3
@@ -160,7 +160,7 @@ def classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without all but the first (by doc_id) of each class, with all their columns.
+    """The documents without all but the first (by doc_id) of each class, with all their columns, whatever their names.
 
     Of rows with one doc_id one stays, the least by text. Rows with a null doc_id or without words stay.
     """
@@ -169,8 +169,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     twice = told.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id")
     if twice.isEmpty():
         return kept
-    again = kept.join(twice, "doc_id", "left_semi").select(*docs.columns)
-    least = again.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+    (row,) = fresh(docs, "row")
+    again = kept.join(twice.select(F.col("doc_id").alias(row)), F.col("doc_id") == F.col(row), "left_semi")
+    least = again.groupBy("doc_id").agg(F.min_by(F.struct(*own_columns(docs)), F.coalesce("text", F.lit(""))).alias(row)).select(f"{row}.*")
     return without(kept, twice).unionByName(least)
 
 

@@ -294,8 +294,8 @@ def remove_repeats(docs: DataFrame, *, keep_text: bool = False) -> DataFrame:
     """
     keyed, spans = repeated_spans(docs)
     spans = written(spans.groupBy("d", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")  # bounded by the text's length
-    rows = flagged(keyed, spans.select("d"), column="d")
-    clean = rows.where("not maybe").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *([F.col("text").cast("binary").alias("kept")] if keep_text else []))
+    rows, maybe = flagged(keyed, spans.select("d"), column="d")
+    clean = rows.where(f"not {maybe}").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *([F.col("text").cast("binary").alias("kept")] if keep_text else []))
     small_batches(docs.sparkSession)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_text else [])]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
@@ -316,5 +316,5 @@ def remove_repeats(docs: DataFrame, *, keep_text: bool = False) -> DataFrame:
                     x.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=False)], names)
 
-    touched = rows.where("maybe").join(spans, ["d", "th"], "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
+    touched = rows.where(maybe).join(spans, ["d", "th"], "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
     return clean.unionByName(touched)
