@@ -86,6 +86,12 @@ def coverage(files: DataFrame, languages: DataFrame) -> DataFrame:
     return known.groupBy("language").agg(F.count("*").alias("files"), F.when(F.bool_or("analyzed"), F.sum(F.col("read").cast("long"))).alias("read"), F.sum(F.col("script").cast("long")).alias("scripts"))
 
 
+def name_classes(components: DataFrame, by: str = "name") -> DataFrame:
+    """Components that share their name or path with others: id, first (the least id of that name) and n, how many have it."""
+    shared = components.where(F.col(by).isNotNull()).groupBy(by).agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return components.join(shared, by).select("id", "first", "n")
+
+
 def namesakes(components: DataFrame, by: str = "name") -> DataFrame:
     """Other components of one's name or path: id, other."""
     shared = components.where(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("_n")).where("_n > 1").select(by)

@@ -1,7 +1,7 @@
 """Declared architecture: findings where relations don't follow the rules, and signals.
 
 Rule tables have a rule file's few rows and are broadcast. Findings have kind, subject, object and detail, and an order:
-unmatched selectors, denied dependencies, layers, allowances, coverage, undeclared imports, cycles.
+unmatched selectors, denied dependencies, layers, allowances, coverage, undeclared imports, cycles, ignores without use.
 """
 
 from __future__ import annotations
@@ -15,7 +15,12 @@ from tessera.functions.paths import covered_by
 from tessera.operators.graph import cycle_levels, strong_components
 from tessera.operators.predicates import selector_matches
 
-ORDER = ("unmatched_selector", "denied", "unknown_name", "layer", "unexpected", "stale", "uncovered", "undeclared", "cycle")
+ORDER = ("unmatched_selector", "denied", "unknown_name", "layer", "unexpected", "stale", "uncovered", "undeclared", "cycle", "unmatched_ignore")
+
+
+def selected(components: DataFrame, selectors: DataFrame) -> DataFrame:
+    """Ids of the components that a selector (one column) matches."""
+    return components.join(F.broadcast(selectors), selector_matches(F.col("selector"), F.col("id"), F.col("kind"), F.col("path"))).select("id").distinct()
 
 
 def unmatched_selectors(components: DataFrame, declared: DataFrame) -> DataFrame:
@@ -113,7 +118,10 @@ def mixed_directions(evidence: DataFrame) -> DataFrame:
 
 
 def check(evidence: DataFrame, components: DataFrame, rules: dict[str, DataFrame], members: DataFrame, unmapped: DataFrame | None = None) -> DataFrame:
-    """All findings: ordinal, kind, subject, object, detail. rules: declared and any of deny, layers, allow, required, ignore, cycle_scope."""
+    """All findings: ordinal, kind, subject, object, detail. rules: declared and any of deny, layers, allow, required, ignore, cycle_scope.
+
+    cycle_scope has selectors; without a row every component is in scope.
+    """
     dependencies = evidence.where("not test").select("src", "dst").distinct()
     pairs = declared_pairs(dependencies, members)
     null = F.lit(None).cast("string")
@@ -128,7 +136,8 @@ def check(evidence: DataFrame, components: DataFrame, rules: dict[str, DataFrame
     if "required" in rules:
         out.append(row(uncovered(components, members, rules["required"]), "uncovered", "id"))
     if unmapped is not None and "ignore" in rules:
-        out.append(row(undeclared(unmapped, rules["ignore"]), "undeclared", "src", "module"))
+        out += [row(undeclared(unmapped, rules["ignore"]), "undeclared", "src", "module"), row(unmatched_ignores(unmapped, rules["ignore"]), "unmatched_ignore", "prefix")]
     if "cycle_scope" in rules:
-        out.append(row(cycles(evidence, rules["cycle_scope"]), "cycle", "id", "component", "level"))
+        scope = None if rules["cycle_scope"].isEmpty() else selected(components, rules["cycle_scope"])
+        out.append(row(cycles(evidence, scope), "cycle", "id", "component", "level"))
     return reduce(DataFrame.unionByName, out)

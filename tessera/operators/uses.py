@@ -58,9 +58,9 @@ def known_files(*sources: DataFrame) -> DataFrame:
 
 
 def display_names(components: DataFrame) -> DataFrame:
-    """A component's name, or its id where others share the name: id, shown."""
-    shared = components.groupBy("name").agg((F.count("*") > 1).alias("_shared"))
-    return components.join(shared, "name").select("id", F.when(F.col("_shared"), F.col("id")).otherwise(F.col("name")).alias("shown"))
+    """A component's name, or its id where others share the name or it has none: id, shown."""
+    shared = components.where("name is not null").groupBy("name").agg((F.count("*") > 1).alias("_shared"))
+    return components.join(shared, "name", "left").select("id", F.when(F.col("_shared"), F.col("id")).otherwise(F.coalesce("name", "id")).alias("shown"))
 
 
 def first_evidence(evidence: DataFrame, keys: list[str], most: int = 3) -> DataFrame:

@@ -122,10 +122,9 @@ def top_counts_with_rest(spark, d):
     return relations.top_with_rest(n, ["src"], [F.desc("n"), F.asc("target")], 5).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"WITH {COMP} SELECT a.id, b.id AS other FROM comp a JOIN comp b ON substr(a.name, 1, 12) || right(a.name, 1) = substr(b.name, 1, 12) || right(b.name, 1) AND a.id <> b.id WHERE substr(a.id, 1, 1) = 'S' AND substr(b.id, 1, 1) = 'S'")
+@query("SELECT id, first, n FROM (SELECT 'P' || p_partkey AS id, min('P' || p_partkey) OVER w AS first, count(*) OVER w AS n FROM part WINDOW w AS (PARTITION BY p_name)) WHERE n > 1")
 def namesakes(spark, d):
-    c = J.components(spark, d).where("id like 'S%'").select("id", F.concat(F.substring("name", 1, 12), F.substring("name", -1, 1)).alias("name"))
-    return relations.namesakes(c)
+    return relations.name_classes(J.table(spark, d, "part").select(J.named("P", "p_partkey").alias("id"), F.col("p_name").alias("name")))
 
 
 # Paths
@@ -276,12 +275,12 @@ def exportable_names(spark, d):
     return graph.propagated(J.sparse(spark, d), own).groupBy("id").agg(F.count("*").alias("names"), F.min("name").alias("first"), F.max("name").alias("last"))
 
 
-_DAG = J.sparse_sql(acyclic=True).replace("c_nationkey <> s_nationkey", "c_nationkey < s_nationkey")
+_DAG = J.sparse_sql().replace("c_nationkey <> s_nationkey", "c_nationkey < s_nationkey")
 
 
 @query(f"WITH RECURSIVE {_DAG}, e AS (SELECT DISTINCT src, dst FROM sp), r(id, level) AS (SELECT DISTINCT dst, 0 FROM e WHERE dst NOT IN (SELECT src FROM e) UNION SELECT e.src, r.level + 1 FROM r JOIN e ON e.dst = r.id) SELECT id, CAST(max(level) AS INTEGER) AS level FROM r GROUP BY 1")
 def topological_levels(spark, d):
-    e = J.sparse(spark, d, acyclic=True).where("cast(substring(src, 2) as int) < cast(substring(dst, 2) as int)")
+    e = J.sparse(spark, d).where("cast(substring(src, 2) as int) < cast(substring(dst, 2) as int)")
     return graph.levels(e)
 
 
@@ -425,10 +424,12 @@ def page_links(spark, d):
     return J.table(spark, d, "pages").select("page_id", F.explode(F.expr("regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)")).alias("href")).groupBy("page_id", "href").agg(F.count("*").alias("n"))
 
 
-@query("SELECT doc_id, length(substr(text, 1, 200)) - length(replace(substr(text, 1, 200), chr(10), '')) + 1 AS line, length(regexp_replace(substr(text, 1, 200), '(?s)^.*\\n', '')) + 1 AS col FROM documents")
+@query("SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS line, length(text) - strrpos AS col FROM (SELECT doc_id, text, length(text) - length(string_split(text, chr(10))[-1]) - 1 AS strrpos FROM documents)")
 def line_offsets(spark, d):
+    """Where each whole text ends."""
     t = J.table(spark, d, "documents")
-    return t.select("doc_id", X.line_of(F.col("text"), F.lit(200)).cast("long").alias("line"), X.column_of(F.col("text"), F.lit(200)).cast("long").alias("col"))
+    end = F.length("text")
+    return t.select("doc_id", X.line_of(F.col("text"), end).cast("long").alias("line"), X.column_of(F.col("text"), end).cast("long").alias("col"))
 
 
 @query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS stamp, epoch(o_orderdate)::BIGINT AS seconds, strftime(o_orderdate, '%Y-%m-%d') AS day, strftime(o_orderdate, '%Y-%m-%d %H:%M UTC') AS minute FROM orders")

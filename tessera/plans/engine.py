@@ -279,9 +279,9 @@ class Engine:
         return out if number is None else {k: v.where(F.col("number") == number) if "number" in v.columns else v for k, v in out.items()}
 
     def write(self, folder: str) -> None:
-        """The graph as JSON lines, a folder per relation, in a fixed order."""
+        """The graph as JSON lines, a folder per relation, whose files are in a fixed order one after the other."""
         for name, df, order in (("components", self.components, ["id"]), ("symbols", self.symbols, ["id", "line"]), ("edges", self.edges(), ["src", "dst", "kind"]), ("unmapped_imports", self.unmapped, ["file", "line", "module"])):
-            df.coalesce(1).orderBy(*order).write.mode("overwrite").json(f"{folder}/{name}")
+            df.orderBy(*order).write.mode("overwrite").json(f"{folder}/{name}")
 
 
 #: Modules of the Python standard library come from the interpreter; names that differ from their distribution's.
@@ -294,7 +294,7 @@ def parse_rules(spark: SparkSession, text: str) -> dict[str, DataFrame]:
     """Rule tables of a TOML text; unknown keys are errors.
 
     [components] name = selector or list; [[deny]] from, to; [layers] order = names, top first; [allow] name = names;
-    [coverage] require = selectors; [cycles] within = selectors; [undeclared_imports] ignore = prefixes.
+    [coverage] require = selectors; [cycles] within = selectors, all components without them; [undeclared_imports] ignore = prefixes.
     """
     data = tomllib.loads(text)
     if unknown := set(data) - _RULE_KEYS:
@@ -309,6 +309,8 @@ def parse_rules(spark: SparkSession, text: str) -> dict[str, DataFrame]:
         out["allow"] = spark.createDataFrame([(n, x) for n, own in data["allow"].items() for x in listed(own)], "from string, to string")
     if "coverage" in data:
         out["required"] = spark.createDataFrame([(x,) for x in data["coverage"]["require"]], "selector string")
+    if "cycles" in data:
+        out["cycle_scope"] = spark.createDataFrame([(x,) for x in listed(data["cycles"].get("within", []))], "selector string")
     if "undeclared_imports" in data:
         out["ignore"] = spark.createDataFrame([(x,) for x in data["undeclared_imports"].get("ignore", [])], "prefix string")
     return out

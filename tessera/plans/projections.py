@@ -69,11 +69,9 @@ FOLD_SQL = """leaf AS (
 )"""
 
 
-def sparse(spark: SparkSession, sf_dir: str, *, acyclic: bool = False) -> DataFrame:
+def sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations that take from nations through a few urgent, large orders: src, dst, file, line, target, scope, test, type_only."""
     li = table(spark, sf_dir, "lineitem").where("l_quantity >= 49 and l_returnflag = 'N' and l_linestatus = 'O'")
-    if acyclic:
-        li = li.where("l_orderkey % 3 = 0")
     o = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
@@ -81,11 +79,11 @@ def sparse(spark: SparkSession, sf_dir: str, *, acyclic: bool = False) -> DataFr
     return e.select(named("N", "c_nationkey").alias("src"), named("N", "s_nationkey").alias("dst"), named("o", "l_orderkey").alias("file"), F.col("l_linenumber").alias("line"), named("o", "l_partkey").alias("target"), F.when(F.col("l_discount") > 0.05, "local").otherwise("module").alias("scope"), F.lit(False).alias("test"), F.lit(False).alias("type_only"))
 
 
-def sparse_sql(acyclic: bool = False) -> str:
+def sparse_sql() -> str:
     return f"""sp AS (
   SELECT 'N' || c_nationkey AS src, 'N' || s_nationkey AS dst, 'o' || l_orderkey AS file, l_linenumber AS line, 'o' || l_partkey AS target, CASE WHEN l_discount > 0.05 THEN 'local' ELSE 'module' END AS scope
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  WHERE l_quantity >= 49 AND l_returnflag = 'N' AND l_linestatus = 'O' AND o_orderpriority = '1-URGENT' AND c_nationkey <> s_nationkey{' AND l_orderkey % 3 = 0' if acyclic else ''}
+  WHERE l_quantity >= 49 AND l_returnflag = 'N' AND l_linestatus = 'O' AND o_orderpriority = '1-URGENT' AND c_nationkey <> s_nationkey
 )"""
 
 

@@ -142,6 +142,11 @@ def test_check(engine):
     findings, _ = engine.check(text)
     got = rows(findings, "kind", "subject", "object")
     assert ("unmatched_selector", "gone", "nowhere") in got and ("denied", "shop/cart.py", "ext:pypi:requests") in got and ("undeclared", "shop/price.py", "missing.thing") in got
+    cycles = rows(findings.where("kind = 'cycle'"), "subject", "object")
+    assert {("rs/app/src/cart.rs", "rs/app/src/cart.rs"), ("rs/app/src/cart/line.rs", "rs/app/src/cart.rs")} <= set(cycles)
+    assert ("unmatched_ignore", "other", None) in got
+    within, _ = engine.check('[components]\n[cycles]\nwithin = ["shop"]\n')
+    assert {s for s, _ in rows(within.where("kind = 'cycle'"), "subject", "object")} == {s for s, _ in cycles if s.startswith("shop")}
     with pytest.raises(ValueError):
         parse_rules(engine.spark, "[nonsense]\nx = 1\n")
 
