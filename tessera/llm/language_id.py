@@ -9,11 +9,11 @@ escape from its context and the code length in the next shorter one. The languag
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +26,7 @@ ROWS_PER_LANGUAGE = 500
 SCORE_BYTES = 64
 #: Bits a byte from which on a text is in none of the languages.
 MOST_BITS = 10
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _START = b" " * ORDER
 
 

@@ -278,3 +278,10 @@ def test_search_returns_all_above_the_threshold():
         want = sorted(i for i, s in scores.items() if s >= 1)
         assert sorted(i for i, _ in index.search(q & index.vocabulary)) == want
         assert index.may_reach(q) or not want
+
+
+def test_number_signs_are_no_letters(spark):
+    trees = language_id.fit_trees({"en": {int.from_bytes(b" the"): 3}})
+    docs = spark.createDataFrame([(1, "½ ² ③"), (2, "½ a")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(docs, trees).collect()} == {1: "und", 2: "en"}
+    assert [r.doc_id for r in language_id.accepted(docs, trees).collect()] in ([], [2])
