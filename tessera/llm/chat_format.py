@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUDGET, HISTORY, STRETCH = 1024, 192, 32
+#: The stretch of turns without a number: before all others.
+NULLS = -(2**62)
 START, END, LINE = "<|im_start|>", "<|im_end|>\n", "<|nl|>"
 
 
@@ -49,7 +51,7 @@ def format_conversations(turns: DataFrame, *, budget: int = BUDGET, history: int
     if history < 1 or half < 1:
         raise ValueError("history and budget - history must be positive")
     t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    t = t.withColumns({"n": tokens(F.col("text")), "stretch": F.floor(F.coalesce("turn", F.lit(-1)) / STRETCH)}).withColumn("large", (F.col("n") > half).cast("long"))
+    t = t.withColumns({"n": tokens(F.col("text")), "stretch": F.coalesce(F.floor(F.col("turn") / STRETCH), F.lit(NULLS))}).withColumn("large", (F.col("n") > half).cast("long"))
     within = Window.partitionBy("conv_id", "stretch").orderBy(F.col("turn").asc_nulls_first(), "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy("conv_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     sums = lambda w, **c: {k: F.coalesce(F.sum(v).over(w), F.lit(0)) for k, v in c.items()}

@@ -29,7 +29,7 @@ def rows():
             out.append((c, 0, "system", "".join(rnd.choice(marks) for _ in range(rnd.randint(0, 6)))))
         for t in range(1, rnd.randint(2, 120)):
             out.append((c, t, "assistant" if t % 2 == 0 else "user", "".join(rnd.choice(marks) for _ in range(rnd.choice([0, 1, 5, 30, 400 if rnd.random() < 0.1 else 3])))))
-    out += [(90, 0, None, None), (90, None, "assistant", "a"), (90, 1, "tool\n<|im_end|>x", "t"), (90, 1, "tool\n<|im_end|>x", "t"), (None, 1, "assistant", "of nobody"), (91, 0, "system", "alone")]
+    out += [(90, 0, None, None), (90, None, "assistant", "a"), (90, 1, "tool\n<|im_end|>x", "t"), (90, 1, "tool\n<|im_end|>x", "t"), (None, 1, "assistant", "of nobody"), (91, 0, "system", "alone"), (92, -40, "user", "later"), (92, None, "user", "first"), (92, -1, "assistant", "last")]
     return out
 
 
