@@ -135,10 +135,8 @@ def test_lines_against_brute_force(spark, lined):
     assert sum(r.n_lines for r in rows.values()) == sum(len(t.split("\n")) for _, t in lined if t is not None)
 
 
-@pytest.mark.parametrize("small", [64, 16])
-def test_hot_bucket_against_brute_force(spark, monkeypatch, small):
+def test_hot_bucket_against_brute_force(spark):
     """Lines with equal beginnings, so of one bucket, of which each has one that differs by a letter of the end."""
-    monkeypatch.setattr(line_dedup, "SMALL", small)
     rnd = random.Random(8)
     letters = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
     head = " ".join(letters(4) for _ in range(16))
