@@ -108,3 +108,66 @@ def import_name(crate: Column) -> Column:
 def renamed_id(ident: Column, old: Column, new: Column) -> Column:
     """An id and everything below it (::) under another name."""
     return F.when(ident == old, new).when(F.startswith(ident, F.concat(old, F.lit("::"))), F.concat(new, F.substring(ident, F.length(old) + 1, F.length(ident)))).otherwise(ident)
+
+
+def admits_major(version: Column, major: int) -> Column:
+    """Whether a version range admits a release of a major or a later one.
+
+    One of its alternatives does (between ||): by its leading number, which of a hyphen range is the upper end's; by an
+    upper bound above it (`<` of exactly the major does not, with a minor above 0 it does); by being open upwards; or
+    by naming no number at all.
+    """
+
+    def one(alternative: Column) -> Column:
+        first = F.substring_index(F.trim(F.substring_index(alternative, " - ", -1)), " ", 1)
+        numbers = F.transform(F.split(F.regexp_extract(F.regexp_replace(first, r"^[\^~<>=v]+", ""), r"^\d+(?:\.\d+)*", 0), r"\."), lambda n: n.try_cast("bigint"))
+        leading = numbers[0]
+        below = (leading > major) | ((leading == major) & F.exists(F.slice(numbers, 2, 1 << 10), lambda n: n > 0))
+        bound = F.when(F.startswith(first, F.lit("<=")), leading >= major).otherwise(below)
+        open_ = F.startswith(first, F.lit(">")) & ~F.contains(alternative, F.lit("<"))
+        return F.when(leading.isNull(), True).when(F.startswith(first, F.lit("<")), bound).otherwise((leading >= major) | open_)
+
+    return F.exists(F.transform(F.split(version, r"\|\|"), lambda a: F.trim(a)), one)
+
+
+#: File names that stand for their directory in an import.
+ENTRY_NAMES = ("index", "__init__", "mod")
+
+
+def tail(parts: Column) -> Column:
+    """Segments of a path or import without the last one's extension, and without an entry file at the end."""
+    n = F.size(parts)
+    last = F.substring_index(F.element_at(parts, -1), ".", 1)
+    front = F.slice(parts, 1, n - 1)
+    return F.when(n == 0, parts).when((n > 1) & last.isin(*ENTRY_NAMES), front).otherwise(F.concat(front, F.array(last)))
+
+
+def segments(path: Column) -> Column:
+    """A file's path as an import would name it, in segments."""
+    return tail(F.filter(F.split(path, "/"), lambda x: x != ""))
+
+
+def ends_in(whole: Column, end: Column) -> Column:
+    """Whether an array ends in another, not empty one."""
+    return (F.size(end) > 0) & (F.size(end) <= F.size(whole)) & (F.slice(whole, F.greatest(F.size(whole) - F.size(end) + 1, F.lit(1)), F.size(end)) == end)
+
+
+def relative_prefix(file: Column, written: Column) -> Column:
+    """The path, from the root, that a relative beginning of a computed specifier gives; null for a bare one, or one that leaves the root or says nothing."""
+    at = lexical(F.concat_ws("/", F.when(parent(file) != "", parent(file)), F.regexp_replace(written, r"/[^/]*$", "")))
+    path = F.concat(at, F.when(at == "", "").otherwise("/"), F.substring_index(written, "/", -1))
+    return F.when(written.rlike(r"^\.\.?/") & (path != ""), path)
+
+
+def relative_module(base_dotted: Column, level: Column, module: Column) -> Column:
+    """The absolute dotted path of an import with so many leading dots; null where it climbs above the top package."""
+    parts = F.split(base_dotted, r"\.")
+    kept = F.size(parts) - level + 1
+    up = F.when(kept >= 0, F.array_join(F.concat(F.slice(parts, 1, F.greatest(kept, F.lit(0))), F.when(module != "", F.array(module)).otherwise(F.array().cast("array<string>"))), "."))
+    return F.when(level == 0, module).otherwise(up)
+
+
+def imports_subpath(written: Column, spec: Column) -> Column:
+    """Whether an import names a package's subpath or a module below it; extensions and index files make no difference."""
+    w, s = module_path(written), module_path(spec)
+    return F.coalesce((w == s) | F.startswith(w, F.concat(s, F.lit("/"))), F.lit(False))

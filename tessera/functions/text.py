@@ -139,3 +139,83 @@ def collapsed(signature: Column, most: int = 200) -> Column:
 
 def state_label(state: Column, closed_at: Column) -> Column:
     return F.concat(state, F.coalesce(F.concat(F.lit(" "), day(closed_at)), F.lit("")))
+
+
+def http_answer(out: Column) -> Column:
+    """Headers (a map, names in lower case) and body of a printed answer; all of it is body where no status line begins it.
+
+    Without a blank line there is no body. Of a header given more than once the first value counts.
+    """
+    plain = F.replace(out, F.lit("\r\n"), F.lit("\n"))
+    cut = F.instr(plain, "\n\n")
+    head = F.when(cut > 0, F.substring(plain, F.lit(1), cut - 1)).otherwise(F.lit(""))
+    pairs = F.transform(F.filter(F.slice(F.split(head, "\n"), 2, 1 << 20), lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("name"), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("value")))
+    names = F.array_distinct(F.transform(pairs, lambda p: p["name"]))
+    headers = F.map_from_arrays(names, F.transform(names, lambda n: F.filter(pairs, lambda p: p["name"] == n)[0]["value"]))
+    status, none = F.startswith(out, F.lit("HTTP/")), F.create_map().cast("map<string,string>")
+    cut_raw = F.least(*[F.when(F.instr(out, s) > 0, F.instr(out, s) + len(s)) for s in ("\r\n\r\n", "\n\n")])
+    body = F.coalesce(F.substring(out, cut_raw, F.length(out)), F.lit(""))
+    return F.struct(F.when(status, headers).otherwise(none).alias("headers"), F.when(status, body).otherwise(out).alias("body"))
+
+
+def error_codes(body: Column) -> Column:
+    """Sorted distinct codes of the errors that a JSON answer names: each one's type, else the code of its extensions, where it is an identifier of up to 40 characters."""
+    answer = F.from_json(body, "struct<errors:array<struct<type:string,extensions:struct<code:string>>>>")
+    codes = F.transform(answer["errors"], lambda e: F.coalesce(e["type"], e["extensions"]["code"]))
+    return F.coalesce(F.array_sort(F.array_distinct(F.filter(codes, lambda c: c.rlike("^[A-Za-z0-9_]{1,40}$")))), F.array().cast("array<string>"))
+
+
+def rate_hints(headers: Column) -> Column:
+    """What the headers say of the rate limit: retry_after, remaining, reset, each null if absent or no whole number."""
+    number = lambda name: F.try_element_at(headers, F.lit(name)).try_cast("bigint")
+    return F.struct(number("retry-after").alias("retry_after"), number("x-ratelimit-remaining").alias("remaining"), number("x-ratelimit-reset").alias("reset"))
+
+
+def content_hash(text: Column) -> Column:
+    """A hash that tells whether a text has changed since it was read."""
+    return F.xxhash64(text)
+
+
+#: The fields and events that a tracker's nodes give relations in, by the end that was read.
+RECORDED_FROM = ("Issue.subIssues", "Issue.blockedBy", "Issue.duplicateOf", "ClosedEvent.closer")
+RECORDED_TO = ("Issue.parent", "Issue.blocking", "CrossReferencedEvent", "ReferencedEvent")
+RECORDED_FROM_PREFIX, RECORDED_TO_PREFIX = "PullRequest.closingIssuesReferences", "Issue.closedByPullRequestsReferences"
+
+
+def recorded_by(observed: Column) -> Column:
+    """The end (from, to) whose reading made an observation; null for a field that no reading has."""
+    by_from = observed.isin(*RECORDED_FROM) | F.startswith(observed, F.lit(RECORDED_FROM_PREFIX))
+    by_to = observed.isin(*RECORDED_TO) | F.startswith(observed, F.lit(RECORDED_TO_PREFIX))
+    return F.when(by_from, "from").when(by_to, "to")
+
+
+def seen_from(relation: Column) -> Column:
+    """Which ends record a type of relation: both, from or to."""
+    return F.when(relation.isin("sub_issue", "blocked_by", "closes", "linked"), "both").when(relation.isin("closed_by", "duplicate_of"), "from").when(relation.isin("cross_referenced", "referenced"), "to")
+
+
+def range_label(s: Column) -> Column:
+    """What a snapshot holds, in a sentence.
+
+    s: struct of source, repository, issues, pull_requests, updated_since, effective_since, bound, reached_bound,
+    fetched_at (seconds) and whole_at (seconds; null if no update came after the whole fetch).
+    """
+    counts = F.concat(s["source"], F.lit(" "), s["repository"], F.lit(", "), plural(s["issues"], "issue"), F.lit(" and "), plural(s["pull_requests"], "pull request"))
+    since = F.coalesce(F.concat(F.lit(" updated since "), day(s["updated_since"])), F.lit(", every one"))
+    bound = F.when(s["reached_bound"] & s["effective_since"].isNotNull(), F.concat(F.lit(" (bound of "), s["bound"].cast("string"), F.lit(" reached: updated since "), day(s["effective_since"]), F.lit(")"))).otherwise("")
+    read = F.coalesce(F.concat(F.lit(", fetched whole "), minute(s["whole_at"]), F.lit(", updated "), minute(s["fetched_at"])), F.concat(F.lit(", fetched "), minute(s["fetched_at"])))
+    return F.concat(counts, since, bound, read, F.lit(", as visible to the account that fetched"))
+
+
+def reached_name(symbol: Column) -> Column:
+    """The name by which a member is imported: its type's, without generics and module path; any other symbol's own."""
+    owner = F.regexp_extract(symbol, r"^(.*)::", 1)
+    owner = F.when(F.contains(symbol, F.lit("::")), owner).otherwise(F.regexp_extract(symbol, r"^(.*)\.", 1))
+    bare = F.trim(F.substring_index(F.substring_index(owner, "<", 1), "::", -1))
+    return F.when(F.contains(symbol, F.lit("::")) | F.contains(symbol, F.lit(".")), bare).otherwise(symbol)
+
+
+def exported_names(exported_as: Column, name: Column) -> Column:
+    """The names under which a statement exports a name that it takes: the renamed ones, else its own. exported_as: array of (taken, exported)."""
+    renamed = F.filter(exported_as, lambda e: e["taken"] == name)
+    return F.when(F.coalesce(F.size(renamed), F.lit(0)) > 0, F.flatten(F.transform(renamed, lambda e: e["exported"]))).otherwise(F.array(name))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.paths import base, under
+from tessera.functions.paths import base, ends_in, lexical, parent, segments, under
 
 
 def runs_in_production(e: Column | None = None) -> Column:
@@ -82,3 +82,54 @@ def test_kind(path: Column) -> Column:
 def same_statement(left: str, right: str) -> Column:
     """Equality of the statement key (file, line), whose line may be null."""
     return (F.col(f"{left}.file") == F.col(f"{right}.file")) & F.col(f"{left}.line").eqNullSafe(F.col(f"{right}.line"))
+
+
+def may_be(importer: Column, module: Column, target: Column, same_package: Column) -> Column:
+    """Whether an import that nothing answered may mean a target (a file's path).
+
+    A relative one if it lands on the target from the importer's directory; an aliased or plain path, or a dotted name,
+    if the target's path ends in its segments, an alias (@/ or ~/) only in the target's own package; a bare name if it
+    is the target's last segment.
+    """
+    goal = segments(target)
+    lands = segments(lexical(F.concat_ws("/", F.when(parent(importer) != "", parent(importer)), module))) == goal
+    alias = module.rlike("^[@~#]/")
+    path = segments(F.regexp_replace(module, "^[@~#]/", ""))
+    dotted = F.split(module, r"\.")
+    by_end = F.when(alias, same_package & ends_in(goal, path)).when(F.contains(module, F.lit("/")), ends_in(goal, path)).otherwise(ends_in(goal, dotted))
+    return F.coalesce(F.when(module.rlike(r"^\.{1,2}(/|$)"), lands).otherwise(by_end), F.lit(False))
+
+
+#: A test runner's calls that put a mock in a module's place.
+MOCK_CALLS = ("vi.mock", "vi.doMock", "vi.importMock", "jest.mock", "jest.doMock", "jest.requireMock", "jest.createMockFromModule", "jest.genMockFromModule")
+#: The words that may stand before a class member.
+MODIFIERS = ("public", "private", "protected", "static", "readonly", "abstract", "override", "declare", "async", "accessor")
+
+
+def is_mock_call(note: Column) -> Column:
+    return F.coalesce(note.isin(*MOCK_CALLS), F.lit(False))
+
+
+def takes_self(signature: Column) -> Column:
+    """Whether a function's first parameter is self; generics before the parameters may hold brackets of their own."""
+    flat = F.replace(F.regexp_replace(signature, r"^.*?\bfn ", ""), F.lit("->"), F.lit("  "))
+    for _ in range(4):  # generics in generics, innermost first
+        flat = F.regexp_replace(flat, r"<[^<>]*>", "")
+    return F.coalesce(flat.rlike(r"^[^(]*\(\s*(&\s*('\w+\s+)?)?(mut\s+)?self\b"), F.lit(False))
+
+
+def instance_method(name: Column, signature: Column) -> Column:
+    """A method that is called through values: a class member without static, or a method that takes self."""
+    static = F.coalesce(signature, F.lit("")).rlike(rf"^\s*(({'|'.join(MODIFIERS)})\s+)*static(\s|$)")
+    return F.when(F.contains(name, F.lit(".")), ~static).when(F.contains(name, F.lit("::")), takes_self(F.coalesce(signature, F.lit("")))).otherwise(False)
+
+
+def values_note(kind: Column, name: Column, signature: Column) -> Column:
+    """Which caveat calls through values need: of a method's values, of a trait's, or none (null)."""
+    return F.when(instance_method(name, signature), "values").when(kind == "trait", "trait_values")
+
+
+def target_test_kind(targets: Column) -> Column:
+    """The kind of a test file by the build targets that hold it, an array of (kind, root): a test's root comes first."""
+    has = lambda kind, root=None: F.exists(targets, lambda t: (t["kind"] == kind) & (F.lit(True) if root is None else t["root"] == root))
+    return F.when(has("test", True), "test").when(has("example"), "example").when(has("bench"), "bench").when(has("test", False), "helper").otherwise("test")

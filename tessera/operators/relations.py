@@ -107,3 +107,17 @@ def normalized_relations(rows: DataFrame, order: str) -> DataFrame:
 def summed_maps(rows: DataFrame, column: str) -> DataFrame:
     """Entries of a map column summed over all rows: key, total."""
     return rows.select(F.explode(column).alias("key", "n")).groupBy("key").agg(F.sum("n").alias("total"))
+
+
+def production_first(files: DataFrame, *, test: str = "test") -> DataFrame:
+    """Files outside tests before those of tests, each by path."""
+    return files.orderBy(test, "file")
+
+
+def every_kind(**candidates: DataFrame) -> DataFrame:
+    """Candidates of several kinds in one table: kind, and the columns of any; what a kind lacks is null."""
+    out = None
+    for kind, rows in candidates.items():
+        tagged = rows.withColumn("kind", F.lit(kind))
+        out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
+    return out.distinct()

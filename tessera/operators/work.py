@@ -83,3 +83,47 @@ def retry_seconds(attempts: DataFrame) -> DataFrame:
     """How long to wait after a failure: what the server said, else its reset time, else 5 min doubled per failure, up to 6 h."""
     backoff = F.least(F.lit(6 * 3600), F.lit(300) * F.pow(F.lit(2), F.least("failures", F.lit(12)) - 1)).cast("long")
     return attempts.withColumn("wait", F.coalesce("retry_after", F.when(F.col("reset_at") > F.col("now"), F.col("reset_at") - F.col("now")), backoff))
+
+
+def items_by_kind(items: DataFrame) -> DataFrame:
+    """kind, items."""
+    return items.groupBy("kind").agg(F.count("*").alias("items"))
+
+
+def by_newest_commit(links: DataFrame, commits: DataFrame) -> DataFrame:
+    """Items by the time of their newest connecting commit, newest first, then by number: number, newest, commits. links: id, number; commits: id, time."""
+    met = links.select("id", "number").distinct().join(commits.select("id", "time"), "id")
+    return met.groupBy("number").agg(F.max("time").alias("newest"), F.count("*").alias("commits")).orderBy(F.desc("newest"), "number")
+
+
+def code_ways(ways: DataFrame) -> DataFrame:
+    """Of each item and way to code (a pull request or a commit) the best row: direct before mentioned; in the order they are shown.
+
+    ways: number, way, kind (pull_request or commit), direct, time. Direct ways come first, pull requests before commits, newest first.
+    """
+    best = ways.groupBy("number", "way", "kind").agg(F.max("direct").alias("direct"), F.max("time").alias("time"))
+    return best.orderBy("number", F.desc("direct"), F.col("kind") == "commit", F.desc("time"), "way")
+
+
+def fetch_start(requests: DataFrame, oldest: DataFrame, *, days: int = 365) -> DataFrame:
+    """Since when each repository's items are asked for, and by which rule: all columns, since (seconds; null for all), rule.
+
+    requests: repository, every (ask for all), given (seconds or null), now. oldest: repository, time of its oldest
+    commit; a row only where the history was read whole and deep enough. Else it is so many days back.
+    """
+    r = requests.join(oldest.select("repository", F.col("time").alias("_oldest")), "repository", "left")
+    rule = F.when(F.col("every"), "all").when(F.col("given").isNotNull(), "given").when(F.col("_oldest").isNotNull(), "oldest_commit").otherwise("days")
+    at = F.when(~F.col("every"), F.coalesce("given", "_oldest", F.col("now") - days * 86_400))
+    return r.select(*[F.col(c) for c in requests.columns], at.alias("since"), rule.alias("rule"))
+
+
+def refresh_views(status: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """How the last attempt of each repository bears on its snapshot: host, repository, failed, waiting.
+
+    status: host, repository, attempt_at, error, next_retry_at, now (seconds). snapshots: host, repository, fetched_at.
+    An attempt counts as failed if it has an error and began after the snapshot of the same host and repository was
+    fetched; a backoff is running if there is an error and its end lies ahead. Unknown times count for neither.
+    """
+    s = status.join(snapshots.select("host", "repository", "fetched_at"), ["host", "repository"])
+    has = F.col("error").isNotNull()
+    return s.select("host", "repository", F.coalesce(has & (F.col("attempt_at") > F.col("fetched_at")), F.lit(False)).alias("failed"), F.coalesce(has & (F.col("next_retry_at") > F.col("now")), F.lit(False)).alias("waiting"))

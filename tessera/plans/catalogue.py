@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import paths as P
 from tessera.functions import text as X
-from tessera.operators import graph, history, lookups, relations, rules, uses, work
+from tessera.operators import graph, history, loading, lookups, relations, rules, uses, work
 from tessera.operators import predicates as C
 from tessera.plans import projections as J
 
@@ -570,3 +570,230 @@ def package_names(spark, d):
     p = J.table(spark, d, "part")
     spec = F.concat_ws("/", F.element_at(F.split("p_type", " "), 1), F.coalesce(F.try_element_at(F.split("p_type", " "), F.lit(2)), F.lit("")))
     return p.select("p_partkey", P.distribution(F.translate(F.concat("p_name", F.lit("_"), "p_brand"), " ", "-")).alias("distribution"), spec.alias("specifier"), P.npm_package(spec).alias("package"), P.types_package(P.npm_package(spec)).alias("types"))
+
+
+# What runs before what, declarations, notes, answers of a work tracker
+
+
+@query(f"WITH {COMP}, e AS (SELECT id AS \"at\", 'main/' || id AS entry FROM comp WHERE id LIKE 'N%' OR id LIKE 'R%' OR id LIKE 'S%') SELECT comp.id, e.at AS \"at\", entry FROM comp JOIN e ON e.at = comp.id OR e.at = comp.parent WHERE e.at NOT LIKE 'R%' AND comp.kind = 'module'")
+def entries_above(spark, d):
+    c = J.components(spark, d)
+    entries = c.where("id rlike '^[NRS]'").select(F.col("id").alias("at"), F.concat(F.lit("main/"), "id").alias("entry"))
+    return loading.entries_above(c, entries)
+
+
+_RUN = "own AS (SELECT 'c' || c_custkey AS file, 'C' || c_custkey AS component, 'C' || c_custkey AS id, 'N' || c_nationkey AS n, c_custkey % 5 = 0 AS test FROM customer UNION ALL SELECT 's' || s_suppkey, 'S' || s_suppkey, 'S' || s_suppkey, 'N' || s_nationkey, false FROM supplier)"
+
+
+def _run(spark, d):
+    c = J.components(spark, d)
+    above = loading.entries_above(c, c.where("id like 'N%'").select(F.col("id").alias("at"), F.concat(F.lit("main/"), "id").alias("entry")))
+    owners = c.where("id rlike '^[CS]'").select(F.lower("id").alias("file"), F.col("id").alias("component"), (F.startswith("id", F.lit("C")) & (F.substring("id", 2, 20).cast("long") % 5 == 0)).alias("test"))
+    return owners, above
+
+
+@query(f"WITH {_RUN} SELECT 'main/' || n AS entry, file, test FROM own")
+def files_below_entries(spark, d):
+    return loading.files_below(*_run(spark, d))
+
+
+@query(f"WITH {EV}, {_RUN} SELECT DISTINCT 'main/' || t.n AS entry, src, ev.file, ev.line FROM ev JOIN own t ON t.file = lower(ev.dst) JOIN own s ON s.id = ev.src WHERE s.n <> t.n")
+def statements_running_first(spark, d):
+    owners, above = _run(spark, d)
+    return loading.running_first(J.evidence(spark, d).select("src", "file", "line", F.lower("dst").alias("target")), owners, above)
+
+
+@query(f"WITH {COMP}, {FOLD} SELECT id, r AS package FROM leaf UNION ALL SELECT id, CASE WHEN kind = 'package' THEN id ELSE parent END FROM comp WHERE id LIKE 'N%' OR id LIKE 'R%'")
+def nearest_packages(spark, d):
+    return loading.nearest_packages(J.components(spark, d))
+
+
+_UNITS = "u AS (SELECT l_partkey AS k, list_sort(list_distinct(list('u' || l_suppkey % 4))) AS units FROM lineitem WHERE l_quantity > 40 GROUP BY 1)"
+
+
+@query(f"WITH {_UNITS} SELECT 'p' || k AS file, array_to_string(units, ' ') AS units FROM u")
+def build_units(spark, d):
+    li = J.table(spark, d, "lineitem").where("l_quantity > 40")
+    u = loading.build_units(li.select(J.named("p", "l_partkey").alias("file"), F.concat(F.lit("u"), (F.col("l_suppkey") % 4).cast("string")).alias("unit")))
+    return u.select("file", F.array_join("units", " ").alias("units"))
+
+
+@query(f"WITH {_UNITS}, p AS (SELECT a.k, a.units AS h, b.units AS t, CASE WHEN a.k % 3 = 0 THEN ['u1'] END AS act FROM u a JOIN u b ON b.k = a.k + 1), w AS (SELECT *, CASE WHEN len(h) > 1 AND act IS NOT NULL THEN act ELSE h END AS walked FROM p), x AS (SELECT k, h, t, walked, NOT list_has_any(h, t) AS crossing FROM w) SELECT k, CASE WHEN crossing AND len(h) > 1 AND NOT list_has_any(walked, ['u0', 'u2']) THEN 'no' WHEN crossing THEN CASE WHEN len(t) > 1 THEN array_to_string(t, ' ') ELSE 'any' END WHEN NOT list_has_any(walked, t) THEN 'no' WHEN len(t) > 1 THEN array_to_string(list_sort(list_intersect(t, walked)), ' ') ELSE 'any' END AS entered FROM x")
+def units_entered(spark, d):
+    li = J.table(spark, d, "lineitem").where("l_quantity > 40")
+    u = loading.build_units(li.select(F.col("l_partkey").alias("file"), F.concat(F.lit("u"), (F.col("l_suppkey") % 4).cast("string")).alias("unit")))
+    both = u.select(F.col("file").alias("k"), F.col("units").alias("h")).join(u.select((F.col("file") - 1).alias("k"), F.col("units").alias("t")), "k")
+    active = F.when(F.col("k") % 3 == 0, F.array(F.lit("u1")))
+    found = loading.entered(F.col("h"), F.col("t"), active, F.array(F.lit("u0"), F.lit("u2")))
+    return both.select("k", F.when(found.isNull(), "any").when(F.size(found) == 0, "no").otherwise(F.array_join(F.array_sort(found), " ")).alias("entered"))
+
+
+@query("SELECT DISTINCT 'o' || l_orderkey AS file, 'p' || l_partkey AS target FROM lineitem a WHERE l_returnflag = 'R' AND NOT EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_partkey = a.l_partkey AND b.l_linestatus = 'O')")
+def mock_replacements(spark, d):
+    li = J.table(spark, d, "lineitem")
+    return loading.replaced(li.select(J.named("o", "l_orderkey").alias("file"), J.named("p", "l_partkey").alias("target"), (F.col("l_returnflag") == "R").alias("replaces"), (F.col("l_linestatus") == "O").alias("real")))
+
+
+@query("WITH l AS (SELECT DISTINCT o_orderpriority AS file, o_orderdate AS line, CASE WHEN o_orderstatus = 'P' THEN 'x' END AS target FROM orders WHERE o_totalprice > 300000) SELECT DISTINCT o_orderpriority AS file, o_orderdate AS line, CASE WHEN o_orderstatus = 'P' THEN 'x' END AS target, o_custkey AS note FROM orders JOIN l ON l.file = o_orderpriority AND l.line IS NOT DISTINCT FROM o_orderdate AND l.target IS NOT DISTINCT FROM CASE WHEN o_orderstatus = 'P' THEN 'x' END")
+def same_line_siblings(spark, d):
+    o = J.table(spark, d, "orders").withColumns({"file": F.col("o_orderpriority"), "line": F.col("o_orderdate"), "target": F.when(F.col("o_orderstatus") == "P", "x"), "note": F.col("o_custkey")})
+    return loading.with_siblings(o.select("file", "line", "target", "note"), o.where("o_totalprice > 300000"))
+
+
+_TAKE = "tk AS (SELECT 'C' || o_custkey AS src, 'S' || l_suppkey AS package, 'o' || l_orderkey AS file, l_linenumber AS line, 's' || l_partkey % 3 AS specifier, CASE WHEN l_quantity > 45 THEN '*' ELSE l_returnflag END AS taken FROM lineitem JOIN orders ON l_orderkey = o_orderkey), wn AS (SELECT 'S' || s_suppkey AS package, CASE WHEN s_suppkey % 2 = 0 THEN 'A' ELSE 'R' END AS name FROM supplier)"
+
+
+def _take(spark, d):
+    li = J.table(spark, d, "lineitem").join(J.table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    names = F.array(F.when(F.col("l_quantity") > 45, "*").otherwise(F.col("l_returnflag")))
+    return li.select(J.named("C", "o_custkey").alias("src"), J.named("S", "l_suppkey").alias("dst"), J.named("o", "l_orderkey").alias("file"), F.col("l_linenumber").alias("line"), F.concat(F.lit("s"), (F.col("l_partkey") % 3).cast("string")).alias("specifier"), names.alias("names"))
+
+
+@query(f"WITH {_TAKE}, n AS (SELECT tk.*, name FROM tk JOIN wn USING (package) WHERE taken = name) SELECT DISTINCT package, name, src, file, line, false AS whole FROM n UNION SELECT DISTINCT tk.package, b.name, src, file, line, true FROM tk JOIN (SELECT DISTINCT package, name, specifier FROM n) b USING (package, specifier) WHERE taken = '*'")
+def package_name_statements(spark, d):
+    wanted = J.table(spark, d, "supplier").select(J.named("S", "s_suppkey").alias("package"), F.when(F.col("s_suppkey") % 2 == 0, "A").otherwise("R").alias("name"))
+    return loading.taking(_take(spark, d), wanted)
+
+
+@query(f"WITH {_TAKE} SELECT DISTINCT taken AS name, package FROM tk WHERE taken IN (SELECT DISTINCT name FROM wn)")
+def packages_taking(spark, d):
+    names = J.table(spark, d, "supplier").select(F.when(F.col("s_suppkey") % 2 == 0, "A").otherwise("R").alias("name"))
+    return loading.packages_taking(_take(spark, d), names)
+
+
+@query(f"WITH {EV}, {FOLD}, x AS (SELECT b.n AS id, src, file, line, bool_or(NOT test) AS p, bool_or(test) AS t FROM ev JOIN leaf a ON a.id = src JOIN leaf b ON b.id = dst WHERE a.n <> b.n GROUP BY ALL) SELECT id, src, count(*) FILTER (p) AS production, count(*) FILTER (t) AS tests FROM x GROUP BY ALL")
+def statements_into_subtree(spark, d):
+    c = J.components(spark, d)
+    return loading.into_subtree(J.evidence(spark, d), c, c.where("id like 'N%'").select("id"))
+
+
+@query("WITH x AS (SELECT 'm' || l_suppkey AS manifest, 'p' || l_partkey AS name, CASE l_linenumber % 3 WHEN 0 THEN 'dependencies' WHEN 1 THEN 'peerDependencies' ELSE 'devDependencies' END AS section, '^' || CAST(l_quantity AS INT) AS version FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY manifest, name ORDER BY list_position(['dependencies', 'peerDependencies', 'devDependencies'], section), version) AS k FROM x) SELECT manifest, name, section, version FROM r WHERE k = 1")
+def nearest_declarations(spark, d):
+    section = F.element_at(F.array(*map(F.lit, ("dependencies", "peerDependencies", "devDependencies"))), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    li = J.table(spark, d, "lineitem").select(J.named("m", "l_suppkey").alias("manifest"), J.named("p", "l_partkey").alias("name"), section.alias("section"), F.concat(F.lit("^"), F.col("l_quantity").cast("int").cast("string")).alias("version"))
+    return loading.nearest_declarations(li, ["dependencies", "peerDependencies", "devDependencies"])
+
+
+@query("WITH code AS (SELECT DISTINCT 'n' || s_nationkey AS a, 'n' || s_nationkey || '/' || s_suppkey % 7 AS b FROM supplier), q AS (SELECT DISTINCT 'n' || c_nationkey AS a, 'n' || c_nationkey || '/' || c_custkey % 11 AS b FROM customer) SELECT b || '/requirements.txt' AS file, CASE WHEN b IN (SELECT b FROM code) THEN b WHEN a IN (SELECT a FROM code) THEN a ELSE '' END AS scope FROM q")
+def requirement_scopes(spark, d):
+    c, s = J.table(spark, d, "customer"), J.table(spark, d, "supplier")
+    at = lambda n, k, m: F.concat(J.named("n", n), F.lit("/"), (F.col(k) % m).cast("string"))
+    return loading.requirement_scopes(c.select(F.concat(at("c_nationkey", "c_custkey", 11), F.lit("/requirements.txt")).alias("file")), s.select(F.concat(at("s_nationkey", "s_suppkey", 7), F.lit("/a.py")).alias("file")))
+
+
+@query("WITH f AS (SELECT DISTINCT 'N' || s_nationkey || '.s' || s_suppkey % 3 AS name, 'f' || s_suppkey AS file FROM supplier) SELECT name, min(file) AS file FROM f WHERE name IN (SELECT 'N' || c_nationkey || '.s' || c_custkey % 5 FROM customer) GROUP BY 1 HAVING count(*) = 1")
+def dotted_files(spark, d):
+    mod = lambda k, m: F.concat(F.lit("s"), (F.col(k) % m).cast("string"))
+    names = J.table(spark, d, "customer").select(F.concat_ws(".", J.named("N", "c_nationkey"), mod("c_custkey", 5)).alias("name"))
+    return loading.dotted_files(names, J.table(spark, d, "supplier").select(J.named("N", "s_nationkey").alias("component"), mod("s_suppkey", 3).alias("stem"), J.named("f", "s_suppkey").alias("file")))
+
+
+@query(r"SELECT DISTINCT doc_id AS file, w AS name FROM (SELECT doc_id, string_split_regex(text, '\r?\n') AS l FROM documents WHERE text IS NOT NULL), (VALUES ('the'), ('data'), ('and')) n(w), range(1, 100000) r(i) WHERE i <= len(l) AND i <> 1 AND regexp_matches(l[i], '(^|[^\p{L}\p{N}_])' || w || '($|[^\p{L}\p{N}_])')")
+def names_outside_lines(spark, d):
+    docs = J.table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("file"), "text")
+    names = docs.select("file", F.explode(F.array(*map(F.lit, ("the", "data", "and")))).alias("name"))
+    return loading.appearing_outside(docs, names, docs.select("file", F.lit(1).alias("line")))
+
+
+@query("WITH f AS (SELECT p_partkey, p_type || '/lib' || p_size || CASE p_partkey % 3 WHEN 0 THEN '/index.d.ts' WHEN 1 THEN '/__init__.py' ELSE '/main.rs' END AS path FROM part) SELECT p_partkey, split_part(path, '/', 1) || ' ' || split_part(path, '/', 2) || CASE WHEN p_partkey % 3 = 2 THEN ' main' ELSE '' END AS segments, p_partkey % 3 <> 2 AS may_be FROM f")
+def target_segments(spark, d):
+    p = J.table(spark, d, "part")
+    path = F.concat_ws("/", "p_type", F.concat(F.lit("lib"), F.col("p_size").cast("string")), F.element_at(F.array(*map(F.lit, ("index.d.ts", "__init__.py", "main.rs"))), (F.col("p_partkey") % 3 + 1).cast("int")))
+    importer = F.concat("p_type", F.lit("/x/y.ts"))
+    module = F.concat(F.lit("../lib"), F.col("p_size").cast("string"))
+    return p.select("p_partkey", F.array_join(P.segments(path), " ").alias("segments"), C.may_be(importer, module, path, F.lit(True)).alias("may_be"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN p_size >= 20 WHEN 1 THEN true WHEN 2 THEN p_size > 20 WHEN 3 THEN p_size >= 20 WHEN 4 THEN p_size >= 20 WHEN 5 THEN true ELSE p_size >= 20 END AS admits FROM part")
+def version_majors(spark, d):
+    n = F.col("p_size").cast("string")
+    forms = [F.concat(F.lit("^"), n, F.lit(".2.0")), F.concat(F.lit(">="), n), F.concat(F.lit("<"), n, F.lit(".0.0")), F.concat(F.lit("<"), n, F.lit(".1")), F.concat(F.lit("1.0.0 - "), n, F.lit(".2.3")), F.lit("latest"), F.concat(F.lit("~1.0 || v"), n, F.lit(".0.0"))]
+    text = F.element_at(F.array(*forms), (F.col("p_partkey") % 7 + 1).cast("int"))
+    return J.table(spark, d, "part").select("p_partkey", P.admits_major(text, 20).alias("admits"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'm' WHEN 1 THEN 'a.b.c.m' WHEN 2 THEN 'a.b' ELSE NULL END AS module, CASE p_partkey % 4 WHEN 0 THEN 'src/ui/pages/' || p_size WHEN 1 THEN 'src/' || p_size WHEN 2 THEN NULL ELSE NULL END AS prefix, p_partkey % 4 < 2 AS subpath FROM part")
+def relative_names(spark, d):
+    k = (F.col("p_partkey") % 4).cast("int")
+    pick = lambda *x: F.element_at(F.array(*[c if not isinstance(c, str) else F.lit(c) for c in x]), k + 1)
+    n = F.col("p_size").cast("string")
+    written = pick(F.concat(F.lit("./pages/"), n), F.concat(F.lit("../"), n), F.concat(F.lit("pages/"), n), F.concat(F.lit("../../../"), n))
+    module = P.relative_module(F.lit("a.b.c"), F.element_at(F.array(*map(F.lit, (0, 1, 2, 5))), k + 1), pick("m", "m", "", "m"))
+    sub = P.imports_subpath(pick("kit/sub.js", "kit/sub/deep", "kit/subway", "kit"), F.lit("kit/sub/index"))
+    return J.table(spark, d, "part").select("p_partkey", module.alias("module"), P.relative_prefix(F.lit("src/ui/a.ts"), written).alias("prefix"), sub.alias("subpath"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Wrap' WHEN 1 THEN 'Box' WHEN 2 THEN 'Shop' WHEN 3 THEN 'Shop' ELSE 'plain' END AS reached, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'values' WHEN 2 THEN 'values' WHEN 3 THEN NULL ELSE 'trait_values' END AS note, CASE WHEN p_partkey % 5 = 4 THEN 'a,b' ELSE CASE p_partkey % 5 WHEN 0 THEN 'm::Wrap<x::Y>::new' WHEN 1 THEN 'Box::get' WHEN 2 THEN 'Shop.pay' ELSE 'Shop.open' END END AS exported, p_partkey % 5 = 1 AS mock FROM part")
+def symbol_notes(spark, d):
+    k = (F.col("p_partkey") % 5 + 1).cast("int")
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), k)
+    name = pick("m::Wrap<x::Y>::new", "Box::get", "Shop.pay", "Shop.open", "plain")
+    signature = pick("fn new(x: Self) -> Self", "pub fn get<F: Fn(u32) -> Vec<u8>>(&'a mut self, f: F)", "public async pay(x)", "public static open()", "trait plain")
+    renamed = F.array(F.struct(F.lit("plain").alias("taken"), F.array(F.lit("a"), F.lit("b")).alias("exported")))
+    return J.table(spark, d, "part").select("p_partkey", X.reached_name(name).alias("reached"), C.values_note(pick("function", "function", "method", "method", "trait"), name, signature).alias("note"), F.array_join(X.exported_names(renamed, name), ",").alias("exported"), C.is_mock_call(pick("import", "vi.mock", "vi.importActual", "jest.unmock", "mock")).alias("mock"))
+
+
+@query("SELECT l_partkey AS file, CASE WHEN bool_or(l_returnflag = 'R' AND l_linenumber = 1) THEN 'test' WHEN bool_or(l_returnflag = 'A') THEN 'example' WHEN bool_or(l_returnflag = 'N' AND l_linestatus = 'F') THEN 'bench' WHEN bool_or(l_returnflag = 'R') THEN 'helper' ELSE 'test' END AS kind FROM lineitem WHERE l_quantity > 45 GROUP BY 1")
+def target_test_kinds(spark, d):
+    kind = F.when(F.col("l_returnflag") == "R", "test").when(F.col("l_returnflag") == "A", "example").when(F.col("l_linestatus") == "F", "bench").otherwise("lib")
+    t = J.table(spark, d, "lineitem").where("l_quantity > 45").groupBy(F.col("l_partkey").alias("file")).agg(F.collect_set(F.struct(kind.alias("kind"), (F.col("l_linenumber") == 1).alias("root"))).alias("targets"))
+    return t.select("file", C.target_test_kind(F.col("targets")).alias("kind"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 0 THEN NULL ELSE event_id % 100 END AS retry_after, CASE WHEN event_id % 4 = 0 OR event_id % 3 = 0 THEN NULL ELSE CAST(user_id AS BIGINT) END AS remaining, CASE WHEN event_id % 4 = 0 THEN '' ELSE 'BAD,' || event_type END AS codes FROM events")
+def http_answers(spark, d):
+    body = F.concat(F.lit('{"errors":[{"type":"'), "event_type", F.lit('"},{"extensions":{"code":"BAD"}},{"type":"not one word"},{"type":"BAD"}]}'))
+    head = F.concat(F.lit("HTTP/2.0 403 Forbidden\r\nRetry-After: "), (F.col("event_id") % 100).cast("string"), F.lit("\r\nX-RateLimit-Remaining: "), F.when(F.col("event_id") % 3 == 0, "none").otherwise(F.col("user_id").cast("string")), F.lit("\r\n\r\n"))
+    out = X.http_answer(F.when(F.col("event_id") % 4 == 0, F.lit("{}")).otherwise(F.concat(head, body)))
+    return J.table(spark, d, "events").select("event_id", X.rate_hints(out["headers"])["retry_after"].alias("retry_after"), X.rate_hints(out["headers"])["remaining"].alias("remaining"), F.array_join(X.error_codes(out["body"]), ",").alias("codes"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'from' WHEN 1 THEN 'to' WHEN 2 THEN 'from' WHEN 3 THEN 'to' END AS recorded, CASE p_partkey % 5 WHEN 0 THEN 'both' WHEN 1 THEN 'from' WHEN 2 THEN 'to' WHEN 3 THEN 'both' END AS seen FROM part")
+def relation_ends(spark, d):
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return J.table(spark, d, "part").select("p_partkey", X.recorded_by(pick("Issue.subIssues", "ReferencedEvent", "PullRequest.closingIssuesReferences(manual)", "Issue.closedByPullRequestsReferences", "other")).alias("recorded"), X.seen_from(pick("closes", "duplicate_of", "referenced", "linked", "other")).alias("seen"))
+
+
+@query("SELECT p_partkey, 'forge ' || p_brand || ', ' || p_size || CASE WHEN p_size = 1 THEN ' issue' ELSE ' issues' END || ' and 1 pull request' || CASE WHEN p_partkey % 2 = 0 THEN ' updated since 2025-10-03' ELSE ', every one' END || CASE WHEN p_partkey % 3 = 0 THEN ' (bound of 500 reached: updated since 2025-12-01)' ELSE '' END || CASE WHEN p_partkey % 4 = 0 THEN ', fetched whole 1970-01-02 00:00 UTC, updated 1970-01-03 00:01 UTC' ELSE ', fetched 1970-01-03 00:01 UTC' END || ', as visible to the account that fetched' AS label FROM part")
+def range_labels(spark, d):
+    on = lambda k, x: F.when(F.col("p_partkey") % k == 0, x)
+    s = F.struct(F.lit("forge").alias("source"), F.col("p_brand").alias("repository"), F.col("p_size").alias("issues"), F.lit(1).alias("pull_requests"), on(2, F.lit("2025-10-03T10:00:00Z")).alias("updated_since"), F.lit("2025-12-01T00:00:00Z").alias("effective_since"), F.lit(500).alias("bound"), (F.col("p_partkey") % 3 == 0).alias("reached_bound"), F.lit(172_860).alias("fetched_at"), on(4, F.lit(86_400)).alias("whole_at"))
+    return J.table(spark, d, "part").select("p_partkey", X.range_label(s).alias("label"))
+
+
+@query("SELECT CASE WHEN o_orderstatus = 'F' THEN 'pull_request' ELSE 'issue' END AS kind, count(*) AS items FROM orders GROUP BY 1")
+def items_by_kind(spark, d):
+    return work.items_by_kind(J.table(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "F", "pull_request").otherwise("issue").alias("kind")))
+
+
+@query(f"WITH {_LINKS} SELECT number, max(p_partkey * 7 % 1000) AS newest, count(*) AS commits, row_number() OVER (ORDER BY max(p_partkey * 7 % 1000) DESC, number) AS place FROM ln JOIN part ON ln.id = 'p' || p_partkey GROUP BY 1 QUALIFY place <= 100")
+def work_order(spark, d):
+    commits = J.table(spark, d, "part").select(J.named("p", "p_partkey").alias("id"), (F.col("p_partkey") * 7 % 1000).alias("time"))
+    first = work.by_newest_commit(_links(spark, d)[2], commits).limit(100)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(F.desc("newest"), "number")).cast("long"))
+
+
+@query("SELECT l_orderkey AS number, l_partkey AS way, CASE WHEN l_linestatus = 'O' THEN 'commit' ELSE 'pull_request' END AS kind, bool_or(l_returnflag = 'R') AS direct, max(l_suppkey) AS time FROM lineitem GROUP BY ALL")
+def code_ways(spark, d):
+    li = J.table(spark, d, "lineitem")
+    return work.code_ways(li.select(F.col("l_orderkey").alias("number"), F.col("l_partkey").alias("way"), F.when(F.col("l_linestatus") == "O", "commit").otherwise("pull_request").alias("kind"), (F.col("l_returnflag") == "R").alias("direct"), F.col("l_suppkey").alias("time")))
+
+
+@query("SELECT s_suppkey AS repository, CASE WHEN s_suppkey % 7 = 0 THEN NULL WHEN s_suppkey % 5 = 0 THEN 77 WHEN c_custkey IS NOT NULL THEN c_custkey * 10 ELSE 100000000 - 31536000 END AS since, CASE WHEN s_suppkey % 7 = 0 THEN 'all' WHEN s_suppkey % 5 = 0 THEN 'given' WHEN c_custkey IS NOT NULL THEN 'oldest_commit' ELSE 'days' END AS rule FROM supplier LEFT JOIN customer ON c_custkey = s_suppkey AND c_nationkey < 12")
+def fetch_starts(spark, d):
+    requests = J.table(spark, d, "supplier").select(F.col("s_suppkey").alias("repository"), (F.col("s_suppkey") % 7 == 0).alias("every"), F.when(F.col("s_suppkey") % 5 == 0, 77).alias("given"), F.lit(100_000_000).alias("now"))
+    oldest = J.table(spark, d, "customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("repository"), (F.col("c_custkey") * 10).alias("time"))
+    return work.fetch_start(requests, oldest).select("repository", F.col("since").cast("long").alias("since"), "rule")
+
+
+@query("SELECT 'h' AS host, s_suppkey AS repository, s_suppkey % 3 > 0 AND s_suppkey % 10 > c_custkey % 4 + 2 AS failed, s_suppkey % 3 > 0 AND coalesce(CASE WHEN s_suppkey % 4 > 0 THEN s_suppkey % 9 END > 4, false) AS waiting FROM supplier JOIN customer ON c_custkey = s_suppkey")
+def refresh_views(spark, d):
+    k = F.col("s_suppkey")
+    status = J.table(spark, d, "supplier").select(F.lit("h").alias("host"), k.alias("repository"), (k % 10).alias("attempt_at"), F.when(k % 3 > 0, "network").alias("error"), F.when(k % 4 > 0, k % 9).alias("next_retry_at"), F.lit(4).alias("now"))
+    return work.refresh_views(status, J.table(spark, d, "customer").select(F.lit("h").alias("host"), F.col("c_custkey").alias("repository"), (F.col("c_custkey") % 4 + 2).alias("fetched_at")))
+
+
+@query("SELECT DISTINCT 'supplier' AS kind, s_name AS name, s_suppkey AS number, NULL::VARCHAR AS brand FROM supplier UNION SELECT 'part', p_name, NULL, p_brand FROM part")
+def every_kind(spark, d):
+    s, p = J.table(spark, d, "supplier"), J.table(spark, d, "part")
+    return relations.every_kind(supplier=s.select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("number")), part=p.select(F.col("p_name").alias("name"), F.col("p_brand").alias("brand")))
