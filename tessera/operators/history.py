@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import workers_can_import
+from tessera.session import settle, workers_can_import
 
 MAX_FILES = 30
 
@@ -80,36 +80,61 @@ def newest_first(commits: pd.DataFrame) -> list[str]:
     return out
 
 
-def identities(commits: DataFrame, changes: DataFrame) -> DataFrame:
-    """What each changed path is called today: commit, path, now.
+def placed(commits: DataFrame) -> DataFrame:
+    """Commits with their place, newest first: id, place.
 
-    From the newest commit backwards a rename carries the later name to the earlier path, and an addition ends it. A
-    history is one chain of states, so it is folded in one task; what it holds is a name per path that was ever
-    renamed. History readers bound what they read.
+    The order of pos holds wherever children come before their parents in it, as they do in a log in topological order;
+    else commits (ids and parents alone, not their changes) are put in order in one task.
     """
-    rows = changes.groupBy("commit").agg(F.array_sort(F.collect_list(F.struct("path", "kind", "renamed_from"))).alias("changes"))
-    whole = commits.select("id", "parents", "pos").join(rows, commits.id == rows.commit, "left").select("id", "parents", "pos", "changes")
+    up = commits.select(F.col("pos").alias("child"), F.explode("parents").alias("id"))
+    wrong = up.join(commits.select("id", "pos"), "id").where("pos < child")
+    if wrong.isEmpty():
+        return commits.select("id", F.col("pos").alias("place"))
 
     def fold(part: pd.DataFrame) -> pd.DataFrame:
-        by = dict(zip(part["id"], part["changes"], strict=True))
-        now: dict[str, str] = {}
-        out = []
-        for i in newest_first(part):
-            own = by[i] if by[i] is not None else []
-            out += [(i, c["path"], now.get(c["path"], c["path"])) for c in own]
-            ended, carried = [], {}
-            for c in own:
-                if c["renamed_from"] is not None:
-                    carried[c["renamed_from"]] = now.get(c["path"], c["path"])
-                if c["kind"] in ("added", "renamed"):
-                    ended.append(c["path"])
-            for p in ended:
-                now.pop(p, None)
-            now |= carried
-        return pd.DataFrame(out, columns=["commit", "path", "now"])
+        order = newest_first(part)
+        return pd.DataFrame({"id": order, "place": range(len(order))})
 
     workers_can_import(commits.sparkSession)
-    return whole.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(fold, "commit string, path string, now string")
+    return commits.select("id", "parents", "pos", F.lit(1).alias("all")).groupBy("all").applyInPandas(fold, "id string, place bigint")
+
+
+def _last_before(rows: DataFrame, path: str, events: DataFrame) -> DataFrame:
+    """Rows with the last event (newer commits come first) of their path before their place: at, to; both null without one."""
+    own = rows.join(events.withColumnRenamed("path", "_path"), F.col(path) == F.col("_path"), "left")
+    last = F.element_at(F.filter("events", lambda e: e["place"] < F.col("place")), -1)
+    e = F.when(F.size(F.filter("events", lambda e: e["place"] < F.col("place"))) > 0, last)
+    return own.select(*[F.col(c) for c in rows.columns], e["place"].alias("at"), e["to"].alias("to"))
+
+
+def identities(commits: DataFrame, changes: DataFrame, *, bound: int = 64) -> DataFrame:
+    """What each changed path is called today: commit, path, now.
+
+    From the newest commit backwards a rename carries the later name to the earlier path, and an addition or a rename
+    ends what its path was called; of several that carry one path in a commit the greatest new path counts. So what
+    a path is called at a commit is told by the last such event of that path in newer commits, and a rename points to
+    the name of its new path at that place. These pointers are resolved by doubling: a chain of n renames takes log n
+    rounds. A path's events are gathered, its changes are not. Raises if it has not settled after bound rounds.
+    """
+    c = settle(changes.select("commit", "path", "kind", "renamed_from").join(placed(commits).withColumnRenamed("id", "commit"), "commit"))
+    ends = c.where("kind in ('added', 'renamed')").select("path", "place", F.lit(None).cast("string").alias("to"))
+    carries = c.where("renamed_from is not null").select(F.col("renamed_from").alias("path"), "place", F.col("path").alias("to"))
+    each = ends.unionByName(carries).groupBy("path", "place").agg(F.max("to").alias("to"))
+    events = settle(each.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("place", "to"))).alias("events")))
+    moves = each.where("to is not null").withColumnRenamed("to", "now")
+    # A move's name: its new path, or what the event before it on that path made of that.
+    known = settle(_last_before(moves, "now", events).select("path", "place", "now", F.when(F.col("to").isNotNull(), F.struct(F.col("now").alias("path"), F.col("at").alias("place"))).alias("next")))
+    for _ in range(bound):
+        if known.where("next is not null").isEmpty():
+            break
+        ahead = known.select(F.struct("path", "place").alias("next"), F.col("now").alias("_now"), F.col("next").alias("_next"))
+        known = settle(known.join(ahead, "next", "left").select("path", "place", F.coalesce("_now", "now").alias("now"), F.col("_next").alias("next")))
+    else:
+        raise RuntimeError(f"renames have not settled after {bound} rounds")
+    own = _last_before(c.select("commit", "path", "place"), "path", events)
+    named = known.select(F.col("path").alias("_p"), F.col("place").alias("_at"), "now")
+    out = own.join(named, (F.col("path") == F.col("_p")) & (F.col("at") == F.col("_at")) & F.col("to").isNotNull(), "left")
+    return out.select("commit", "path", F.coalesce("now", "path").alias("now"))
 
 
 def capped(changes: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:

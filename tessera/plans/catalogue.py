@@ -490,20 +490,39 @@ def stream_keep_last(spark, d):
 query(SQL["keep_last"])(stream_keep_last)
 
 
-@query("SELECT * FROM (VALUES ('c1', 'older.ts', 'new.ts'), ('c2', 'older.ts', 'new.ts'), ('c3', 'old.ts', 'new.ts'), ('c4', 'new.ts', 'new.ts'), ('c5', 'old.ts', 'old.ts')) t(commit, path, now)")
+_RENAMES = """c AS (
+  SELECT 'o' || l_orderkey AS commit, 'p' || l_partkey AS path, -l_orderkey AS place,
+    CASE WHEN min(l_linenumber) = 1 AND l_orderkey % 3 = 0 THEN 'p' || (l_partkey % 50 + 1) END AS renamed_from, min(l_linenumber) = 2 AND l_orderkey % 5 = 0 AS added
+  FROM lineitem GROUP BY l_orderkey, l_partkey
+),
+ev AS (SELECT path, place, max(t) AS t FROM (SELECT path, place, NULL AS t FROM c WHERE added OR renamed_from IS NOT NULL UNION ALL SELECT renamed_from, place, path FROM c WHERE renamed_from IS NOT NULL) GROUP BY ALL),
+node AS (SELECT m.path, m.place, m.t, e.place AS ep, e.t AS et FROM ev m ASOF LEFT JOIN ev e ON m.t = e.path AND m.place > e.place WHERE m.t IS NOT NULL)"""
+
+
+@query(f"WITH RECURSIVE {_RENAMES}, walk AS (SELECT path, place, t, ep, et FROM node UNION ALL SELECT w.path, w.place, n.t, n.ep, n.et FROM walk w JOIN node n ON n.path = w.t AND n.place = w.ep WHERE w.et IS NOT NULL) SELECT c.commit, c.path, CASE WHEN e.t IS NULL THEN c.path ELSE w.t END AS now FROM c ASOF LEFT JOIN ev e ON c.path = e.path AND c.place > e.place LEFT JOIN walk w ON w.path = c.path AND w.place = e.place AND w.et IS NULL")
 def rename_identity(spark, d):
-    """A small history: an older file renamed twice, and a new one under the middle name."""
-    commits = spark.createDataFrame([("c5", ["c4"], 0), ("c4", ["c3"], 1), ("c3", ["c2"], 2), ("c2", ["c1"], 3), ("c1", [], 4)], "id string, parents array<string>, pos bigint")
-    changes = spark.createDataFrame([("c5", "old.ts", "added", None), ("c4", "new.ts", "renamed", "old.ts"), ("c3", "old.ts", "renamed", "older.ts"), ("c2", "older.ts", "modified", None), ("c1", "older.ts", "added", None)], "commit string, path string, kind string, renamed_from string")
+    """Orders as commits, the latest key newest: a third of them rename the part of their first line, a fifth add that of their second."""
+    li = J.table(spark, d, "lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("n"))
+    moved = (F.col("n") == 1) & (F.col("l_orderkey") % 3 == 0)
+    kind = F.when(moved, "renamed").when((F.col("n") == 2) & (F.col("l_orderkey") % 5 == 0), "added").otherwise("modified")
+    changes = li.select(J.named("o", "l_orderkey").alias("commit"), J.named("p", "l_partkey").alias("path"), kind.alias("kind"), F.when(moved, F.concat(F.lit("p"), (F.col("l_partkey") % 50 + 1).cast("string"))).alias("renamed_from"))
+    commits = J.table(spark, d, "orders").select(J.named("o", "o_orderkey").alias("id"), F.array().cast("array<string>").alias("parents"), (-F.col("o_orderkey")).alias("pos"))
     return history.identities(commits, changes)
 
 
-@query("SELECT * FROM (VALUES ('a.py', 'file', 0, CAST(NULL AS VARCHAR), false), ('b.py', 'file', 1, 'a.py', false), ('A', 'component', 0, 'a.py', false), ('B', 'component', 1, 'b.py', false), ('t.py', 'file', 2, 'b.py', true)) t(id, kind, distance, hop, test)")
+_IMPACT = """e AS (SELECT DISTINCT 'f' || l_partkey AS src, 'f' || (l_suppkey * 3) AS dst, l_returnflag = 'R' AS test FROM lineitem WHERE l_linenumber < 3),
+ow AS (SELECT 'f' || p_partkey AS file, 'K' || p_partkey % 50 AS component, p_partkey % 50 >= 45 AS test FROM part),
+pw AS (SELECT 'f3' AS id, 0 AS d UNION SELECT e.src, pw.d + 1 FROM pw JOIN e ON e.dst = pw.id WHERE NOT e.test AND pw.d < 30),
+aw AS (SELECT 'f3' AS id, 0 AS d UNION SELECT e.src, aw.d + 1 FROM aw JOIN e ON e.dst = aw.id WHERE aw.d < 30),
+p AS (SELECT id, min(d) AS d FROM pw GROUP BY 1), a AS (SELECT id, min(d) AS d FROM aw GROUP BY 1)"""
+
+
+@query(f"WITH RECURSIVE {_IMPACT} SELECT p.id, 'file' AS kind, p.d AS distance, min(q.id) AS hop, false AS test FROM p LEFT JOIN (SELECT e.src, q.id, q.d FROM e JOIN p q ON q.id = e.dst WHERE NOT e.test) q ON q.src = p.id AND q.d + 1 = p.d GROUP BY p.id, p.d UNION ALL SELECT component, 'component', min(d), arg_min(id, (d, id)), false FROM p JOIN ow ON file = id WHERE NOT test GROUP BY 1 UNION ALL SELECT a.id, 'file', a.d, min(q.id), true FROM a JOIN ow ON ow.file = a.id AND ow.test JOIN (SELECT e.src, q.id, q.d FROM e JOIN a q ON q.id = e.dst) q ON q.src = a.id AND q.d + 1 = a.d WHERE a.id NOT IN (SELECT id FROM p) GROUP BY a.id, a.d")
 def impact_reach(spark, d):
-    """A change of a.py, which b.py loads, which a test loads."""
-    edges = spark.createDataFrame([("b.py", "a.py", False), ("t.py", "b.py", True), ("c.py", "d.py", False)], "src string, dst string, test boolean")
-    owners = spark.createDataFrame([("a.py", "A", False), ("b.py", "B", False), ("t.py", "T", True), ("c.py", "C", False), ("d.py", "D", False)], "file string, component string, test boolean")
-    return graph.impact(edges, owners, spark.createDataFrame([("a.py",)], "file string")).withColumn("distance", F.col("distance").cast("int"))
+    """Parts as files: a line item makes its part load the file of three times its supplier's number; file 3 changes."""
+    edges = J.table(spark, d, "lineitem").where("l_linenumber < 3").select(J.named("f", "l_partkey").alias("src"), F.concat(F.lit("f"), (F.col("l_suppkey") * 3).cast("string")).alias("dst"), (F.col("l_returnflag") == "R").alias("test")).distinct()
+    owners = J.table(spark, d, "part").select(J.named("f", "p_partkey").alias("file"), F.concat(F.lit("K"), (F.col("p_partkey") % 50).cast("string")).alias("component"), (F.col("p_partkey") % 50 >= 45).alias("test"))
+    return graph.impact(edges, owners, spark.range(1).select(F.lit("f3").alias("file"))).withColumn("distance", F.col("distance").cast("int"))
 
 
 # Symbols and sets

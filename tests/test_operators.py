@@ -237,3 +237,33 @@ def test_scalars(spark):
     cases = scalar_cases()
     row = spark.range(1).select(*[e.alias(f"c{i}") for i, (e, _) in enumerate(cases)]).first()
     assert list(row) == [want for _, want in cases]
+
+
+def test_identities_against_a_fold(spark):
+    """Random histories: from the newest commit on, what each path was called is carried along by hand."""
+    rnd = random.Random(3)
+    commits, changes, want = [], [], []
+    now: dict[str, str] = {}
+    for i in range(60):
+        commits.append((f"k{i}", [f"k{i + 1}"], i))
+        own = {}
+        for path in rnd.sample("stuvwxyz", 3):
+            kind = rnd.choice(["added", "renamed", "modified", "modified"])
+            own[path] = (kind, rnd.choice([x for x in "stuvwxyz" if x != path]) if kind == "renamed" else None)
+        changes += [(f"k{i}", p, k, f) for p, (k, f) in own.items()]
+        want += [(f"k{i}", p, now.get(p, p)) for p in own]
+        carried = {}
+        for p in sorted(own):
+            if own[p][1]:
+                carried[own[p][1]] = now.get(p, p)
+        for p, (k, _) in own.items():
+            if k != "modified":
+                now.pop(p, None)
+        now.update(carried)
+    c = spark.createDataFrame(commits, "id string, parents array<string>, pos bigint")
+    h = spark.createDataFrame(changes, "commit string, path string, kind string, renamed_from string")
+    assert values(history.identities(c, h)) == sorted(want)
+    # The same where the order of pos is not that of the graph.
+    turned = c.withColumn("pos", F.when(F.col("id") == "k7", 99).otherwise(F.col("pos")))
+    assert values(history.identities(turned, h)) == sorted(want)
+    assert history.identities(c.limit(0), h.limit(0)).count() == 0
