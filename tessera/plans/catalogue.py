@@ -816,3 +816,9 @@ def refresh_views(spark, d):
 def every_kind(spark, d):
     s, p = J.table(spark, d, "supplier"), J.table(spark, d, "part")
     return relations.every_kind(supplier=s.select(F.col("s_name").alias("name"), F.col("s_suppkey").alias("number")), part=p.select(F.col("p_name").alias("name"), F.col("p_brand").alias("brand")))
+
+
+@query("WITH RECURSIVE e AS (SELECT DISTINCT 'f' || l_partkey AS src, 'f' || (l_suppkey * 3) AS dst FROM lineitem WHERE l_linenumber < 3 AND l_partkey <> l_suppkey * 3), r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst) SELECT a.src AS id, least(a.src, min(a.dst)) AS component FROM r a JOIN r b ON b.src = a.dst AND b.dst = a.src WHERE a.src <> a.dst GROUP BY a.src")
+def strong_groups(spark, d):
+    li = J.table(spark, d, "lineitem").where("l_linenumber < 3")
+    return graph.strong_components(li.select(J.named("f", "l_partkey").alias("src"), F.concat(F.lit("f"), (F.col("l_suppkey") * 3).cast("string")).alias("dst")))
