@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, fill_middle, language_id, line_dedup, minhash, pii, quality_rules, spelling, suffix_array
+from tessera.llm import chat_format, decontaminate, fill_middle, language_id, line_dedup, minhash, pii, quality_rules, spelling, suffix_array, toxicity
 from tessera.llm.bpe import bpe_round_trip
 from tessera.llm.common import read
 from tessera.llm.token_store import token_files
@@ -70,12 +70,17 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(read(spark, sf_dir, "documents"))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.digest(fill_middle.fill_in_middle(read(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_decision_list, op3_pii_crf, op4_language_ppm, op5_line_dedup, op6_bpe_dp, op7_near_duplicates, op8_chat_windows, op9_suffix_array, op10_token_files, op11_spelling_variants, op13_fill_middle)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_decision_list, op3_pii_crf, op4_language_ppm, op5_line_dedup, op6_bpe_dp, op7_near_duplicates, op8_chat_windows, op9_suffix_array, op10_token_files, op11_spelling_variants, op12_toxicity, op13_fill_middle)}
 
 
 def oracle_sql() -> dict[str, str]:
