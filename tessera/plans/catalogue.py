@@ -11,10 +11,11 @@ from tessera.functions import paths as P
 from tessera.functions import text as X
 from tessera.operators import graph, history, loading, lookups, relations, rules, uses, work
 from tessera.operators import predicates as C
+from tessera.plans import names
 from tessera.plans import projections as J
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(names.QUERIES)
+SQL: dict[str, str] = dict(names.SQL)
 EV, COMP, FOLD, HIST = J.EVIDENCE_SQL, J.COMPONENTS_SQL, J.FOLD_SQL, J.HISTORY_SQL
 
 

@@ -56,3 +56,9 @@ def settle(df: DataFrame) -> DataFrame:
     """df computed and cut from its lineage in the shared folder, so that loops neither recompute nor lose it with an executor."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def gathered(all_: DataFrame, new: DataFrame, round_: int) -> DataFrame:
+    """Settled rows with those that a round added: written anew every eighth round, so that neither plans nor copies grow with rounds."""
+    both = all_.unionByName(new)
+    return settle(both) if round_ % 8 == 7 else both
