@@ -200,25 +200,43 @@ def levels(edges: DataFrame, *, bound: int = 10_000) -> DataFrame:
     raise RuntimeError(f"more than {bound} levels")
 
 
-def impact(edges: DataFrame, owners: DataFrame, changed: DataFrame) -> DataFrame:
+def impact(edges: DataFrame, owners: DataFrame, changed: DataFrame, *, links: DataFrame | None = None) -> DataFrame:
     """What a change reaches: id, kind, distance, hop, of files and components, and whether it is a test that reaches it.
 
     edges: src and dst files of statements that load (src loads dst), test. owners: file, component, test (whether all
     in it is test code). changed: file. Loading costs 1, a file stands for its component at no cost if it is no test.
     The first walk is along statements outside tests; the second takes all, and what only it reaches is the tests.
-    """
-    def walk(statements: DataFrame) -> DataFrame:
-        loads = statements.select(F.concat(F.lit("f:"), "dst").alias("src"), F.concat(F.lit("f:"), "src").alias("dst"), F.lit(1).alias("cost"))
-        stands = owners.where("not test").select(F.concat(F.lit("f:"), "file").alias("src"), F.concat(F.lit("c:"), "component").alias("dst"), F.lit(0).alias("cost"))
-        return distances(loads.unionByName(stands), changed.select(F.concat(F.lit("f:"), "file").alias("id")))
 
-    production, everything = walk(edges.where("not test")), walk(edges)
+    links: barrel, file, passes_on, test, as barrels.passed_on gives them. With them edges say which statements pass on
+    (passes_on): a file that passes names of a changed one on is then a node of its own, left by its links alone.
+    """
+    node = lambda kind, column: F.concat(F.lit(kind), column)
+    if links is None:
+        edges = edges.withColumn("passes_on", F.lit(False))
+    direct = changed.select(F.col("file").alias("dst"), F.lit(True).alias("_changed"))
+    edges = edges.join(direct, "dst", "left").select("src", "dst", "test", (F.col("passes_on") & F.coalesce("_changed", F.lit(False))).alias("passing"))
+
+    def walk(tests: bool) -> DataFrame:
+        of = edges if tests else edges.where("not test")
+        ways = of.select(node("f:", F.col("dst")).alias("src"), F.when(F.col("passing"), node("p:", F.col("src"))).otherwise(node("f:", F.col("src"))).alias("dst"), F.lit(1).alias("cost"))
+        kinds = ["f:"]
+        if links is not None:
+            through = links if tests else links.where("not test")
+            ways = ways.unionByName(through.select(node("p:", F.col("barrel")).alias("src"), F.when(F.col("passes_on"), node("p:", F.col("file"))).otherwise(node("f:", F.col("file"))).alias("dst"), F.lit(1).alias("cost")))
+            kinds.append("p:")
+        for kind in kinds:
+            ways = ways.unionByName(owners.where("not test").select(node(kind, F.col("file")).alias("src"), node("c:", F.col("component")).alias("dst"), F.lit(0).alias("cost")))
+        found = distances(ways, changed.select(node("f:", F.col("file")).alias("id")))
+        found = found.withColumns({"id": F.regexp_replace("id", "^p:", "f:"), "hop": F.regexp_replace("hop", "^p:", "f:")})
+        return found if links is None else found.groupBy("id").agg(F.min(F.struct("distance", "hop")).alias("x")).select("id", "x.*")
+
+    production, everything = walk(False), walk(True)
     tests = owners.where("test").select(F.concat(F.lit("f:"), "file").alias("id")).distinct()
     only = everything.join(production.select("id"), "id", "left_anti").join(tests, "id", "left_semi").withColumn("test", F.lit(True))
     seeds = everything.where("distance = 0").join(tests, "id", "left_semi").withColumn("test", F.lit(True))
     rest = production.join(seeds.select("id"), "id", "left_anti").withColumn("test", F.lit(False))
     out = rest.unionByName(only).unionByName(seeds.join(only.select("id"), "id", "left_anti"))
-    return out.select(F.substring("id", 3, 1 << 20).alias("id"), F.when(F.startswith("id", F.lit("f:")), "file").otherwise("component").alias("kind"), "distance", F.expr("substring(hop, 3)").alias("hop"), "test")
+    return out.select(F.expr("substring(id, 3)").alias("id"), F.when(F.startswith("id", F.lit("f:")), "file").otherwise("component").alias("kind"), "distance", F.expr("substring(hop, 3)").alias("hop"), "test")
 
 
 def dependents(edges: DataFrame, keys: Sequence[str] = ("src", "dst")) -> DataFrame:

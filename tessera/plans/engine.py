@@ -16,20 +16,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.paths import lexical, module_path, npm_package, npm_subpath, parent, under
-from tessera.operators import graph, lookups, relations, rules, work
+from tessera.operators import barrels, definitions, graph, lookups, relations, rules, work
 from tessera.operators import history as commits
 from tessera.operators.predicates import test_file
 from tessera.session import settle
 from tessera.sources import code, files, git, manifests, snapshot
 
+_SCRIPT = r"[.][cm]?[jt]sx?$"
 _EXTENSIONS = ("", ".ts", ".tsx", ".d.ts", ".js", ".jsx", ".mts", ".mjs", "/index.ts", "/index.tsx", "/index.js")
 
 
 def python_imports(facts: DataFrame, tree: DataFrame) -> DataFrame:
-    """Python imports with the file they load: file, line, module, name, target, scope, type_only.
+    """Python imports with the file they load: file, line, module, name, target, scope, type_only, alias, whole, passes_on.
 
     A module's dotted name is its path below any directory of the tree that isn't a package; `from m import n` loads
-    the submodule m.n if there is one, else m. Relative imports climb from the file's package.
+    the submodule m.n if there is one (whole), else m. Relative imports climb from the file's package. What a package's
+    own file takes by name at module level it passes on.
     """
     py = tree.where("ext in ('py', 'pyi')").select(F.col("path").alias("target"), module_path(F.regexp_replace("path", r"/__init__\.pyi?$|^__init__\.pyi?$", "")).alias("p"))
     initials = tree.where("base = '__init__.py'").select("dir")
@@ -45,10 +47,11 @@ def python_imports(facts: DataFrame, tree: DataFrame) -> DataFrame:
     by_path = py.select(F.col("p").alias("_p"), F.col("target").alias("_t"))
     relative = f.where("level > 0").withColumn("_full", F.when(F.col("name").isNotNull() & (F.col("name") != "*"), F.concat_ws("/", F.when(F.col("path") != "", F.col("path")), "name")).otherwise(F.col("path")))
     relative = relative.join(by_path.withColumnRenamed("_p", "_full").withColumnRenamed("_t", "_sub"), "_full", "left").join(by_path.withColumnRenamed("_p", "path"), "path", "left")
-    relative = relative.select("file", "line", "module", "name", F.coalesce("_sub", "_t").alias("target"), "scope", "type_only")
+    relative = relative.select("file", "line", "module", "name", F.coalesce("_sub", "_t").alias("target"), "scope", "type_only", "alias", F.col("_sub").isNotNull().alias("whole"))
     direct = f.where("level = 0").join(named.select(F.col("dotted").alias("full"), F.col("target").alias("_sub")), "full", "left").join(named.select(F.col("dotted").alias("module"), F.col("target").alias("_t")), "module", "left")
-    direct = direct.select("file", "line", "module", "name", F.coalesce("_sub", "_t").alias("target"), "scope", "type_only")
-    return relative.unionByName(direct)
+    direct = direct.select("file", "line", "module", "name", F.coalesce("_sub", "_t").alias("target"), "scope", "type_only", "alias", F.col("_sub").isNotNull().alias("whole"))
+    initial = F.col("file").rlike(r"(^|/)__init__\.pyi?$")
+    return relative.unionByName(direct).withColumn("passes_on", initial & (F.col("scope") == "module") & F.col("name").isNotNull())
 
 
 def typescript_imports(facts: DataFrame, tree: DataFrame, declared: DataFrame) -> DataFrame:
@@ -59,7 +62,7 @@ def typescript_imports(facts: DataFrame, tree: DataFrame, declared: DataFrame) -
     the usual suffixes that is there. declared: manifest rows, of which the aliases and packages are few and broadcast.
     """
     f = facts.where("what in ('import', 'star', 'mock') and module is not null and file rlike '[.][cm]?[jt]sx?$'")
-    f = f.withColumn("_id", F.struct("file", "line", "module", "name", "what"))
+    f = f.withColumn("_id", F.struct("file", "line", "module", "name", "alias", "what"))
     home = parent(F.col("file"))
     m = F.col("module")
     near = f.where(m.rlike(r"^\.{1,2}(/|$)")).select("_id", F.lit(0).alias("rank"), lexical(F.concat_ws("/", F.when(home != "", home), m)).alias("at"))
@@ -79,7 +82,7 @@ def typescript_imports(facts: DataFrame, tree: DataFrame, declared: DataFrame) -
     ways = near.unionByName(aliased).unionByName(by_name).unionByName(by_entry).where("at is not null")
     tries = ways.select("_id", "rank", F.posexplode(F.array(*[F.concat(F.regexp_replace("at", r"\.(js|mjs|cjs)$", "") if e.startswith((".ts", ".mts")) else F.col("at"), F.lit(e)) for e in _EXTENSIONS])).alias("order", "target"))
     found = tries.join(tree.select(F.col("path").alias("target")), "target").groupBy("_id").agg(F.min_by("target", F.struct("rank", "order")).alias("target"))
-    return f.join(found, "_id", "left").select("file", "line", "module", "name", "target", "scope", "type_only")
+    return f.join(found, "_id", "left").select("file", "line", "module", "name", "target", "scope", "type_only", "alias", (F.col("what") == "star").alias("whole"), ((F.col("what") != "mock") & (F.col("level") == 1)).alias("passes_on"))
 
 
 def rust_imports(facts: DataFrame, tree: DataFrame, declared: DataFrame) -> DataFrame:
@@ -106,7 +109,39 @@ def rust_imports(facts: DataFrame, tree: DataFrame, declared: DataFrame) -> Data
     known = sources.where("file not like '%/main.rs' or mod <> ''").select("crate", "mod", F.col("file").alias("target"))
     met = ways.join(known, ["crate", "mod"]).withColumn("n", F.size(F.filter(F.split("mod", "::"), lambda x: x != ""))).where("n > more_than")
     found = met.groupBy("_id").agg(F.max_by("target", F.struct("n", "target")).alias("target"))
-    return f.join(found, "_id", "left").select("file", "line", "module", "name", "target", "scope", "type_only")
+    return f.join(found, "_id", "left").select("file", "line", "module", "name", "target", "scope", "type_only", "alias", (F.col("what") == "star").alias("whole"), (F.col("level") == 1).alias("passes_on"))
+
+
+def script_exports(facts: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Export tables of script files, as definitions.exported_definitions takes them: exports and stars.
+
+    Declarations; names that an export list gives, of the file's own or of what it imports; re-exports, of names and of
+    whole files. A file's first statement for a name counts, declarations first.
+    """
+    script = F.col("file").rlike(_SCRIPT)
+    taken = imports.where(script & ~F.col("passes_on") & F.col("name").isNotNull()).select("file", F.coalesce("alias", "name").alias("local"), F.col("name").alias("_taken"), F.col("target").alias("_target"), "whole")
+    row = lambda rank, kind, target, inner: ["file", "name", F.struct(F.lit(rank).alias("rank"), "line", kind.alias("kind"), target.alias("target"), inner.alias("inner"), "type_only").alias("x")]
+    null = F.lit(None).cast("string")
+    own = facts.where(script & (F.col("what") == "symbol")).select(*row(0, F.lit("local"), null, null))
+    lists = facts.where(script & (F.col("what") == "export")).select("file", "name", F.coalesce("alias", "name").alias("local"), "line", "type_only").join(taken, ["file", "local"], "left")
+    kind = F.when(F.col("whole"), "namespace").when(F.col("_taken").isNotNull(), "reexport").when(F.col("local") != F.col("name"), "alias").otherwise("local")
+    lists = lists.select(*row(1, kind, F.col("_target"), F.coalesce("_taken", "local")))
+    passed = imports.where(script & F.col("passes_on"))
+    named = passed.where(~F.col("whole") | F.col("alias").isNotNull()).withColumn("_inner", F.col("name"))
+    named = named.withColumn("name", F.coalesce("alias", "name")).select(*row(2, F.when(F.col("whole"), "namespace").otherwise("reexport"), F.col("target"), F.col("_inner")))
+    exports = own.unionByName(lists).unionByName(named).groupBy("file", "name").agg(F.min("x").alias("x")).select("file", "name", "x.kind", "x.target", "x.inner", "x.line", "x.type_only")
+    return exports, passed.where(F.col("whole") & F.col("alias").isNull()).select("file", "target", "line", "type_only")
+
+
+def python_bindings(facts: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What Python files define, bind and list, as definitions.bound_definitions takes them: defined, bound, stars, listed."""
+    py = F.col("file").rlike(r"[.]pyi?$")
+    module = imports.where(py & (F.col("scope") == "module"))
+    defined = facts.where(py & (F.col("what") == "symbol") & (F.col("scope") == "module")).select("file", "name")
+    named = module.where(F.col("name").isNotNull() & (F.col("name") != definitions.WHOLE)).select("file", F.coalesce("alias", "name").alias("name"), "target", F.when(F.col("whole"), definitions.WHOLE).otherwise(F.col("name")).alias("inner"), "line", "type_only")
+    plain = module.where(F.col("name").isNull()).select("file", F.coalesce("alias", F.substring_index("module", ".", 1)).alias("name"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("inner"), "line", "type_only")
+    listed = facts.where(py & (F.col("what") == "export")).groupBy("file").agg(F.collect_set("name").alias("names"))
+    return defined, named.unionByName(plain), module.where(F.col("name") == definitions.WHOLE).select("file", "target", "line", "type_only"), listed
 
 
 @dataclass
@@ -128,10 +163,26 @@ class Engine:
 
     @cached_property
     def imports(self) -> DataFrame:
-        """Statements that import: file, line, module, name, target, scope, type_only, test."""
+        """Statements that import: file, line, module, name, target, scope, type_only, alias, whole, passes_on, test."""
         both = python_imports(self.facts, self.tree).unionByName(typescript_imports(self.facts, self.tree, self.manifests)).unionByName(rust_imports(self.facts, self.tree, self.manifests))
         return settle(both.distinct().withColumn("test", test_file(F.col("file"))))
 
+    @cached_property
+    def definitions(self) -> DataFrame:
+        """Where names are defined that statements take from files of the tree: target, name, def_file, def_name, through re-exports alone."""
+        asked = self.imports.where(F.col("target").isNotNull() & F.col("name").isNotNull() & (F.col("name") != definitions.WHOLE) & ~F.col("whole")).select(F.col("target").alias("file"), "name").distinct()
+        scripts = definitions.exported_definitions(*script_exports(self.facts, self.imports), asked.where(F.col("file").rlike(_SCRIPT))).where("status = 'found'")
+        python = definitions.bound_definitions(*python_bindings(self.facts, self.imports), asked.where(F.col("file").rlike("[.]pyi?$"))).where("status = 'through'")
+        both = scripts.select("file", "name", "def_file", "def_name").unionByName(python.select("file", "name", "def_file", "def_name"))
+        return settle(both.where("file <> def_file").withColumnRenamed("file", "target"))
+
+    @cached_property
+    def statements(self) -> DataFrame:
+        """Imports of files of the tree by name, as barrels.passed_on takes them."""
+        name = F.when(F.col("whole") | (F.col("name") == definitions.WHOLE), definitions.WHOLE).otherwise(F.col("name"))
+        known = self.definitions.select("target", "name", F.lit(True).alias("found"))
+        return settle(self.imports.select("file", "line", "target", name.alias("name"), "alias", "passes_on", "test").join(known, ["target", "name"], "left"))
+
     @cached_property
     def components(self) -> DataFrame:
         """Packages by their manifests (the root at least), directories with sources below them, source files as modules; externals by declaration."""
@@ -233,20 +284,30 @@ class Engine:
         out = {"component": self.components.where(F.col("id") == file), "children": self.components.where(F.col("parent") == file), "symbols": self.symbols.where(inside("component")).orderBy("file", "line"), "uses": e.where(inside("src") & ~inside("dst")), "used_by": e.where(inside("dst") & ~inside("src")), "gaps": self.unmapped.where(inside("src"))}
         if "::" in at:
             name = at.partition("::")[2]
-            out["importers"] = e.where((F.col("target") == file) & (F.array_contains("names", name) | F.array_contains("names", "*")))
+            through = self.definitions.where((F.col("def_file") == file) & F.col("def_name").isin(name, definitions.WHOLE)).select("target", F.col("name").alias("_n"))
+            passed = e.join(through, "target").where(F.array_contains("names", F.col("_n"))).select(e.columns)
+            out["importers"] = e.where((F.col("target") == file) & (F.array_contains("names", name) | F.array_contains("names", "*"))).unionByName(passed).distinct()
         return out
 
     def impact(self, target: str) -> DataFrame:
-        """Files, components and tests that a change of the target reaches, nearest first."""
+        """Files, components and tests that a change of the target reaches, nearest first.
+
+        A file that passes names of the changed ones on is followed to those that take them, or may; whoever takes other
+        names from it is not reached. A statement is next to the file that defines what it takes, through any re-exports.
+        """
         at = self.resolve(target).first()
         if at is None:
             raise LookupError(target)
         file = at.found.partition("::")[0]
         sources = self.tree.where(F.col("ext").isin(*code.READERS)).select(F.col("path").alias("file"), "dir")
         changed = sources.where((F.col("file") == file) | F.startswith(F.col("file"), F.lit(file + "/")) | F.lit(file == ".")).select("file")
-        loads = self.evidence.where("target is not null").select("src", F.col("target").alias("dst"), "test").distinct()
+        passing = self.statements.where("passes_on and target is not null").select(F.col("file").alias("src"), F.col("target").alias("dst"), "line").distinct()
+        loads = self.evidence.where("target is not null").select("src", F.col("target").alias("dst"), "line", "test").join(passing.withColumn("passes_on", F.lit(True)), ["src", "dst", "line"], "left").na.fill(False, ["passes_on"])
+        defined = self.statements.where("not passes_on").join(self.definitions, ["target", "name"]).where("file <> def_file").select(F.col("file").alias("src"), F.col("def_file").alias("dst"), "test", F.lit(False).alias("passes_on"))
+        loads = loads.select("src", "dst", "test", "passes_on").unionByName(defined).distinct()
+        links, _ = barrels.passed_on(changed.select(F.lit("").alias("change"), "file"), self.statements, self.symbols.select("file", "name"))
         owners = sources.select("file", F.when(F.col("dir") == "", ".").otherwise(F.col("dir")).alias("component"), test_file(F.col("file")).alias("test"))
-        return graph.impact(loads, owners, changed).orderBy("distance", "kind", "id")
+        return graph.impact(loads, owners, changed, links=links).orderBy("distance", "kind", "id")
 
     def check(self, text: str) -> tuple[DataFrame, DataFrame]:
         """Findings and signals under rules written in TOML."""

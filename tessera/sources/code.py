@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 from tessera.session import workers_can_import
 
-#: what: import, star, dynamic, symbol, export, module, macro, mock, error. level: leading dots, or 1 for a re-export.
+#: what: import, star, dynamic, symbol, export, module, macro, mock, error. level: leading dots, or 1 for a re-export. alias: the new name, of an export its own one.
 SCHEMA = "file string, what string, module string, name string, alias string, line int, level int, scope string, type_only boolean, kind string, signature string"
 _EMPTY = {"module": None, "name": None, "alias": None, "line": None, "level": 0, "scope": "module", "type_only": False, "kind": None, "signature": None}
 
@@ -167,7 +167,7 @@ def typescript_facts(text: str) -> Iterator[dict]:
             yield {"what": "import", "name": name, "alias": alias, **at, "type_only": at["type_only"] or types}
     for m in re.finditer(r"\bexport\s+(type\s+)?\{([^}]*)\}(?!\s*from)", code):
         for name, alias, _ in names(m[2]):
-            yield {"what": "export", "name": alias or name, "line": line(m.start()), "type_only": bool(m[1])}
+            yield {"what": "export", "name": alias or name, "alias": name, "line": line(m.start()), "type_only": bool(m[1])}
     for m in re.finditer(r"\bexport\s+(default\s+)?(?:declare\s+)?(?:async\s+|abstract\s+)*(function|class|const|let|var|interface|type|enum|namespace)\*?\s+([\w$]+)", bare):
         yield {"what": "symbol", "name": "default" if m[1] else m[3], "kind": m[2], "line": line(m.start()), "type_only": m[2] in ("interface", "type")}
     for m in re.finditer(r"\b(require|import)\s*\(\s*(?:(['\"])([^'\"]+)\2\s*\)|[^)]*)", code):
