@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.paths import lexical, module_path, npm_package, npm_subpath, parent, under
-from tessera.operators import barrels, definitions, graph, lookups, relations, rules, work
+from tessera.operators import barrels, definitions, graph, lookups, modules, relations, rules, work
 from tessera.operators import history as commits
 from tessera.operators.predicates import test_file
 from tessera.session import settle
@@ -112,6 +112,28 @@ def rust_imports(facts: DataFrame, tree: DataFrame, declared: DataFrame) -> Data
     return f.join(found, "_id", "left").select("file", "line", "module", "name", "target", "scope", "type_only", "alias", (F.col("what") == "star").alias("whole"), (F.col("level") == 1).alias("passes_on"))
 
 
+#: Where the build tool looks for targets, by their kind.
+_LAYOUT = {"lib": r"^src/lib\.rs$", "bin": r"^src/(main\.rs|bin/[^/]+\.rs|bin/[^/]+/main\.rs)$", "test": r"^tests/([^/]+\.rs|[^/]+/main\.rs)$", "example": r"^examples/([^/]+\.rs|[^/]+/main\.rs)$", "bench": r"^benches/([^/]+\.rs|[^/]+/main\.rs)$", "build": r"^build\.rs$"}
+
+
+def cargo_targets(tree: DataFrame, declared: DataFrame) -> DataFrame:
+    """Root files of the targets of Rust packages: package (its directory), kind, file.
+
+    Those that a manifest gives a path to, and those at the usual places below the nearest package, unless its manifest
+    switches that kind off.
+    """
+    manifest = declared.where("file like '%Cargo.toml'")
+    packages = manifest.where("what = 'package'").select(parent(F.col("file")).alias("package"))
+    sources = lookups.nearest(tree.where("ext = 'rs'").select("path"), "path", packages.select("package").withColumn("_p", F.col("package")), "package").select(F.col("path").alias("file"), F.col("_p").alias("package"))
+    below = F.when(F.col("package") == "", F.col("file")).otherwise(F.expr("substring(file, length(package) + 2)"))
+    kind = F.coalesce(*[F.when(below.rlike(pattern), k) for k, pattern in _LAYOUT.items()])
+    off = manifest.where("what = 'undiscovered'").select(parent(F.col("file")).alias("package"), F.col("name").alias("kind"))
+    placed = sources.select("package", kind.alias("kind"), "file").where("kind is not null").join(off, ["package", "kind"], "left_anti")
+    own = manifest.where("what = 'target' and value is not null").select(parent(F.col("file")).alias("package"), F.col("section").alias("kind"), "value")
+    own = own.select("package", "kind", lexical(F.concat_ws("/", F.when(F.col("package") != "", F.col("package")), "value")).alias("file"))
+    return placed.unionByName(own.join(tree.select(F.col("path").alias("file")), "file", "left_semi").select("package", "kind", "file")).distinct()
+
+
 def script_exports(facts: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Export tables of script files, as definitions.exported_definitions takes them: exports and stars.
 
@@ -167,6 +189,14 @@ class Engine:
         both = python_imports(self.facts, self.tree).unionByName(typescript_imports(self.facts, self.tree, self.manifests)).unionByName(rust_imports(self.facts, self.tree, self.manifests))
         return settle(both.distinct().withColumn("test", test_file(F.col("file"))))
 
+    @cached_property
+    def rust_modules(self) -> tuple[DataFrame, DataFrame]:
+        """Modules of every target of the Rust packages, a target by its root file, and declarations that load nothing (modules.forest)."""
+        roots = cargo_targets(self.tree, self.manifests).select(F.col("file").alias("crate"), "file").distinct()
+        mods = self.facts.where("what = 'module' and file like '%.rs'").select("file", F.coalesce("module", F.lit("")).alias("inside"), "name", "line", F.col("signature").alias("path"), "kind")
+        grown, refused = modules.forest(roots, mods.where("kind = 'file'"), mods.where("kind = 'inline'"), self.tree.select("path"))
+        return settle(grown), settle(refused)
+
     @cached_property
     def definitions(self) -> DataFrame:
         """Where names are defined that statements take from files of the tree: target, name, def_file, def_name, through re-exports alone."""

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import barrels, definitions
+from tessera.operators import barrels, definitions, modules, settings
 from tessera.plans.projections import named, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -235,3 +235,182 @@ def exported_names(spark, d):
     s, symbols, changed = barrel_tables(statements(spark, d, rings=True))
     e = barrels.exports_of(changed, s, symbols)
     return e.groupBy("change").agg(F.count("name").alias("names"), F.min("name").alias("first"), F.max("open").alias("open")).where("names > 0")
+
+
+# Spellings, modules, configurations
+
+
+_SPELL_SQL = f"""WITH RECURSIVE {statements_sql(True)}, own AS (
+  SELECT file, name, CASE WHEN flag = 'A' THEN CASE WHEN whole THEN 'alias' ELSE 'local' END WHEN whole THEN 'namespace' ELSE 'reexport' END AS kind, CASE WHEN flag = 'R' THEN target END AS target, other AS inner_
+  FROM st WHERE flag IN ('A', 'R') QUALIFY row_number() OVER (PARTITION BY file, name ORDER BY line, kind, target NULLS FIRST, inner_) = 1
+), star AS (
+  SELECT DISTINCT file, target FROM st WHERE flag = 'N' AND target IS NOT NULL
+), pass AS (
+  SELECT target, file, name, CASE WHEN kind = 'reexport' THEN inner_ END AS inner_, false AS star FROM own WHERE kind IN ('reexport', 'namespace') AND target IS NOT NULL
+  UNION ALL SELECT target, file, NULL, NULL, true FROM star
+), sp AS (
+  SELECT file || ':' || name AS symbol, file AS module, [name] AS path FROM own WHERE kind = 'local'
+  UNION SELECT o.file || ':' || o.name, o.file, [a.name] FROM own o JOIN own a ON a.file = o.file AND a.kind = 'alias' AND a.inner_ = o.name WHERE o.kind = 'local'
+  UNION (
+    SELECT s.symbol, p.file, CASE WHEN p.star THEN s.path WHEN p.inner_ IS NULL THEN list_prepend(p.name, s.path) ELSE list_prepend(p.name, s.path[2:]) END
+    FROM sp s JOIN pass p ON p.target = s.module AND (p.star OR p.inner_ IS NULL OR p.inner_ = s.path[1]) LEFT JOIN own o ON p.star AND o.file = p.file AND o.name = s.path[1]
+    WHERE o.file IS NULL AND len(CASE WHEN p.inner_ IS NULL AND NOT p.star THEN list_prepend(p.name, s.path) ELSE s.path END) <= 2)
+)
+SELECT symbol, module, array_to_string(path, '.') AS path FROM sp"""
+
+
+@query(_SPELL_SQL)
+def symbol_spellings(spark, d):
+    own, stars = exports(statements(spark, d, rings=True))
+    symbols = own.where("kind = 'local'").select(F.concat_ws(":", "file", "name").alias("symbol"), "file", "name")
+    return definitions.spellings(own, stars, symbols, most=2).select("symbol", "module", F.array_join("path", ".").alias("path"))
+
+
+def module_tables(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """Customers are modules below their nations: items by line items, uses and globs of other customers by their orders in turn."""
+    c = table(spark, d, "customer").select("c_custkey", F.concat(named("n", "c_nationkey"), F.lit("::"), named("c", "c_custkey")).alias("module"), named("n", "c_nationkey").alias("nation"))
+    turn = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", F.row_number().over(turn).alias("turn"))
+    o = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("i"), (F.col("l_partkey") % 50).cast("string")).alias("name"), "l_suppkey", "l_returnflag", "l_tax").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    after = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), F.col("module").alias("target"))
+    items = li.where("l_tax > 0.06").groupBy("module", "name").agg(F.max(F.col("l_returnflag") != "N").alias("public"))
+    items = items.unionByName(li.where("l_tax < 0.01").groupBy(F.col("nation").alias("module"), "name").agg(F.lit(False).alias("public")))
+    to = o.join(after, "o_orderkey").select("module", "target", "turn", (F.col("o_orderstatus") == "O").alias("public"), "o_orderkey")
+    globs = to.where("turn in (1, 2)").select("module", "target", "public", F.col("turn").alias("line")).unionByName(c.select("module", F.col("nation").alias("target"), F.lit(True).alias("public"), F.lit(0).alias("line")))
+    uses = to.where("turn = 3").join(li.select("l_orderkey", "name", "l_linenumber"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("module", "name", "target", "public").agg(F.min("l_linenumber").alias("line")).withColumn("inner", F.col("name"))
+    asked = li.select(F.col("module").alias("from"), "module", "name").unionByName(to.where("turn = 1").join(li.select("l_orderkey", "name"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("module").alias("from"), F.col("target").alias("module"), "name")).distinct()
+    return items, uses, globs, asked
+
+
+_SEES = "({0} = {1} OR starts_with({0}, {1} || '::'))"
+_MODULE_SQL = f"""WITH RECURSIVE c AS (
+  SELECT c_custkey, 'n' || c_nationkey || '::c' || c_custkey AS module, 'n' || c_nationkey AS nation FROM customer
+), o AS (
+  SELECT o_orderkey, o_orderstatus, module, nation, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS turn FROM orders JOIN c ON o_custkey = c_custkey
+), li AS (
+  SELECT o_orderkey, l_linenumber, 'i' || l_partkey % 50 AS name, l_returnflag, l_tax, module, nation, turn FROM lineitem JOIN o ON l_orderkey = o_orderkey
+), item AS (
+  SELECT module, name, bool_or(l_returnflag <> 'N') AS public FROM li WHERE l_tax > 0.06 GROUP BY 1, 2
+  UNION ALL SELECT DISTINCT nation, name, false FROM li WHERE l_tax < 0.01
+), nxt AS (
+  SELECT a.module, b.module AS target, a.turn, a.o_orderstatus = 'O' AS public, a.o_orderkey FROM o a JOIN o b ON b.o_orderkey = a.o_orderkey + 1
+), glb AS (
+  SELECT DISTINCT module, target, public FROM nxt WHERE turn IN (1, 2) AND module <> target UNION SELECT module, nation, true FROM c
+), use_ AS (
+  SELECT module, name, target, public FROM (SELECT n.module, l.name, n.target, n.public, min(l_linenumber) AS line FROM nxt n JOIN li l ON l.o_orderkey = n.o_orderkey WHERE n.turn = 3 GROUP BY ALL)
+), asked AS (
+  SELECT module AS frm, module, name FROM li UNION SELECT n.module, n.target, l.name FROM nxt n JOIN li l ON l.o_orderkey = n.o_orderkey WHERE n.turn = 1
+), own AS (
+  SELECT module, open, name, kind, target FROM (
+    SELECT module, name, public, 0 AS rank, NULL AS target, 'local' AS kind FROM item UNION ALL SELECT module, name, public, 1, target, 'use' FROM use_) x, (VALUES (true), (false)) v(open)
+  WHERE open OR public QUALIFY row_number() OVER (PARTITION BY module, open, name ORDER BY rank) = 1
+), star AS (
+  SELECT DISTINCT module, v.open, target, {_SEES.format("module", "target")} AS topen FROM glb, (VALUES (true), (false)) v(open) WHERE v.open OR public
+), state AS (
+  SELECT module, {_SEES.format("frm", "module")} AS open, name FROM asked
+  UNION (
+    SELECT coalesce(o.target, s.target), CASE WHEN o.module IS NOT NULL THEN {_SEES.format("t.module", "o.target")} ELSE s.topen END, t.name
+    FROM state t LEFT JOIN own o ON o.module = t.module AND o.open = t.open AND o.name = t.name LEFT JOIN star s ON s.module = t.module AND s.open = t.open AND o.module IS NULL
+    WHERE o.kind = 'use' OR (o.module IS NULL AND s.target IS NOT NULL))
+), edge AS (
+  SELECT t.module, t.open, t.name, o.target AS tm, {_SEES.format("t.module", "o.target")} AS topen, false AS star FROM state t JOIN own o ON o.module = t.module AND o.open = t.open AND o.name = t.name WHERE o.kind = 'use'
+  UNION ALL SELECT t.module, t.open, t.name, s.target, s.topen, true FROM state t JOIN star s ON s.module = t.module AND s.open = t.open WHERE NOT EXISTS (FROM own o WHERE o.module = t.module AND o.open = t.open AND o.name = t.name)
+), there AS (
+  SELECT t.module, t.open, t.name FROM state t JOIN own o ON o.module = t.module AND o.open = t.open AND o.name = t.name
+  UNION SELECT e.module, e.open, e.name FROM there x JOIN edge e ON e.tm = x.module AND e.topen = x.open AND e.name = x.name AND e.star
+), fact AS (
+  SELECT * FROM (SELECT t.module, t.open, t.name, t.module AS def FROM state t JOIN own o ON o.module = t.module AND o.open = t.open AND o.name = t.name WHERE kind = 'local'
+    UNION ALL SELECT e.module, e.open, e.name, '' FROM edge e WHERE NOT star AND NOT EXISTS (FROM there x WHERE x.module = e.tm AND x.open = e.topen AND x.name = e.name))
+  UNION SELECT e.module, e.open, e.name, f.def FROM fact f JOIN edge e ON e.tm = f.module AND e.topen = f.open AND e.name = f.name
+), dark AS (
+  SELECT module, open, name FROM there x WHERE NOT EXISTS (FROM fact f WHERE f.module = x.module AND f.open = x.open AND f.name = x.name)
+  UNION SELECT e.module, e.open, e.name FROM dark x JOIN edge e ON e.tm = x.module AND e.topen = x.open AND e.name = x.name
+), told AS (
+  SELECT module, open, name, count(DISTINCT def) = 1 AND bool_and(def <> '') AS sure, any_value(def) AS def FROM (FROM fact UNION ALL SELECT *, '' FROM dark) GROUP BY ALL
+)
+SELECT a.frm AS "from", a.module, a.name, CASE WHEN t.module IS NULL THEN 'missing' WHEN sure THEN 'found' ELSE 'unknown' END AS status, CASE WHEN sure THEN def END AS def_module
+FROM asked a LEFT JOIN told t ON t.module = a.module AND t.open = {_SEES.format("a.frm", "a.module")} AND t.name = a.name"""
+
+
+@query(_MODULE_SQL)
+def glob_lookups(spark, d):
+    return modules.glob_definitions(*module_tables(spark, d)).select("from", "module", "name", "status", "def_module")
+
+
+_TREE = """f AS (
+  SELECT DISTINCT p FROM (
+    SELECT 'n' || c_nationkey || '/c' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN '.rs' ELSE '/mod.rs' END AS p FROM customer
+    UNION ALL SELECT 'n' || c_nationkey || '/c' || c_custkey || '/o' || o_orderkey || '.rs' FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P'
+    UNION ALL SELECT 'n' || c_nationkey || '/shared/p' || l_partkey || '.rs' FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE l_returnflag = 'A')
+)"""
+
+
+@query(f"""WITH {_TREE}, a AS (
+  SELECT 'n' || c_nationkey AS crate, c_custkey, 'c' || c_custkey AS module, 'n' || c_nationkey || '/c' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN '.rs' ELSE '/mod.rs' END AS file FROM customer
+), b AS (
+  SELECT crate, module || '::in' || '::o' || o_orderkey AS module, 'n' || c_nationkey || '/c' || o_custkey || '/in/o' || o_orderkey AS stem, o_orderkey, o_orderstatus, c_nationkey, o_custkey FROM orders JOIN a ON o_custkey = a.c_custkey JOIN customer USING (c_custkey)
+), l AS (
+  SELECT DISTINCT b.crate, b.module || '::l' || l_linenumber AS module, CAST(l_linenumber AS INTEGER) AS line, 'n' || c_nationkey || '/shared/p' || l_partkey || '.rs' AS file FROM lineitem JOIN b ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P'
+), first_ AS (
+  SELECT crate, module, line, min(file) AS file FROM l WHERE file IN (SELECT p FROM f) GROUP BY ALL
+), won AS (
+  SELECT * FROM first_ QUALIFY row_number() OVER (PARTITION BY crate, file ORDER BY module, line) = 1
+)
+SELECT crate, '' AS module, crate || '/lib.rs' AS file FROM (SELECT DISTINCT 'n' || c_nationkey AS crate FROM customer)
+UNION ALL SELECT crate, module, file FROM a
+UNION ALL SELECT crate, module || '::in', file FROM a
+UNION ALL SELECT crate, module, 'n' || c_nationkey || '/c' || o_custkey || '/in/o' || o_orderkey || '.rs' FROM b WHERE o_orderstatus <> 'P'
+UNION ALL SELECT crate, module, min(file) FROM won GROUP BY crate, module""".replace("|| '/c' || c_custkey || '/o' ||", "|| '/c' || c_custkey || '/in/o' ||"))
+def module_files(spark, d):
+    """Nations are crates, customers files of theirs, orders files in an inline module of these, line items claim files by an explicit path."""
+    c = table(spark, d, "customer").select("c_custkey", named("n", "c_nationkey").alias("n"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus").join(c, F.col("o_custkey") == F.col("c_custkey"))
+    root = F.concat("n", F.lit("/lib.rs"))
+    home = F.concat("n", F.lit("/c"), F.col("c_custkey").cast("string"))
+    own = F.concat(home, F.when(F.col("c_custkey") % 2 == 0, ".rs").otherwise("/mod.rs"))
+    order = F.concat(home, F.lit("/in/o"), F.col("o_orderkey").cast("string"), F.lit(".rs"))
+    shared = F.concat(F.lit("../../shared/p"), F.col("l_partkey").cast("string"), F.lit(".rs"))
+    lines = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    at = F.concat("n", F.lit("/shared/p"), F.col("l_partkey").cast("string"), F.lit(".rs"))
+    null, top = F.lit(None).cast("string"), F.lit("").alias("inside")
+    files = c.select(own.alias("path")).unionByName(o.where("o_orderstatus <> 'P'").select(order.alias("path"))).unionByName(lines.where("l_returnflag = 'A'").select(at.alias("path")))
+    declared = c.select(root.alias("file"), top, named("c", "c_custkey").alias("name"), F.lit(1).alias("line"), null.alias("path"))
+    declared = declared.unionByName(o.select(own.alias("file"), F.lit("in").alias("inside"), named("o", "o_orderkey").alias("name"), F.lit(2).alias("line"), null.alias("path")))
+    declared = declared.unionByName(lines.select(order.alias("file"), top, named("l", "l_linenumber").alias("name"), F.col("l_linenumber").alias("line"), shared.alias("path")))
+    inline = c.select(own.alias("file"), top, F.lit("in").alias("name"))
+    roots = c.select(F.col("n").alias("crate"), root.alias("file")).distinct()
+    return modules.forest(roots, declared, inline, files)[0].select("crate", "module", "file")
+
+
+_SETTING_SQL = f"""WITH RECURSIVE {statements_sql(True).split(", st AS (")[0]}, x AS (
+  SELECT 'o' || o_orderkey AS config, [CASE WHEN one IS NOT NULL THEN 'o' || one END, CASE WHEN two IS NOT NULL THEN 'o' || two END] AS ups, o.o_orderstatus AS s, o.o_orderpriority AS p FROM seq JOIN orders o USING (o_orderkey)
+), own AS (
+  SELECT config, '/a/b' AS pointer, CASE WHEN s = 'O' THEN '"' || p || '"' ELSE 'null' END AS value FROM x WHERE s <> 'P'
+  UNION ALL SELECT config, '/a', '{{"b":' || CASE WHEN s = 'O' THEN '"' || p || '"' ELSE 'null' END || '}}' FROM x WHERE s <> 'P'
+  UNION ALL SELECT config, '/c', '[1]' FROM x WHERE p = '1-URGENT'
+), walk AS (
+  SELECT config, pointer, config AS at, CAST([] AS INTEGER[]) AS way FROM x, (VALUES ('/a/b'), ('/a'), ('/c')) v(pointer)
+  UNION (
+    SELECT w.config, w.pointer, x.ups[k], list_append(w.way, -k) FROM walk w JOIN x ON x.config = w.at, (VALUES (1), (2)) v(k)
+    WHERE x.ups[k] IS NOT NULL AND len(w.way) < 4 AND NOT EXISTS (FROM own o WHERE o.config = w.at AND o.pointer = w.pointer))
+), hit AS (
+  SELECT w.config, w.pointer, o.value, o.config AS set_by FROM walk w JOIN own o ON o.config = w.at AND o.pointer = w.pointer QUALIFY row_number() OVER (PARTITION BY w.config, w.pointer ORDER BY way) = 1
+)
+SELECT x.config, v.pointer, value, set_by FROM x CROSS JOIN (VALUES ('/a/b'), ('/a'), ('/c')) v(pointer) LEFT JOIN hit h ON h.config = x.config AND h.pointer = v.pointer"""
+
+
+@query(_SETTING_SQL)
+def inherited_settings(spark, d):
+    """Orders are configurations that extend earlier ones of the customer; most of them set something, some to null."""
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    last = F.when(F.col("o_custkey") % 3 == 0, F.max("o_orderkey").over(Window.partitionBy("o_custkey")))
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.coalesce(F.lag("o_orderkey").over(w), last).alias("one"), F.coalesce(F.lag("o_orderkey", 2).over(w), last).alias("two"))
+    name = named("o", "o_orderkey").alias("config")
+    b = F.when(F.col("o_orderstatus") == "O", F.concat(F.lit('{"b": "'), "o_orderpriority", F.lit('"}'))).otherwise('{"b": null}')
+    fields = F.array_compact(F.array(F.when(F.col("o_orderstatus") != "P", F.concat(F.lit('"a": '), b)), F.when(F.col("o_orderpriority") == "1-URGENT", F.lit('"c": [1]'))))
+    configs = o.select(name, F.concat(F.lit("{"), F.array_join(fields, ", "), F.lit("}")).alias("json"))
+    up = lambda c, pos: o.where(F.col(c).isNotNull()).select(name, named("o", c).alias("target"), F.lit(pos).alias("pos"))
+    asked = configs.select("config", F.explode(F.array(F.lit("/a/b"), F.lit("/a"), F.lit("/c"))).alias("pointer"))
+    return settings.settings(configs, up("one", 1).unionByName(up("two", 2)), asked, depth=4)

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 
 from tessera.session import workers_can_import
 
-#: what: import, star, dynamic, symbol, export, module, macro, mock, error. level: leading dots, or 1 for a re-export. alias: the new name, of an export its own one.
+#: what: import, star, dynamic, symbol, export, module, macro, mock, error. level: leading dots, or 1 for a re-export. alias: the new name, of an export its own one. Of a Rust
+#: module, module is the inline modules around it and signature its explicit path.
 SCHEMA = "file string, what string, module string, name string, alias string, line int, level int, scope string, type_only boolean, kind string, signature string"
 _EMPTY = {"module": None, "name": None, "alias": None, "line": None, "level": 0, "scope": "module", "type_only": False, "kind": None, "signature": None}
 
@@ -119,6 +120,16 @@ def use_leaves(tree: str) -> Iterator[tuple[str, str | None]]:
         yield path.replace(" ", ""), alias or None
 
 
+def closing(code: str, at: int) -> int:
+    """Where the brace at a place closes, or the end."""
+    depth = 0
+    for m in re.compile("[{}]").finditer(code, at):
+        depth += 1 if m[0] == "{" else -1
+        if not depth:
+            return m.start()
+    return len(code)
+
+
 def rust_facts(text: str) -> Iterator[dict]:
     code = blanked(text, raw_strings=True)
     line = lambda i: code.count("\n", 0, i) + 1
@@ -128,8 +139,13 @@ def rust_facts(text: str) -> Iterator[dict]:
         for path, alias in use_leaves(m[2]):
             module, _, name = path.rpartition("::")
             yield {"what": "star" if name == "*" else "import", "module": module or name, "name": name, "alias": alias, "line": line(m.start()), "level": int(bool(m[1])), "scope": "local" if depth(m.start()) > 1 else "module", "kind": "test" if any(t < m.start() for t in tests) else None}
+    spans: list[tuple[int, str]] = []  # where the inline modules around here end, and their names
     for m in re.finditer(r"\b(pub(?:\([^)]*\))?\s+)?mod\s+(\w+)\s*([;{])", code):
-        yield {"what": "module", "name": m[2], "line": line(m.start()), "kind": "file" if m[3] == ";" else "inline"}
+        spans = [x for x in spans if m.start() < x[0]]
+        path = re.search(r'#\[path\s*=\s*"([^"]+)"\]\s*(?:#\[[^\]]*\]\s*)*$', text[max(0, m.start() - 400) : m.start()])
+        yield {"what": "module", "module": "::".join(x[1] for x in spans), "name": m[2], "line": line(m.start()), "kind": "file" if m[3] == ";" else "inline", "signature": path[1] if path else None}
+        if m[3] == "{":
+            spans.append((closing(code, m.end() - 1), m[2]))
     for m in re.finditer(r"^[ \t]*pub(?:\([^)]*\))?\s+(?:async\s+|unsafe\s+|const\s+(?=fn)|extern\s+\S+\s+)*(fn|struct|enum|trait|type|const|static|union|macro)\s+(\w+)([^{;=]*)", code, re.M):
         yield {"what": "symbol", "name": m[2], "kind": m[1], "line": line(m.start(2)), "signature": re.sub(r"\s+", " ", f"{m[1]} {m[2]}{m[3]}").strip()}
     for m in re.finditer(r"\b(\w+)!\s*[({\[]", code):

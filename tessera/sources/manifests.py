@@ -66,6 +66,10 @@ def cargo(text: str) -> Iterator[Row]:
     for name, spec in data.get("workspace", {}).get("dependencies", {}).items():
         spec = spec if isinstance(spec, dict) else {"version": spec}
         yield "dependency", spec.get("package", name), "workspace", f"path:{spec['path']}" if "path" in spec else spec.get("version"), lines.get(("workspace.dependencies", name))
+    # The switches that keep a kind of target from being found by its place.
+    for key, kind in (("autobins", "bin"), ("autotests", "test"), ("autoexamples", "example"), ("autobenches", "bench")):
+        if package.get(key) is False:
+            yield "undiscovered", kind, key, None, lines.get(("package", key))
     for kind in ("lib", "bin", "test", "example", "bench"):
         own = data.get(kind, [])
         for x in own if isinstance(own, list) else [own]:
