@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.paths import lexical, module_path, npm_package, npm_subpath, parent, under
-from tessera.operators import barrels, definitions, graph, lookups, modules, relations, rules, work
+from tessera.operators import barrels, definitions, graph, lookups, modules, relations, rules, settings, work
 from tessera.operators import history as commits
 from tessera.operators.predicates import test_file
 from tessera.session import settle
@@ -54,6 +54,25 @@ def python_imports(facts: DataFrame, tree: DataFrame) -> DataFrame:
     return relative.unionByName(direct).withColumn("passes_on", initial & (F.col("scope") == "module") & F.col("name").isNotNull())
 
 
+def script_aliases(declared: DataFrame) -> DataFrame:
+    """Path aliases that hold below a script project's configuration, its own or inherited: dir, name (a pattern), to.
+
+    `paths` and `baseUrl` come from the nearest configuration that sets them, each by itself; targets are below the base
+    URL, which its own configuration's directory holds, else below the directory of the configuration that sets `paths`.
+    """
+    configs = declared.where("what = 'config'").select(F.col("file").alias("config"), F.col("value").alias("json"))
+    entry = F.col("name")
+    at = lexical(F.concat_ws("/", F.when(parent(F.col("file")) != "", parent(F.col("file"))), F.when(entry.endswith(".json"), entry).otherwise(F.concat(entry, F.lit(".json")))))
+    above = declared.where("what = 'extends'").select(F.col("file").alias("config"), F.when(entry.rlike(r"^\.{1,2}/"), at).alias("target"), F.col("value").cast("int").alias("pos"))
+    leaves = configs.where(F.col("config").rlike(r"(^|/)[tj]sconfig\.json$"))
+    pointers = F.explode(F.array(F.lit("/compilerOptions/paths"), F.lit("/compilerOptions/baseUrl")))
+    set_ = settle(settings.settings(configs, above, leaves.select("config", pointers.alias("pointer"))).where("value is not null and value <> 'null'"))
+    base = set_.where("pointer like '%baseUrl'").select("config", lexical(F.concat_ws("/", F.when(parent(F.col("set_by")) != "", parent(F.col("set_by"))), F.get_json_object(F.concat(F.lit('{"v":'), "value", F.lit("}")), "$.v"))).alias("base"))
+    paths = set_.where("pointer like '%paths'").join(base, "config", "left").select("config", F.coalesce("base", parent(F.col("set_by"))).alias("base"), F.explode(F.from_json("value", "map<string, array<string>>")).alias("name", "targets"))
+    rows = paths.select("config", "name", F.explode("targets").alias("t"), "base").unionByName(base.select("config", F.lit("*").alias("name"), F.lit("*").alias("t"), "base"))
+    return rows.select(parent(F.col("config")).alias("dir"), "name", lexical(F.concat_ws("/", F.when(F.col("base") != "", F.col("base")), "t")).alias("to"))
+
+
 def typescript_imports(facts: DataFrame, tree: DataFrame, declared: DataFrame) -> DataFrame:
     """Imports of script files with the file that they load, if it is in the tree; other packages have none.
 
@@ -67,11 +86,11 @@ def typescript_imports(facts: DataFrame, tree: DataFrame, declared: DataFrame) -
     m = F.col("module")
     near = f.where(m.rlike(r"^\.{1,2}(/|$)")).select("_id", F.lit(0).alias("rank"), lexical(F.concat_ws("/", F.when(home != "", home), m)).alias("at"))
     bare = f.where(~m.rlike(r"^\.{1,2}(/|$)"))
-    aliases = declared.where("what = 'alias'").select(parent(F.col("file")).alias("dir"), F.substring_index("name", "*", 1).alias("head"), F.when(F.col("name").contains("*"), F.substring_index("name", "*", -1)).alias("tail"), F.col("value").alias("to"))
+    aliases = script_aliases(declared).select("dir", F.substring_index("name", "*", 1).alias("head"), F.when(F.col("name").contains("*"), F.substring_index("name", "*", -1)).alias("tail"), "to")
     fits = F.when(F.col("tail").isNull(), m == F.col("head")).otherwise(F.startswith(m, F.col("head")) & F.endswith(m, F.col("tail")) & (F.length(m) >= F.length("head") + F.length("tail")))
     inside = F.substring(m, F.length("head") + 1, F.length(m) - F.length("head") - F.length(F.coalesce("tail", F.lit(""))))
     aliased = bare.join(F.broadcast(aliases), fits & under(F.col("file"), F.col("dir")))
-    aliased = aliased.select("_id", (1 + 2000 * (100 - F.least(F.size(F.split("dir", "/")), F.lit(99))) - F.least(F.length("head"), F.lit(999))).alias("rank"), lexical(F.concat_ws("/", F.when(F.col("dir") != "", F.col("dir")), F.replace(F.col("to"), F.lit("*"), F.when(F.col("tail").isNull(), "").otherwise(inside)))).alias("at"))
+    aliased = aliased.select("_id", (1 + 2000 * (100 - F.least(F.size(F.split("dir", "/")), F.lit(99))) - F.least(F.length("head"), F.lit(999))).alias("rank"), lexical(F.replace(F.col("to"), F.lit("*"), F.when(F.col("tail").isNull(), "").otherwise(inside))).alias("at"))
     packages = declared.where("what = 'package' and file like '%package.json'").select(parent(F.col("file")).alias("dir"), F.col("name").alias("_package"))
     entries = declared.where("what = 'entry'").select(parent(F.col("file")).alias("dir"), F.col("name").alias("entry"))
     sub = F.coalesce(npm_subpath(m), F.lit(""))

@@ -143,7 +143,7 @@ def rust_facts(text: str) -> Iterator[dict]:
     for m in re.finditer(r"\b(pub(?:\([^)]*\))?\s+)?mod\s+(\w+)\s*([;{])", code):
         spans = [x for x in spans if m.start() < x[0]]
         path = re.search(r'#\[path\s*=\s*"([^"]+)"\]\s*(?:#\[[^\]]*\]\s*)*$', text[max(0, m.start() - 400) : m.start()])
-        yield {"what": "module", "module": "::".join(x[1] for x in spans), "name": m[2], "line": line(m.start()), "kind": "file" if m[3] == ";" else "inline", "signature": path[1] if path else None}
+        yield {"what": "module", "module": "::".join(x[1] for x in spans) or None, "name": m[2], "line": line(m.start()), "kind": "file" if m[3] == ";" else "inline", "signature": path[1] if path else None}
         if m[3] == "{":
             spans.append((closing(code, m.end() - 1), m[2]))
     for m in re.finditer(r"^[ \t]*pub(?:\([^)]*\))?\s+(?:async\s+|unsafe\s+|const\s+(?=fn)|extern\s+\S+\s+)*(fn|struct|enum|trait|type|const|static|union|macro)\s+(\w+)([^{;=]*)", code, re.M):

@@ -175,8 +175,10 @@ def config(text: str) -> Iterator[Row]:
     data = json.loads(re.sub(r",(\s*[}\]])", r"\1", text))
     options = data.get("compilerOptions", {})
     base = (options.get("baseUrl") or ".").rstrip("/")
-    if isinstance(data.get("extends"), str):
-        yield "extends", data["extends"], "extends", None, None
+    yield "config", None, "json", json.dumps(data), None
+    above = data.get("extends", [])
+    for i, x in enumerate(above if isinstance(above, list) else [above]):
+        yield "extends", x, "extends", str(i), None
     if "baseUrl" in options:
         yield "alias", "*", "baseUrl", f"{base}/*", None
     for pattern, targets in options.get("paths", {}).items():
@@ -188,7 +190,7 @@ def reader_of(name: str):
     """The reader of a manifest by its base name, or None."""
     if re.fullmatch(r"(?:[\w.-]*[-_.])?requirements(?:[-_.][\w.-]*)?\.(?:txt|in)", name):
         return requirements
-    return {"Cargo.toml": cargo, "pyproject.toml": pyproject, "package.json": package_json, "pnpm-workspace.yaml": pnpm, "tsconfig.json": config, "jsconfig.json": config}.get(name)
+    return {"Cargo.toml": cargo, "pyproject.toml": pyproject, "package.json": package_json, "pnpm-workspace.yaml": pnpm}.get(name, config if re.fullmatch(r"[tj]sconfig([.-][\w.-]+)?\.json", name) else None)
 
 
 def dev_word(path: str) -> str | None:
@@ -213,8 +215,8 @@ def manifests(files: DataFrame) -> DataFrame:
             frame = pd.DataFrame(out, columns=["file", "what", "name", "section", "value", "line"])
             yield frame.astype({"line": "Int32"})
 
-    wanted = files.where(F.regexp_extract("path", "([^/]*)$", 1).rlike(r"^(Cargo\.toml|pyproject\.toml|package\.json|[tj]sconfig\.json|pnpm-workspace\.yaml|.*requirements.*\.(txt|in))$"))
-    kept = wanted.where(F.regexp_extract("path", "([^/]*)$", 1).rlike(r"^(Cargo\.toml|pyproject\.toml|package\.json|[tj]sconfig\.json|pnpm-workspace\.yaml|([\w.-]*[-_.])?requirements([-_.][\w.-]*)?\.(txt|in))$"))
+    wanted = files.where(F.regexp_extract("path", "([^/]*)$", 1).rlike(r"^(Cargo\.toml|pyproject\.toml|package\.json|[tj]sconfig([.-][\w.-]+)?\.json|pnpm-workspace\.yaml|.*requirements.*\.(txt|in))$"))
+    kept = wanted.where(F.regexp_extract("path", "([^/]*)$", 1).rlike(r"^(Cargo\.toml|pyproject\.toml|package\.json|[tj]sconfig([.-][\w.-]+)?\.json|pnpm-workspace\.yaml|([\w.-]*[-_.])?requirements([-_.][\w.-]*)?\.(txt|in))$"))
     return kept.select("path", "content").mapInPandas(run, SCHEMA)
 
 

@@ -121,3 +121,16 @@ def test_settings(spark):
     assert got["two", "/o/t"] == ("2", "last") and got["nulls", "/o/t"] == ("null", "none") and got["r1", "/o/t"] == (None, None)
     assert got["bad", "/o/t"] == ("1", "first") and got["odd", "/a~1b/c.d"] == ("true", "odd") and got["gone", "/o"] == (None, None)
     assert run(depth=3)["leaf", "/o/paths"] == (None, None)
+
+
+def test_aliases_are_inherited(spark, tmp_path):
+    tree = {
+        "tsconfig.base.json": '{"compilerOptions": {"paths": {"@lib/*": ["lib/src/*"]}}}', "web/tsconfig.json": '{"extends": "./config/tsconfig.mid"}', "web/config/tsconfig.mid.json": '{"extends": ["../../tsconfig.base.json"], "compilerOptions": {"strict": true}}',
+        "own/tsconfig.json": '{"extends": "../tsconfig.base", "compilerOptions": {"baseUrl": "code"}}', "lib/src/thing.ts": "export const thing = 1;\n", "own/code/plain.ts": "export const p = 1;\n", "own/code/lib/src/thing.ts": "",
+        "web/app.ts": "import { thing } from '@lib/thing';\n", "own/app.ts": "import { p } from 'plain';\nimport '@lib/thing';\n", "out.ts": "import '@lib/thing';\n",
+    }
+    for name, text in tree.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    got = {(r.file, r.line): r.target for r in Engine.scan(spark, str(tmp_path)).imports.collect()}
+    assert got == {("web/app.ts", 1): "lib/src/thing.ts", ("own/app.ts", 1): "own/code/plain.ts", ("own/app.ts", 2): "own/code/lib/src/thing.ts", ("out.ts", 1): None}
