@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.gaps import first_of
 from tessera.session import settle
 
 HOPS = 32
@@ -65,9 +66,7 @@ def display_names(components: DataFrame) -> DataFrame:
 
 def first_evidence(evidence: DataFrame, keys: list[str], most: int = 3) -> DataFrame:
     """The first observations of each edge, by file and line, and how many there are: keys, places, total."""
-    place = F.struct("file", "line")
-    shown = F.slice(F.array_sort(F.collect_set(place)), 1, most)
-    return evidence.groupBy(*keys).agg(shown.alias("places"), F.count_distinct(place).alias("total"))
+    return first_of(evidence.select(*keys, "file", "line").distinct(), keys, [F.col("file"), F.col("line")], most).withColumnRenamed("shown", "places")
 
 
 def newest(links: DataFrame, commits: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import barrels, definitions, modules, settings
+from tessera.operators import barrels, definitions, gaps, modules, settings
 from tessera.plans.projections import named, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -414,3 +414,98 @@ def inherited_settings(spark, d):
     up = lambda c, pos: o.where(F.col(c).isNotNull()).select(name, named("o", c).alias("target"), F.lit(pos).alias("pos"))
     asked = configs.select("config", F.explode(F.array(F.lit("/a/b"), F.lit("/a"), F.lit("/c"))).alias("pointer"))
     return settings.settings(configs, up("one", 1).unionByName(up("two", 2)), asked, depth=4)
+
+
+# Gaps, collisions, methods
+
+
+_GAP_SQL = """WITH sup AS (
+  SELECT s_suppkey, 'r' || n_regionkey AS r, 'r' || n_regionkey || '/n' || n_nationkey AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey
+), place AS (
+  SELECT 'dynamic' AS kind, CASE WHEN l_quantity > 40 THEN '' WHEN l_quantity > 20 THEN r ELSE n END AS key, 'o' || l_orderkey AS file, CAST(l_linenumber AS INTEGER) AS line, l_returnflag = 'R' AS test, 'p' || l_partkey AS what FROM lineitem JOIN sup ON l_suppkey = s_suppkey
+  UNION ALL SELECT 'named', 's' || l_suppkey, 'o' || l_orderkey, CAST(l_linenumber AS INTEGER), l_returnflag = 'R', 'p' || l_partkey FROM lineitem WHERE l_tax > 0.05
+), wanted AS (
+  SELECT n || '/s' || s_suppkey AS subject, 'dynamic' AS kind, unnest(['', r, n, n || '/s' || s_suppkey]) AS key, 'o' || s_suppkey AS own FROM sup
+  UNION ALL SELECT n || '/s' || s_suppkey, 'named', 's' || s_suppkey, 'o' || s_suppkey FROM sup
+), met AS (
+  SELECT subject, w.kind, file, line, what, row_number() OVER (PARTITION BY subject, w.kind ORDER BY test, file, line, what) AS k, count(*) OVER (PARTITION BY subject, w.kind) AS total FROM wanted w JOIN place p ON p.kind = w.kind AND p.key = w.key WHERE file <> own
+)
+SELECT subject, kind, total, string_agg(file || ':' || line || ' ' || what, ', ' ORDER BY k) AS shown FROM met WHERE k <= 5 GROUP BY ALL"""
+
+
+@query(_GAP_SQL)
+def untraced(spark, d):
+    """Suppliers are subjects: line items are calls below their directories, or imports of a like name."""
+    n = table(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    sup = table(spark, d, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"))  # 25 nations
+    r = named("r", "n_regionkey")
+    sup = sup.select("s_suppkey", r.alias("r"), F.concat(r, F.lit("/"), named("n", "n_nationkey")).alias("n"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_tax").join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
+    rest = [named("o", "l_orderkey").alias("file"), F.col("l_linenumber").cast("int").alias("line"), (F.col("l_returnflag") == "R").alias("test"), named("p", "l_partkey").alias("what")]
+    key = F.when(F.col("l_quantity") > 40, "").when(F.col("l_quantity") > 20, F.col("r")).otherwise(F.col("n"))
+    places = li.select(F.lit("dynamic").alias("kind"), key.alias("key"), *rest).unionByName(li.where("l_tax > 0.05").select(F.lit("named").alias("kind"), named("s", "l_suppkey").alias("key"), *rest))
+    path = F.concat("n", F.lit("/"), named("s", "s_suppkey"))
+    subject = [path.alias("subject"), named("o", "s_suppkey").alias("own")]
+    wanted = sup.select(*subject, F.lit("dynamic").alias("kind"), F.explode(gaps.directories(path)).alias("key")).unionByName(sup.select(*subject, F.lit("named").alias("kind"), named("s", "s_suppkey").alias("key")))
+    shown = F.array_join(F.transform("shown", lambda x: F.concat(x["file"], F.lit(":"), x["line"].cast("string"), F.lit(" "), x["what"])), ", ")
+    return gaps.gap_lists(places, wanted, most=5).select("subject", "kind", "total", shown.alias("shown"))
+
+
+_NEAR_SQL = f"""WITH {statements_sql(True)}, ends AS (
+  SELECT 'o' || o_orderkey AS barrel, 'o' || one AS one, 'o' || two AS two FROM seq
+), bar AS (
+  SELECT one AS target, barrel, one AS origin, 0 AS place FROM ends WHERE one IS NOT NULL UNION ALL SELECT one, barrel, two, 1 FROM ends WHERE one IS NOT NULL AND two IS NOT NULL
+), pass AS (
+  SELECT DISTINCT file, line, target FROM st WHERE flag <> 'A' AND target IS NOT NULL AND target <> file
+), way AS (
+  SELECT b.target, b.barrel, line, place FROM bar b JOIN pass p ON p.file = b.barrel AND p.target = b.origin
+), line_ AS (
+  SELECT * FROM way UNION ALL SELECT DISTINCT b.target, b.barrel, line, 2147483647 FROM bar b JOIN pass p ON p.file = b.barrel WHERE NOT EXISTS (FROM way w WHERE w.target = b.target AND w.barrel = b.barrel)
+), told AS (
+  SELECT target, barrel, arg_min(line, struct_pack(a := place, b := line)) AS line, string_agg(DISTINCT line, ',' ORDER BY line) AS lines FROM line_ GROUP BY 1, 2
+), tests AS (
+  SELECT DISTINCT target AS barrel, file FROM st WHERE typed AND NOT whole AND NOT other = 'n0' AND target IS NOT NULL AND NOT EXISTS (FROM st m WHERE m.target = st.target AND m.file = st.file AND m.other = 'n0')
+), missed AS (
+  SELECT t.target, t.barrel, count(*) AS n FROM told t JOIN tests x ON x.barrel = t.barrel WHERE NOT EXISTS (FROM st l WHERE l.flag = 'A' AND l.target = t.target AND l.file = x.file) GROUP BY 1, 2
+)
+SELECT t.target, t.barrel, line, lines, coalesce(n, 0) AS tests_not_listed FROM told t LEFT JOIN missed m ON m.target = t.target AND m.barrel = t.barrel"""
+
+
+@query(_NEAR_SQL)
+def nearest_passing_lines(spark, d):
+    st = statements(spark, d, rings=True).where("target is not null")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    last = F.when(F.col("o_custkey") % 3 == 0, F.max("o_orderkey").over(Window.partitionBy("o_custkey")))
+    ends = table(spark, d, "orders").select(named("o", "o_orderkey").alias("barrel"), F.coalesce(F.lag("o_orderkey").over(w), last).alias("one"), F.coalesce(F.lag("o_orderkey", 2).over(w), last).alias("two")).where("one is not null")
+    ends = ends.withColumn("target", named("o", "one"))
+    bars = ends.select("target", "barrel", F.col("target").alias("origin"), F.lit(0).alias("place")).unionByName(ends.where("two is not null").select("target", "barrel", named("o", "two").alias("origin"), F.lit(1).alias("place")))
+    loading = st.select("file", "target", F.col("typed").alias("test"), F.col("whole").alias("type_only"), (F.col("other") == "n0").alias("replaces"))
+    found = gaps.barrel_gaps(bars, st.where("flag <> 'A'").select("file", "line", "target"), loading, st.where("flag = 'A'").select("target", "file"))
+    return found.withColumn("lines", F.array_join(F.transform("lines", lambda x: x.cast("string")), ","))
+
+
+@query("""WITH m AS (SELECT DISTINCT 'p' || l_partkey AS target, 'o' || l_orderkey AS methods_in, 'n' || l_linenumber AS name, l_linestatus = 'O' AS t FROM lineitem WHERE l_returnflag = 'A'),
+s AS (SELECT DISTINCT 'p' || l_partkey AS target, 'o' || l_orderkey AS file, CAST(l_linenumber AS INTEGER) AS line, CASE WHEN l_quantity < 5 THEN NULL WHEN l_quantity >= 40 THEN '*' ELSE 'n' || l_linenumber END AS name, l_linestatus = 'O' AS test FROM lineitem WHERE l_returnflag <> 'A')
+SELECT methods_in, file, line, min(m.name) AS name FROM s JOIN m ON m.target = s.target AND (s.name IS NULL OR s.name = '*' OR s.name = m.name) WHERE methods_in <> file AND (NOT m.t OR s.test) GROUP BY ALL""")
+def method_takers(spark, d):
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus")
+    name, part, order, test = named("n", "l_linenumber"), named("p", "l_partkey"), named("o", "l_orderkey"), F.col("l_linestatus") == "O"
+    methods = li.where("l_returnflag = 'A'").select(part.alias("type_file"), order.alias("file"), name.alias("name"), test.alias("test"))
+    taken = F.when(F.col("l_quantity") < 5, None).when(F.col("l_quantity") >= 40, "*").otherwise(name)
+    s = li.where("l_returnflag <> 'A'").select(order.alias("file"), F.col("l_linenumber").cast("int").alias("line"), part.alias("target"), taken.alias("name"), test.alias("test"))
+    return gaps.method_takers(methods, s)
+
+
+@query("""WITH hit AS (SELECT s_suppkey, c_custkey IS NOT NULL AND c_nationkey <> s_nationkey AS hit, c_custkey IS NOT NULL AND c_custkey % 10 = 0 AS again FROM supplier LEFT JOIN customer ON c_custkey = s_suppkey),
+ids AS (SELECT s_suppkey, '' AS rest FROM supplier UNION ALL SELECT DISTINCT l_suppkey, '::p' || l_partkey FROM lineitem)
+SELECT 'supplier' AS source, 'x' || s_suppkey || rest AS id, 'x' || s_suppkey || CASE WHEN NOT hit THEN '' WHEN again THEN '+supplier+supplier' ELSE '+supplier' END || rest AS new_id FROM ids JOIN hit USING (s_suppkey)
+UNION ALL SELECT 'customer', 'x' || c_custkey, 'x' || c_custkey FROM customer UNION ALL SELECT 'customer', 'x' || c_custkey || '+supplier', 'x' || c_custkey || '+supplier' FROM customer WHERE c_custkey % 10 = 0""")
+def id_collisions(spark, d):
+    """Customers and suppliers of one number have one id; some customers have the id that a renamed supplier would get."""
+    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
+    row = lambda source, ident, path, pos: [F.lit(source).alias("source"), F.lit(pos).alias("pos"), ident.alias("id"), path.alias("path")]
+    x, y = named("x", "c_custkey"), named("x", "s_suppkey")
+    rows = c.select(*row("customer", x, named("n", "c_nationkey"), 1)).unionByName(c.where("c_custkey % 10 = 0").select(*row("customer", F.concat(x, F.lit("+supplier")), F.lit("elsewhere"), 2)))
+    li = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").distinct()
+    rows = rows.unionByName(s.select(*row("supplier", y, named("n", "s_nationkey"), 1))).unionByName(li.select(*row("supplier", F.concat(named("x", "l_suppkey"), F.lit("::p"), F.col("l_partkey").cast("string")), F.lit("below"), 2)))
+    return gaps.separated(rows, ["customer", "supplier"])
