@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import settle
+from tessera.session import gathered, settle
 
 
 def _bounded(round_: int, bound: int) -> None:
@@ -20,7 +20,10 @@ def _bounded(round_: int, bound: int) -> None:
 
 
 def closure(edges: DataFrame, start: DataFrame | None = None, *, bound: int = 1000) -> DataFrame:
-    """All pairs (src, dst) with a path of one edge or more; with start (src) only those from there."""
+    """All pairs (src, dst) with a path of one edge or more; with start (src) only those from there.
+
+    All pairs come by doubling, in about log rounds of the longest path; from a start by one edge a round.
+    """
     e = settle(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     found = settle(e if start is None else e.join(start.select("src").distinct(), "src", "left_semi"))
     fresh = found
@@ -28,41 +31,90 @@ def closure(edges: DataFrame, start: DataFrame | None = None, *, bound: int = 10
         if fresh.isEmpty():
             return found
         _bounded(i, bound)
-        step = fresh.select("src", F.col("dst").alias("_mid")).join(e.select(F.col("src").alias("_mid"), "dst"), "_mid").select("src", "dst").distinct()
-        fresh = settle(step.join(found, ["src", "dst"], "left_anti"))
-        found = settle(found.unionByName(fresh))
+        ahead = lambda rows: rows.select(F.col("src").alias("_mid"), "dst")
+        met = lambda one, two: one.select("src", F.col("dst").alias("_mid")).join(ahead(two), "_mid").select("src", "dst")
+        step = met(fresh, e) if start is not None else met(fresh, found).unionByName(met(found, fresh))
+        fresh = settle(step.distinct().join(found, ["src", "dst"], "left_anti"))
+        found = gathered(found, fresh, i)
     raise AssertionError
 
 
 def transitive_dependents(edges: DataFrame, target: str) -> DataFrame:
     """Everything from which a path leads to the target, without itself."""
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    start = edges.sparkSession.createDataFrame([(target,)], "src string")
-    return closure(back, start).where(F.col("dst") != target).select(F.col("dst").alias("id")).distinct()
+    back = edges.where("src is not null and dst is not null").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(0).alias("cost"))
+    start = edges.sparkSession.createDataFrame([(target,)], "id string")
+    return distances(back, start).where(F.col("id") != target).select("id")
 
 
-def distances(edges: DataFrame, seeds: DataFrame, *, bound: int = 1000) -> DataFrame:
-    """Least cost from the seeds (id) along edges (src, dst, cost 0 or 1), with the predecessor there: id, distance, hop.
+#: Rounds of one edge each after which what is left of a graph is contracted.
+PATIENCE = 24
 
-    Ties of the predecessor go to the least id; a seed has none.
+
+def _chains(edges: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes with one edge in and one out, but those to keep: id, up (where their chain begins), off (its cost up to them), before, first (of the chain's nodes).
+
+    edges: src, dst, cost, distinct, no loops. Pointers are followed by doubling; each node of a chain points to another
+    one until it reaches the beginning, so no key is hot. The second table has the nodes of circles that nothing enters or leaves.
     """
-    e = settle(edges.groupBy("src", "dst").agg(F.min("cost").alias("cost")))
-    best = settle(seeds.select(F.col("id"), F.lit(0).alias("distance"), F.lit(None).cast("string").alias("hop")).distinct())
+    one = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("_n"), F.min("src").alias("before"), F.min("cost").alias("off")).where("_n = 1").drop("_n")
+    out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("_n")).where("_n = 1").select("id")
+    own = settle(one.join(out, "id", "left_semi").join(keep.select("id"), "id", "left_anti").select("id", F.col("before").alias("up"), F.col("off").cast("long").alias("off"), "before", F.col("id").alias("first")))
+    ids = own.select(F.col("id").alias("up"))
+    done, open_ = settle(own.join(ids, "up", "left_anti")), settle(own.join(ids, "up", "left_semi"))
+    # A chain of n nodes has settled after log n rounds; a circle never does, and its pointers come round.
+    for i in range(max(open_.count(), 1).bit_length() + 1):
+        if open_.isEmpty():
+            break
+        known = done.unionByName(open_).select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("off").alias("_off"), F.col("first").alias("_first"))
+        step = open_.join(known, "up").select("id", F.col("_up").alias("up"), (F.col("off") + F.col("_off")).alias("off"), "before", F.col("_first").alias("first"))
+        step = settle(step.join(ids.withColumn("_in", F.lit(True)), "up", "left"))
+        done = gathered(done, step.where("_in is null").drop("_in"), i)
+        open_ = step.where("_in").drop("_in")
+    return done, open_
+
+
+def _relaxed(e: DataFrame, seeds: DataFrame, bound: int) -> DataFrame | None:
+    """Least cost from the seeds along e (src, dst, cost, via), and the least via there; None if that takes more rounds."""
+    best = settle(seeds.select(F.col("id"), F.lit(0).cast("long").alias("distance"), F.lit(None).cast("string").alias("hop")).distinct())
     fresh = best
-    for i in range(bound + 1):
+    for _ in range(bound + 1):
         if fresh.isEmpty():
             return best
-        _bounded(i, bound)
-        step = fresh.join(e, fresh.id == e.src).select(F.col("dst").alias("id"), (F.col("distance") + F.col("cost")).alias("distance"), F.col("src").alias("hop"))
+        step = fresh.join(e, fresh.id == e.src).select(F.col("dst").alias("id"), (F.col("distance") + F.col("cost")).alias("distance"), F.col("via").alias("hop"))
         step = step.groupBy("id").agg(F.min(F.struct("distance", "hop")).alias("x")).select("id", "x.*")
         old = best.select("id", F.col("distance").alias("_d"), F.col("hop").alias("_h"))
         fresh = settle(step.join(old, "id", "left").where("_d is null or distance < _d or (distance = _d and _h is not null and hop < _h)").select("id", "distance", "hop"))
         best = settle(best.join(fresh.select("id"), "id", "left_anti").unionByName(fresh))
-    raise AssertionError
+    return None
+
+
+def distances(edges: DataFrame, seeds: DataFrame, *, bound: int = 1000) -> DataFrame:
+    """Least cost from the seeds (id) along edges (src, dst, cost 0 or 1), with the predecessor there: id, distance, hop.
+
+    Ties of the predecessor go to the least id; a seed has none. Each round goes one edge further. What has not settled
+    after PATIENCE rounds is begun again with its chains taken as one edge each, however long they are; then `bound`
+    is of rounds over these, and more raise.
+    """
+    e = settle(edges.groupBy("src", "dst").agg(F.min("cost").cast("long").alias("cost")).where("src <> dst"))
+    found = _relaxed(e.withColumn("via", F.col("src")), seeds, min(PATIENCE, bound))
+    if found is None:
+        chains, circles = _chains(e, seeds)
+        inner = chains.select("id").unionByName(circles.select("id"))
+        start = chains.select(F.col("id").alias("src"), "up", F.col("off").alias("_off"))
+        g = e.join(inner.select(F.col("id").alias("dst")), "dst", "left_anti").join(start, "src", "left")
+        g = settle(g.select(F.coalesce("up", "src").alias("src"), "dst", (F.col("cost") + F.coalesce("_off", F.lit(0))).alias("cost"), F.col("src").alias("via")))
+        found = _relaxed(g, seeds, bound)
+        if found is None:
+            raise RuntimeError(f"no fix-point after {bound} rounds")
+        ends = found.select(F.col("id").alias("up"), F.col("distance").alias("_d"))
+        found = found.unionByName(chains.join(ends, "up").select("id", (F.col("_d") + F.col("off")).alias("distance"), F.col("before").alias("hop")))
+    return found.select("id", F.col("distance").cast("int").alias("distance"), "hop")
 
 
 #: Orders of the nodes, by hash, that strong_components follows at once.
 ORDERS = 4
+#: Places over which the nodes of one label are dealt.
+SALTS = 16
 
 
 def _greatest_reach(edges: DataFrame, salt: int, round_: int, bound: int) -> tuple[DataFrame, int]:
@@ -86,19 +138,55 @@ def _greatest_reach(edges: DataFrame, salt: int, round_: int, bound: int) -> tup
             return state.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("back", "k", F.col("x.l").alias("l")))).alias("labels")), round_
         before = now
         hop = state.join(both, (F.col("v") == F.col("src")) & (state.back == both.back)).select(F.col("dst").alias("v"), "k", state.back, "x")
-        ahead = state.select(F.col("v").alias("_v"), F.col("k").alias("_k"), F.col("back").alias("_b"), F.col("x").alias("_x"))
-        jump = state.join(ahead, (F.col("x.l") == F.col("_v")) & (F.col("k") == F.col("_k")) & (F.col("back") == F.col("_b"))).select("v", "k", "back", F.col("_x").alias("x"))
+        # Many nodes may carry one label: each label is looked up once, and its nodes meet the answer in SALTS places.
+        labels = state.select(F.col("x.l").alias("v"), "k", "back").distinct().join(state, ["v", "k", "back"])
+        ahead = labels.select(F.col("v").alias("_l"), "k", "back", F.col("x").alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+        carried = state.select("v", "k", "back", F.col("x.l").alias("_l"), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int").alias("_salt"))
+        jump = carried.join(ahead, ["_l", "k", "back", "_salt"]).select("v", "k", "back", F.col("_x").alias("x"))
         state = settle(jump.unionByName(hop).groupBy("v", "k", "back").agg(F.max("x").alias("x")))
 
 
 def strong_components(edges: DataFrame, *, bound: int = 1000) -> DataFrame:
     """Strongly connected groups of two or more: id, component (the least id). Self loops don't count.
 
+    Chains of nodes with one edge in and one out are taken as one edge each first, in a number of rounds that is the
+    logarithm of their length; their nodes are in the group of their ends if these are in one. Circles that nothing enters or leaves
+    are groups. Raises after bound rounds over what is left.
+    """
+    e = settle(edges.select("src", "dst").where("src <> dst").distinct())
+    if e.isEmpty():
+        return e.select(F.col("src").alias("id"), F.col("dst").alias("component"))
+    chains, circles = _chains(e.withColumn("cost", F.lit(1)), e.select(F.col("src").alias("id")).limit(0))
+    inner = chains.select("id").unionByName(circles.select("id"))
+    ends = chains.select(F.col("id").alias("src"), "up", "first")
+    g = settle(e.join(inner.select(F.col("id").alias("dst")), "dst", "left_anti").join(ends, "src", "left").select(F.coalesce("up", "src").alias("src"), "dst", "first"))
+    core = _core_components(g.where("src <> dst").select("src", "dst").distinct(), bound)
+    # Every node that is no chain's, by its group or alone; chains whose ends are of one group are of it too.
+    nodes = g.select(F.col("src").alias("id")).unionByName(g.select(F.col("dst").alias("id"))).distinct().join(core, "id", "left").select("id", F.coalesce("component", "id").alias("group"))
+    nodes = settle(nodes)
+    side = lambda end: nodes.select(F.col("id").alias(end), F.col("group").alias(f"_{end}"))
+    within = g.where("first is not null").join(side("src"), "src").join(side("dst"), "dst").where("_src = _dst").select("first", F.col("_src").alias("group")).distinct()
+    all_ = nodes.unionByName(chains.join(within, "first").select("id", "group"))
+    if not circles.isEmpty():
+        # The least of a circle, by doubling: after log n rounds each node has seen all.
+        ring = settle(e.join(circles.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("dst").alias("id"), F.col("src").alias("up"), F.least("src", "dst").alias("group")))
+        for _ in range(ring.count().bit_length()):
+            ahead = ring.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("group").alias("_g"))
+            ring = settle(ring.join(ahead, "up").select("id", F.col("_up").alias("up"), F.least("group", "_g").alias("group")))
+        all_ = all_.unionByName(ring.select("id", "group"))
+    all_ = settle(all_)
+    groups = all_.groupBy("group").agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1")
+    return all_.join(groups, "group").select("id", "component")
+
+
+def _core_components(edges: DataFrame, bound: int) -> DataFrame:
+    """Strongly connected groups of two or more: id, component (the least id).
+
     Nodes of one group are reached by, and reach, the same nodes, so edges between nodes whose greatest ones differ go;
     a node whose greatest one is the same both ways is of that one's group and is done. The rest goes on under new
     orders. No pairs of nodes that reach each other are made: rows grow with nodes and edges. Raises after bound rounds.
     """
-    e = settle(edges.select("src", "dst").where("src <> dst").distinct())
+    e = settle(edges)
     done, round_, salt = None, 0, 0
     while not e.isEmpty():
         reach, round_ = _greatest_reach(e, salt, round_, bound)
@@ -184,20 +272,44 @@ def propagated(passes: DataFrame, own: DataFrame, *, bound: int = 64) -> DataFra
 
 
 def levels(edges: DataFrame, *, bound: int = 10_000) -> DataFrame:
-    """Of an acyclic graph, the longest path below each node: id, level; what depends on nothing is 0. A cycle raises."""
-    e = settle(edges.select("src", "dst").where("src <> dst").distinct())
-    left = settle(e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct())
-    done = None
-    for i in range(bound):
-        if left.isEmpty():
-            return done if done is not None else left.withColumn("level", F.lit(0))
-        ready = settle(left.join(e.select(F.col("src").alias("id")).distinct(), "id", "left_anti").withColumn("level", F.lit(i)))
-        if ready.isEmpty():
+    """Of an acyclic graph, the longest path below each node: id, level; what depends on nothing is 0. A cycle raises.
+
+    Nodes all of whose dependencies are done are done a round later. After PATIENCE rounds the rest is gone through
+    with its chains taken as one edge each.
+    """
+    e = settle(edges.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(1).cast("long").alias("cost")).distinct())
+    nodes = settle(e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct())
+
+    def peeled(e: DataFrame, nodes: DataFrame, most: int) -> DataFrame | None:
+        left, done = nodes.withColumn("level", F.lit(0).cast("long")), None
+        for i in range(most):
+            if left.isEmpty():
+                return left if done is None else done
+            ready = settle(left.join(e.select(F.col("dst").alias("id")), "id", "left_anti"))
+            if ready.isEmpty():
+                raise ValueError("the graph has a cycle")
+            done = ready if done is None else gathered(done, ready, i)
+            step = e.join(ready.select(F.col("id").alias("src"), "level"), "src")
+            reached = step.groupBy(F.col("dst").alias("id")).agg(F.max(F.col("level") + F.col("cost")).alias("_l"))
+            left = settle(left.join(ready.select("id"), "id", "left_anti").join(reached, "id", "left").select("id", F.greatest("level", F.coalesce("_l", F.lit(0))).alias("level")))
+            e = settle(e.join(ready.select(F.col("id").alias("src")), "src", "left_anti"))
+        return None
+
+    found = peeled(e, nodes, min(PATIENCE, bound))
+    if found is None:
+        chains, circles = _chains(e, nodes.limit(0))
+        if not circles.isEmpty():
+            raise ValueError("the graph has a cycle")
+        start = chains.select(F.col("id").alias("src"), "up", F.col("off").alias("_off"))
+        g = e.join(chains.select(F.col("id").alias("dst")), "dst", "left_anti").join(start, "src", "left")
+        g = settle(g.groupBy(F.coalesce("up", "src").alias("src"), "dst").agg(F.max(F.col("cost") + F.coalesce("_off", F.lit(0))).alias("cost")))
+        if not g.where("src = dst").isEmpty():
             raise ValueError("the graph has a cycle")
-        done = ready if done is None else settle(done.unionByName(ready))
-        left = settle(left.join(ready, "id", "left_anti"))
-        e = settle(e.join(ready.select(F.col("id").alias("dst")), "dst", "left_anti"))
-    raise RuntimeError(f"more than {bound} levels")
+        found = peeled(g, settle(nodes.join(chains.select("id"), "id", "left_anti")), bound)
+        if found is None:
+            raise RuntimeError(f"more than {bound} levels")
+        found = found.unionByName(chains.join(found.select(F.col("id").alias("up"), "level"), "up").select("id", (F.col("level") + F.col("off")).alias("level")))
+    return found.select("id", F.col("level").cast("int").alias("level"))
 
 
 def impact(edges: DataFrame, owners: DataFrame, changed: DataFrame, *, links: DataFrame | None = None) -> DataFrame:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import settle, workers_can_import
+from tessera.operators.relations import in_order
+from tessera.session import settle
 
 MAX_FILES = 30
 
@@ -47,8 +45,7 @@ def co_changed(changes: DataFrame, counted: DataFrame, targets: DataFrame) -> Da
 def degree_order(table: DataFrame) -> DataFrame:
     """Rows in order of shared / mean(total, own), then shared, then path: place. The quotients are compared as exact integers."""
     # Quotients of counts below 10^6 that differ do so by more than 10^-12, so their floors at this scale keep the order.
-    order = [F.desc(F.expr("cast(shared as decimal(20,0)) * 1000000000000 div (total + own)")), F.desc("shared"), F.asc("path")]
-    return table.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    return in_order(table, [F.desc(F.expr("cast(shared as decimal(20,0)) * 1000000000000 div (total + own)")), F.desc("shared"), F.asc("path")])
 
 
 def commit_files(changes: DataFrame, commits: DataFrame, identity: DataFrame | None = None) -> DataFrame:
@@ -59,52 +56,41 @@ def commit_files(changes: DataFrame, commits: DataFrame, identity: DataFrame | N
     return own.join(identity, ["commit", "path"], "left").select("commit", F.coalesce("now", "path").alias("path")).distinct()
 
 
-def newest_first(commits: pd.DataFrame) -> list[str]:
-    """Children before parents; of several that may come, the first in input order."""
-    place = dict(zip(commits["id"], commits["pos"], strict=True))
-    parents = {i: [p for p in ps if p in place] for i, ps in zip(commits["id"], commits["parents"], strict=True)}
-    waits = dict.fromkeys(place, 0)
-    for ps in parents.values():
-        for p in ps:
-            waits[p] += 1
-    ready = [(place[i], i) for i, n in waits.items() if not n]
-    heapq.heapify(ready)
-    out = []
-    while ready:
-        _, i = heapq.heappop(ready)
-        out.append(i)
-        for p in parents[i]:
-            waits[p] -= 1
-            if not waits[p]:
-                heapq.heappush(ready, (place[p], p))
-    return out
-
-
-def placed(commits: DataFrame) -> DataFrame:
-    """Commits with their place, newest first: id, place.
-
-    The order of pos holds wherever children come before their parents in it, as they do in a log in topological order;
-    else commits (ids and parents alone, not their changes) are put in order in one task.
-    """
-    up = commits.select(F.col("pos").alias("child"), F.explode("parents").alias("id"))
-    wrong = up.join(commits.select("id", "pos"), "id").where("pos < child")
-    if wrong.isEmpty():
-        return commits.select("id", F.col("pos").alias("place"))
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        order = newest_first(part)
-        return pd.DataFrame({"id": order, "place": range(len(order))})
+def placed(commits: DataFrame, *, bound: int = 1000) -> DataFrame:
+    """Commits with their place, newest first: id, place, a number that only grows from child to parent.
 
-    workers_can_import(commits.sparkSession)
-    return commits.select("id", "parents", "pos", F.lit(1).alias("all")).groupBy("all").applyInPandas(fold, "id string, place bigint")
+    The order of pos holds wherever children come before their parents in it, as they do in a log in topological order.
+    Else a parent takes the greatest place of its children and one step more where its own is not greater; that is
+    carried on from commits that moved, a round for each parent on the way, and raises past `bound` rounds.
+    """
+    up = settle(commits.select(F.col("id").alias("child"), F.explode("parents").alias("id")).join(commits.select("id"), "id", "left_semi"))
+    place = F.struct(F.col("pos").cast("long").alias("pos"), F.lit(0).cast("long").alias("steps"))
+    at = moved = settle(commits.select("id", "pos", place.alias("at")))
+    for i in range(bound + 1):
+        if moved.isEmpty():
+            # Places and steps below 10^12, so that the number keeps the order of the three.
+            scale = lambda c, n: F.col(c).cast("decimal(38,0)") * F.expr(f"cast(1e{n} as decimal(25,0))")
+            return at.select("id", (scale("at.pos", 24) + scale("at.steps", 12) + F.col("pos")).cast("decimal(38,0)").alias("place"))
+        if i == bound:
+            raise RuntimeError(f"commits have not settled after {bound} rounds")
+        later = F.struct(F.col("at.pos").alias("pos"), (F.col("at.steps") + 1).alias("steps"))
+        pushed = moved.select(F.col("id").alias("child"), later.alias("_at")).join(up, "child").groupBy("id").agg(F.max("_at").alias("_at"))
+        moved = settle(at.join(pushed, "id").where("_at > at").select("id", "pos", F.col("_at").alias("at")))
+        at = settle(at.join(moved.select("id"), "id", "left_anti").unionByName(moved))
+    raise AssertionError
 
 
 def _last_before(rows: DataFrame, path: str, events: DataFrame) -> DataFrame:
-    """Rows with the last event (newer commits come first) of their path before their place: at, to; both null without one."""
-    own = rows.join(events.withColumnRenamed("path", "_path"), F.col(path) == F.col("_path"), "left")
-    last = F.element_at(F.filter("events", lambda e: e["place"] < F.col("place")), -1)
-    e = F.when(F.size(F.filter("events", lambda e: e["place"] < F.col("place"))) > 0, last)
-    return own.select(*[F.col(c) for c in rows.columns], e["place"].alias("at"), e["to"].alias("to"))
+    """Rows with the last event (newer commits come first) of their path before their place: at, to; both null without one.
+
+    Rows and events are sorted together once, so a path costs as much as it has of both.
+    """
+    row = F.struct(*[F.col(c) for c in rows.columns])
+    both = rows.select(F.col(path).alias("_path"), "place", row.alias("_row"), F.lit(None).cast(f"struct<at:{rows.schema['place'].dataType.simpleString()},to:string>").alias("_event"))
+    both = both.unionByName(events.select(F.col("path").alias("_path"), "place", F.lit(None).cast(rows.schema.simpleString()).alias("_row"), F.struct(F.col("place").alias("at"), "to").alias("_event")))
+    w = Window.partitionBy("_path").orderBy("place", F.col("_event").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_event", F.last("_event", ignorenulls=True).over(w)).where("_row is not null")
+    return found.select("_row.*", "_event.at", "_event.to")
 
 
 def identities(commits: DataFrame, changes: DataFrame, *, bound: int = 64) -> DataFrame:
@@ -114,14 +100,13 @@ def identities(commits: DataFrame, changes: DataFrame, *, bound: int = 64) -> Da
     ends what its path was called; of several that carry one path in a commit the greatest new path counts. So what
     a path is called at a commit is told by the last such event of that path in newer commits, and a rename points to
     the name of its new path at that place. These pointers are resolved by doubling: a chain of n renames takes log n
-    rounds. A path's events are gathered, its changes are not. Raises if it has not settled after bound rounds.
+    rounds. Raises if it has not settled after bound rounds.
     """
     c = settle(changes.select("commit", "path", "kind", "renamed_from").join(placed(commits).withColumnRenamed("id", "commit"), "commit"))
     ends = c.where("kind in ('added', 'renamed')").select("path", "place", F.lit(None).cast("string").alias("to"))
     carries = c.where("renamed_from is not null").select(F.col("renamed_from").alias("path"), "place", F.col("path").alias("to"))
-    each = ends.unionByName(carries).groupBy("path", "place").agg(F.max("to").alias("to"))
-    events = settle(each.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("place", "to"))).alias("events")))
-    moves = each.where("to is not null").withColumnRenamed("to", "now")
+    events = settle(ends.unionByName(carries).groupBy("path", "place").agg(F.max("to").alias("to")))
+    moves = events.where("to is not null").withColumnRenamed("to", "now")
     # A move's name: its new path, or what the event before it on that path made of that.
     known = settle(_last_before(moves, "now", events).select("path", "place", "now", F.when(F.col("to").isNotNull(), F.struct(F.col("now").alias("path"), F.col("at").alias("place"))).alias("next")))
     for _ in range(bound):

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import settle
+
 STATEMENT = ("file", "line")
 
 
@@ -67,6 +69,18 @@ def competition_rank(rows: DataFrame, by: str, *, into: str = "rank") -> DataFra
     return rows.join(ahead, by)
 
 
+def in_order(rows: DataFrame, order: Sequence[Column], *, into: str = "place") -> DataFrame:
+    """Rows with their place in an order, from 1: ranges are sorted side by side, and the sizes of those before are added."""
+    columns = rows.columns
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # The generated number has the partition in its upper bits and the row's place in it in the lower 33.
+    marked = settle(dealt.withColumn("_id", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_id", 33))
+    sizes = marked.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return marked.join(before, "_part").select(*columns, place.cast("int").alias(into))
+
+
 def top_with_rest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """The first k of each group, with rank and the number of those left out."""
     w = Window.partitionBy(*keys)
