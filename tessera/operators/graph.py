@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import gathered, settle
+from tessera.session import gathered, settle, stored
 
 
 def _bounded(round_: int, bound: int) -> None:
@@ -25,7 +25,7 @@ def closure(edges: DataFrame, start: DataFrame | None = None, *, bound: int = 10
     All pairs come by doubling, in about log rounds of the longest path; from a start by one edge a round.
     """
     e = settle(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    found = settle(e if start is None else e.join(start.select("src").distinct(), "src", "left_semi"))
+    found = stored(e if start is None else e.join(start.select("src").distinct(), "src", "left_semi"))
     fresh = found
     for i in range(bound + 1):
         if fresh.isEmpty():
@@ -34,8 +34,8 @@ def closure(edges: DataFrame, start: DataFrame | None = None, *, bound: int = 10
         ahead = lambda rows: rows.select(F.col("src").alias("_mid"), "dst")
         met = lambda one, two: one.select("src", F.col("dst").alias("_mid")).join(ahead(two), "_mid").select("src", "dst")
         step = met(fresh, e) if start is not None else met(fresh, found).unionByName(met(found, fresh))
-        fresh = settle(step.distinct().join(found, ["src", "dst"], "left_anti"))
-        found = gathered(found, fresh, i)
+        fresh = stored(step.distinct().join(found, ["src", "dst"], "left_anti"))
+        found = found.unionByName(fresh)
     raise AssertionError
 
 
@@ -58,17 +58,17 @@ def _chains(edges: DataFrame, keep: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     one = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("_n"), F.min("src").alias("before"), F.min("cost").alias("off")).where("_n = 1").drop("_n")
     out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("_n")).where("_n = 1").select("id")
-    own = settle(one.join(out, "id", "left_semi").join(keep.select("id"), "id", "left_anti").select("id", F.col("before").alias("up"), F.col("off").cast("long").alias("off"), "before", F.col("id").alias("first")))
+    own = stored(one.join(out, "id", "left_semi").join(keep.select("id"), "id", "left_anti").select("id", F.col("before").alias("up"), F.col("off").cast("long").alias("off"), "before", F.col("id").alias("first")))
     ids = own.select(F.col("id").alias("up"))
-    done, open_ = settle(own.join(ids, "up", "left_anti")), settle(own.join(ids, "up", "left_semi"))
+    done, open_ = own.join(ids, "up", "left_anti"), stored(own.join(ids, "up", "left_semi"))
     # A chain of n nodes has settled after log n rounds; a circle never does, and its pointers come round.
-    for i in range(max(open_.count(), 1).bit_length() + 1):
+    for _ in range(max(open_.count(), 1).bit_length() + 1):
         if open_.isEmpty():
             break
         known = done.unionByName(open_).select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("off").alias("_off"), F.col("first").alias("_first"))
         step = open_.join(known, "up").select("id", F.col("_up").alias("up"), (F.col("off") + F.col("_off")).alias("off"), "before", F.col("_first").alias("first"))
-        step = settle(step.join(ids.withColumn("_in", F.lit(True)), "up", "left"))
-        done = gathered(done, step.where("_in is null").drop("_in"), i)
+        step = stored(step.join(ids.withColumn("_in", F.lit(True)), "up", "left"))
+        done = done.unionByName(step.where("_in is null").drop("_in"))
         open_ = step.where("_in").drop("_in")
     return done, open_
 
@@ -124,11 +124,11 @@ def _greatest_reach(edges: DataFrame, salt: int, round_: int, bound: int) -> tup
     path in random order settles in about log n rounds.
     """
     both = edges.select("src", "dst", F.lit(False).alias("back")).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.lit(True).alias("back")))
-    both = settle(both)
+    both = stored(both)
     nodes = both.select(F.col("src").alias("v")).distinct()
     k = F.explode(F.sequence(F.lit(0), F.lit(ORDERS - 1))).alias("k")
     state = nodes.select("v", k).select("v", "k", F.explode(F.array(F.lit(False), F.lit(True))).alias("back"), F.struct(F.xxhash64("v", "k", F.lit(salt)).alias("m"), F.col("v").alias("l")).alias("x"))
-    state, before = settle(state), None
+    state, before = stored(state), None
     while True:
         _bounded(round_, bound)
         round_ += 1
@@ -143,7 +143,7 @@ def _greatest_reach(edges: DataFrame, salt: int, round_: int, bound: int) -> tup
         ahead = labels.select(F.col("v").alias("_l"), "k", "back", F.col("x").alias("_x"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
         carried = state.select("v", "k", "back", F.col("x.l").alias("_l"), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int").alias("_salt"))
         jump = carried.join(ahead, ["_l", "k", "back", "_salt"]).select("v", "k", "back", F.col("_x").alias("x"))
-        state = settle(jump.unionByName(hop).groupBy("v", "k", "back").agg(F.max("x").alias("x")))
+        state = stored(jump.unionByName(hop).groupBy("v", "k", "back").agg(F.max("x").alias("x")))
 
 
 def strong_components(edges: DataFrame, *, bound: int = 1000) -> DataFrame:
@@ -169,10 +169,10 @@ def strong_components(edges: DataFrame, *, bound: int = 1000) -> DataFrame:
     all_ = nodes.unionByName(chains.join(within, "first").select("id", "group"))
     if not circles.isEmpty():
         # The least of a circle, by doubling: after log n rounds each node has seen all.
-        ring = settle(e.join(circles.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("dst").alias("id"), F.col("src").alias("up"), F.least("src", "dst").alias("group")))
+        ring = stored(e.join(circles.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("dst").alias("id"), F.col("src").alias("up"), F.least("src", "dst").alias("group")))
         for _ in range(ring.count().bit_length()):
             ahead = ring.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("group").alias("_g"))
-            ring = settle(ring.join(ahead, "up").select("id", F.col("_up").alias("up"), F.least("group", "_g").alias("group")))
+            ring = stored(ring.join(ahead, "up").select("id", F.col("_up").alias("up"), F.least("group", "_g").alias("group")))
         all_ = all_.unionByName(ring.select("id", "group"))
     all_ = settle(all_)
     groups = all_.groupBy("group").agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1")

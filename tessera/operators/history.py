@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.relations import in_order
-from tessera.session import settle
+from tessera.session import settle, stored
 
 MAX_FILES = 30
 
@@ -108,12 +108,12 @@ def identities(commits: DataFrame, changes: DataFrame, *, bound: int = 64) -> Da
     events = settle(ends.unionByName(carries).groupBy("path", "place").agg(F.max("to").alias("to")))
     moves = events.where("to is not null").withColumnRenamed("to", "now")
     # A move's name: its new path, or what the event before it on that path made of that.
-    known = settle(_last_before(moves, "now", events).select("path", "place", "now", F.when(F.col("to").isNotNull(), F.struct(F.col("now").alias("path"), F.col("at").alias("place"))).alias("next")))
+    known = stored(_last_before(moves, "now", events).select("path", "place", "now", F.when(F.col("to").isNotNull(), F.struct(F.col("now").alias("path"), F.col("at").alias("place"))).alias("next")))
     for _ in range(bound):
         if known.where("next is not null").isEmpty():
             break
         ahead = known.select(F.struct("path", "place").alias("next"), F.col("now").alias("_now"), F.col("next").alias("_next"))
-        known = settle(known.join(ahead, "next", "left").select("path", "place", F.coalesce("_now", "now").alias("now"), F.col("_next").alias("next")))
+        known = stored(known.join(ahead, "next", "left").select("path", "place", F.coalesce("_now", "now").alias("now"), F.col("_next").alias("next")))
     else:
         raise RuntimeError(f"renames have not settled after {bound} rounds")
     own = _last_before(c.select("commit", "path", "place"), "path", events)

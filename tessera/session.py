@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +59,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: like settle, for loops that join a table with itself.
+
+    A checkpoint keeps the planner's estimate of what it was made of, and estimates of joins multiply: in such a loop they soon
+    have millions of digits. A table has the size that it has.
+    """
+    at = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def gathered(all_: DataFrame, new: DataFrame, round_: int) -> DataFrame:
     """Settled rows with those that a round added: written anew every eighth round, so that neither plans nor copies grow with rounds."""
     both = all_.unionByName(new)
