@@ -34,7 +34,7 @@ def co_changed(changes: DataFrame, counted: DataFrame, targets: DataFrame) -> Da
     changes: commit, path after renames were followed. The commits of the targets are few beside all commits; the
     join keeps to them, and counts are partial before each shuffle.
     """
-    own = real_changes(changes).select("commit", "path").distinct().join(counted.select(F.col("id").alias("commit")), "commit", "left_semi")
+    own = settle(real_changes(changes).select("commit", "path").distinct().join(counted.select(F.col("id").alias("commit")), "commit", "left_semi"))
     hit = own.join(targets.select("path"), "path", "left_semi").select("commit").distinct()
     total = hit.agg(F.count("*").alias("total"))
     shared = own.join(hit, "commit", "left_semi").join(targets.select("path"), "path", "left_anti").groupBy("path").agg(F.count("*").alias("shared"))

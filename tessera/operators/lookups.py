@@ -34,18 +34,16 @@ def path_owners(files: DataFrame, components: DataFrame, places: DataFrame) -> D
     """
     up = files.select("file", F.explode(ancestors(F.col("file"))).alias("path"))
     near = up.join(components.where(F.col("path").isNotNull()).select("id", "path"), "path")
-    longest = near.groupBy("file").agg(F.max(F.length("path")).alias("_len"))
-    tied = near.join(longest, "file").where(F.length("path") == F.col("_len")).drop("_len")
     seen = places.select("id", "file", parent(F.col("file")).alias("dir"), extension(F.col("file")).alias("ext"))
     in_file = seen.select("id", "file").distinct().withColumn("_file", F.lit(True))
     beside = seen.select("id", "dir", "ext").distinct().withColumn("_ext", F.lit(True))
     inside = seen.select("id", "dir").distinct().withColumn("_dir", F.lit(True))
-    t = tied.withColumns({"dir": F.when(F.col("file") == F.col("path"), F.col("path")).otherwise(parent(F.col("file"))), "ext": extension(F.col("file"))})
+    t = near.withColumns({"dir": F.when(F.col("file") == F.col("path"), F.col("path")).otherwise(parent(F.col("file"))), "ext": extension(F.col("file"))})
     t = t.join(in_file, ["id", "file"], "left").join(inside, ["id", "dir"], "left")
     t = t.join(beside.withColumnRenamed("ext", "_e"), (t.id == beside.id) & (t.dir == beside.dir) & (t.ext == F.col("_e")), "left").select(t["*"], "_ext")
     some = lambda c: F.coalesce(F.col(c), F.lit(False))
     score = F.when(F.col("file") == F.col("path"), some("_dir").cast("int")).when(some("_file"), 2).when(F.when(F.col("ext").isNull(), some("_dir")).otherwise(some("_ext")), 1).otherwise(0)
-    return t.groupBy("file").agg(F.max_by("id", F.struct(score, F.col("id"))).alias("owner"))
+    return t.groupBy("file").agg(F.max_by("id", F.struct(F.length("path"), score, F.col("id"))).alias("owner"))
 
 
 def membership(components: DataFrame, declared: DataFrame) -> DataFrame:

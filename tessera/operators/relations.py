@@ -51,6 +51,16 @@ def statements(test: str | None = None) -> Column:
     return F.count_distinct(place)
 
 
+def statement_counts(evidence: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Distinct statements of each key, and those of production and test code: keys, statements, production, tests.
+
+    Observations are merged by statement once, in parts before the shuffle, and then counted.
+    """
+    per = evidence.groupBy(*keys, *STATEMENT).agg(F.max(~F.col("test")).alias("_p"), F.max("test").alias("_t"))
+    n = lambda c: F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0).cast("long"))
+    return per.groupBy(*keys).agg(F.count("*").alias("statements"), n("_p").alias("production"), n("_t").alias("tests"))
+
+
 def test_code(observations: DataFrame) -> DataFrame:
     """A file is test code if all that is recorded in it is."""
     return observations.groupBy("file").agg(F.bool_and("test").alias("test_code"))

@@ -42,7 +42,7 @@ def edge_merge(spark, d):
 @query(f"WITH {EV}, {FOLD} SELECT a.n AS src, b.n AS dst, count(DISTINCT (file, line)) AS statements, count(DISTINCT (file, line)) FILTER (NOT test) AS production, count(DISTINCT (file, line)) FILTER (test) AS tests FROM ev JOIN leaf a ON a.id = src JOIN leaf b ON b.id = dst WHERE a.n <> b.n GROUP BY ALL")
 def statement_counts(spark, d):
     e = graph.rolled_up(J.evidence(spark, d), J.components(spark, d), 1)
-    return e.groupBy("src", "dst").agg(relations.statements().alias("statements"), relations.statements("production").alias("production"), relations.statements("test").alias("tests"))
+    return relations.statement_counts(e, ["src", "dst"])
 
 
 @query(f"WITH {EV} SELECT src, dst, bool_or(NOT test) AS in_production, bool_or(NOT test AND NOT type_only) AS runs FROM ev GROUP BY ALL")
@@ -103,7 +103,7 @@ def most_depended_on(spark, d):
 @query(f"WITH {EV}, {FOLD}, c AS (SELECT a.n AS src, b.n AS dst, a.r = b.r AS within, count(DISTINCT (file, line)) FILTER (NOT test) AS production, count(DISTINCT (file, line)) FILTER (test) AS tests FROM ev JOIN leaf a ON a.id = src JOIN leaf b ON b.id = dst WHERE a.n <> b.n GROUP BY ALL) SELECT src, dst, production, tests, row_number() OVER (ORDER BY within, production DESC, tests DESC, src, dst) AS place FROM c QUALIFY place <= 50")
 def dependency_ranking(spark, d):
     comp = J.components(spark, d)
-    e = graph.rolled_up(J.evidence(spark, d), comp, 1).groupBy("src", "dst").agg(relations.statements("production").alias("production"), relations.statements("test").alias("tests"))
+    e = relations.statement_counts(graph.rolled_up(J.evidence(spark, d), comp, 1), ["src", "dst"])
     root = graph.folded(comp, 0)
     e = e.join(root.select(F.col("id").alias("src"), F.col("at").alias("_a")), "src").join(root.select(F.col("id").alias("dst"), F.col("at").alias("_b")), "dst")
     order = [F.col("_a") == F.col("_b"), F.desc("production"), F.desc("tests"), F.col("src"), F.col("dst")]

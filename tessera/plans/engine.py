@@ -302,7 +302,7 @@ class Engine:
         rolled = settle(graph.rolled_up(self.evidence, self.components, depth))
         degrees = graph.dependents(rolled.where("dst not like 'ext:%'"))
         top = relations.competition_rank(degrees, "dependents").orderBy(F.desc("dependents"), F.desc("dependencies"), "id").limit(self.limits["list"])
-        pairs = rolled.groupBy("src", "dst").agg(relations.statements("production").alias("production"), relations.statements("test").alias("tests"))
+        pairs = relations.statement_counts(rolled, ["src", "dst"]).drop("statements")
         ext = rolled.where("dst like 'ext:%'").groupBy("dst").agg(F.count_distinct("src").alias("importers"), relations.statements().alias("statements"))
         shown = graph.folded(self.components, depth).select("at").distinct().join(self.components, F.col("at") == F.col("id")).select("id", "name", "kind", "path", "parent")
         return {"components": shown, "most_depended_on": top, "dependencies": pairs.where("dst not like 'ext:%'").orderBy(F.desc("production"), F.desc("tests"), "src", "dst"), "externals": ext.orderBy(F.desc("importers"), F.desc("statements"), "dst"), "languages": self.coverage(), "gaps": self.unmapped.groupBy("reason").agg(F.count_distinct(F.struct("file", "line")).alias("statements"))}
