@@ -117,12 +117,13 @@ def mixed_directions(evidence: DataFrame) -> DataFrame:
     return used.join(uses, "id").where((F.size("used") > 0) & (F.size("uses") > 0) & ~F.arrays_overlap("used", "uses")).select("id", "partners", "used", "uses")
 
 
-def check(evidence: DataFrame, components: DataFrame, rules: dict[str, DataFrame], members: DataFrame, unmapped: DataFrame | None = None) -> DataFrame:
+def check(evidence: DataFrame, components: DataFrame, rules: dict[str, DataFrame], members: DataFrame, unmapped: DataFrame | None = None, dependencies: DataFrame | None = None) -> DataFrame:
     """All findings: ordinal, kind, subject, object, detail. rules: declared and any of deny, layers, allow, required, ignore, cycle_scope.
 
-    cycle_scope has selectors; without a row every component is in scope.
+    cycle_scope has selectors; without a row every component is in scope. dependencies: src, dst that the rules are held
+    against (lookups.loaded_dependencies), else those of the evidence outside tests.
     """
-    dependencies = evidence.where("not test").select("src", "dst").distinct()
+    dependencies = (evidence.where("not test") if dependencies is None else dependencies).select("src", "dst").distinct()
     pairs = declared_pairs(dependencies, members)
     null = F.lit(None).cast("string")
     row = lambda df, kind, a, b=null, d=null: df.select(F.lit(ORDER.index(kind)).alias("ordinal"), F.lit(kind).alias("kind"), (F.col(a) if isinstance(a, str) else a).alias("subject"), (F.col(b) if isinstance(b, str) else b).alias("object"), (F.col(d) if isinstance(d, str) else d).cast("string").alias("detail"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.paths import lexical, module_path, npm_package, npm_subpath, parent, under
-from tessera.operators import barrels, definitions, graph, lookups, modules, relations, rules, settings, work
+from tessera.operators import barrels, definitions, gaps, graph, lookups, modules, relations, rules, settings, work
 from tessera.operators import history as commits
 from tessera.operators.predicates import test_file
 from tessera.session import settle
@@ -218,11 +218,12 @@ class Engine:
 
     @cached_property
     def definitions(self) -> DataFrame:
-        """Where names are defined that statements take from files of the tree: target, name, def_file, def_name, through re-exports alone."""
+        """Where names are defined that statements take from files of the tree: target, name, def_file, def_name, line, through re-exports alone; line is the target's that passes the name on."""
         asked = self.imports.where(F.col("target").isNotNull() & F.col("name").isNotNull() & (F.col("name") != definitions.WHOLE) & ~F.col("whole")).select(F.col("target").alias("file"), "name").distinct()
         scripts = definitions.exported_definitions(*script_exports(self.facts, self.imports), asked.where(F.col("file").rlike(_SCRIPT))).where("status = 'found'")
         python = definitions.bound_definitions(*python_bindings(self.facts, self.imports), asked.where(F.col("file").rlike("[.]pyi?$"))).where("status = 'through'")
-        both = scripts.select("file", "name", "def_file", "def_name").unionByName(python.select("file", "name", "def_file", "def_name"))
+        columns = ["file", "name", "def_file", "def_name", "line"]
+        both = scripts.select(columns).unionByName(python.select(columns))
         return settle(both.where("file <> def_file").withColumnRenamed("file", "target"))
 
     @cached_property
@@ -352,17 +353,40 @@ class Engine:
         changed = sources.where((F.col("file") == file) | F.startswith(F.col("file"), F.lit(file + "/")) | F.lit(file == ".")).select("file")
         passing = self.statements.where("passes_on and target is not null").select(F.col("file").alias("src"), F.col("target").alias("dst"), "line").distinct()
         loads = self.evidence.where("target is not null").select("src", F.col("target").alias("dst"), "line", "test").join(passing.withColumn("passes_on", F.lit(True)), ["src", "dst", "line"], "left").na.fill(False, ["passes_on"])
-        defined = self.statements.where("not passes_on").join(self.definitions, ["target", "name"]).where("file <> def_file").select(F.col("file").alias("src"), F.col("def_file").alias("dst"), "test", F.lit(False).alias("passes_on"))
+        defined = self.statements.where("not passes_on").join(self.definitions.drop("line"), ["target", "name"]).where("file <> def_file").select(F.col("file").alias("src"), F.col("def_file").alias("dst"), "test", F.lit(False).alias("passes_on"))
         loads = loads.select("src", "dst", "test", "passes_on").unionByName(defined).distinct()
         links, _ = barrels.passed_on(changed.select(F.lit("").alias("change"), "file"), self.statements, self.symbols.select("file", "name"))
         owners = sources.select("file", F.when(F.col("dir") == "", ".").otherwise(F.col("dir")).alias("component"), test_file(F.col("file")).alias("test"))
         return graph.impact(loads, owners, changed, links=links).orderBy("distance", "kind", "id")
 
+    @cached_property
+    def loaded(self) -> DataFrame:
+        """The evidence, and what statements take through re-exports, with the place that passes it on: what lookups.loaded_dependencies judges."""
+        null = F.lit(None)
+        own = self.evidence.select("src", "dst", "kind", "file", "line", "target", "names", "test", null.cast("string").alias("via_file"), null.cast("int").alias("via_line"))
+        through = self.statements.join(self.definitions.withColumnRenamed("line", "via_line"), ["target", "name"]).where("file <> def_file")
+        via = through.select(F.col("file").alias("src"), F.col("def_file").alias("dst"), F.lit("imports").alias("kind"), "file", "line", F.col("def_file").alias("target"), F.array("name").alias("names"), "test", F.col("target").alias("via_file"), "via_line")
+        return settle(own.unionByName(via))
+
+    def gaps(self, most: int | None = None) -> DataFrame:
+        """What may load each source file unseen (gaps.gap_lists): calls of computed names below a directory of its path, imports without a file that end in its name."""
+        f = self.facts.where("what = 'dynamic'").withColumn("test", test_file(F.col("file")))
+        head = F.coalesce("module", F.lit(""))
+        python = F.translate(F.regexp_replace(head, r"[^.]*$", ""), ".", "/")
+        script = F.when(head.rlike(r"^\.{1,2}/"), lexical(F.concat_ws("/", F.when(parent(F.col("file")) != "", parent(F.col("file"))), F.regexp_replace(head, "[^/]*$", "")))).otherwise("")
+        below = F.rtrim(F.when(F.col("file").rlike(_SCRIPT), script).otherwise(python), F.lit("/"))
+        calls = f.select(F.lit("dynamic").alias("kind"), F.coalesce(below, F.lit("")).alias("key"), "file", "line", "test", F.col("name").alias("what"))
+        like = self.unmapped.select(F.lit("named").alias("kind"), F.regexp_extract("module", r"([\w$-]+)[^\w$-]*$", 1).alias("key"), "file", "line", "test", F.col("module").alias("what"))
+        sources = self.tree.where(F.col("ext").isin(*code.READERS)).select("path", F.col("path").alias("own"), F.regexp_extract("path", r"([^/.]+)[^/]*$", 1).alias("stem"))
+        wanted = sources.select(F.col("path").alias("subject"), F.lit("dynamic").alias("kind"), F.explode(gaps.directories(F.col("path"))).alias("key"), "own")
+        wanted = wanted.unionByName(sources.select(F.col("path").alias("subject"), F.lit("named").alias("kind"), F.col("stem").alias("key"), "own"))
+        return gaps.gap_lists(calls.unionByName(like), wanted, most=most or self.limits["list"])
+
     def check(self, text: str) -> tuple[DataFrame, DataFrame]:
         """Findings and signals under rules written in TOML."""
         table, members = parse_rules(self.spark, text), None
         members = lookups.membership(self.components, table["declared"])
-        findings = rules.check(self.evidence, self.components, table, members, self.unmapped)
+        findings = rules.check(self.evidence, self.components, table, members, self.unmapped, lookups.loaded_dependencies(self.loaded))
         signals = rules.mixed_directions(graph.rolled_up(self.evidence.where("not (test or type_only) and target is not null"), self.components, 1))
         return findings.orderBy("ordinal", "subject", "object"), signals
 

@@ -61,6 +61,11 @@ TREE = {
     "takes_h.py": "from pkg import h\n",
     "below_f.py": "import takes_f\n",
     "tests/test_f.py": "from pkg import f\n",
+    "secret/key.ts": "export const key = 1;\n",
+    "lib/gate.ts": "export { key } from '../secret/key';\n",
+    "app/opens.ts": "import { key } from '../lib/gate';\nimport('./parts/' + key);\n",
+    "app/parts/one.ts": "export const one = 1;\n",
+    "app/lost.ts": "import { one } from 'nowhere/one';\n",
 }
 
 
@@ -75,6 +80,7 @@ def engine(spark, tmp_path_factory):
 
 def test_definitions_of_a_tree(engine):
     got = {(r.target, r.name): (r.def_file, r.def_name) for r in engine.definitions.collect()}
+    assert got.pop(("lib/gate.ts", "key")) == ("secret/key.ts", "key")
     assert got == {("lib/index.ts", "x"): ("lib/a.ts", "x"), ("lib/index.ts", "z"): ("lib/b.ts", "z"), ("lib/again.ts", "ex"): ("lib/a.ts", "x"), ("pkg/__init__.py", "f"): ("pkg/m.py", "f"), ("pkg/__init__.py", "h"): ("pkg/n.py", "g")}
     importers = {r.src for r in engine.query("lib/a.ts::x")["importers"].collect()}
     assert importers == {"lib/index.ts", "lib/again.ts", "app/uses_x.ts", "app/uses_ex.ts"}
@@ -87,3 +93,14 @@ def test_impact_follows_names(engine):
     got = {r.id: (r.distance, r.test) for r in engine.impact("pkg/m.py").where("kind = 'file'").collect()}
     assert got == {"pkg/m.py": (0, False), "pkg/__init__.py": (1, False), "takes_f.py": (1, False), "below_f.py": (2, False), "tests/test_f.py": (1, True)}
     assert "takes_h.py" in reach("pkg/__init__.py")
+
+
+def test_rules_see_through_re_exports(engine):
+    text = '[components]\napp = "app"\nlib = "lib"\nsecret = "secret"\n[[deny]]\nfrom = "app"\nto = "secret"\n'
+    got = {(r.subject, r.object) for r in engine.check(text)[0].where("kind = 'denied'").collect()}
+    assert got == {("app/opens.ts", "secret/key.ts")}
+
+
+def test_gaps_of_files(engine):
+    got = {(r.subject, r.kind): (r.total, [(x.file, x.line) for x in r.shown]) for r in engine.gaps().collect()}
+    assert got == {("app/parts/one.ts", "dynamic"): (1, [("app/opens.ts", 2)]), ("app/parts/one.ts", "named"): (1, [("app/lost.ts", 1)])}
