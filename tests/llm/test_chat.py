@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,28 +52,71 @@ def test_windows_give_every_turn_back_once(spark, rows):
     assert got == slow_digest(rows)
 
 
+def pieces(window):
+    """(head mark, role, text, tail mark) of a window's pieces, read without the library's reader."""
+    out, rest = [], window.text
+    while rest:
+        head = rest[:12]
+        assert head in (chat_format.START, chat_format.NEXT)
+        end, tail = min((rest.index(x), x) for x in (chat_format.END, chat_format.MORE) if x in rest)
+        role, _, text = rest[12:end].partition("\n")
+        out.append((head, role, re.sub(r"<\\(\\*)\|", r"<\1|", text), tail))
+        rest = rest[end + len(tail) :]
+    return out
+
+
+def count(text):
+    return 4 + -(-len(text) // 4)
+
+
 def test_windows_keep_budget_history_and_system(spark, rows):
-    budget, history = 300, 60
-    windows = chat_format.format_conversations(turns(spark, rows), budget=budget, history=history).collect()
-    tokens = lambda s: 4 + -(-len(s) // 4)
-    undo = lambda s: __import__("re").sub(r"<\\(\\*)\|", r"<\1|", s)
-    system = {c: x or "" for c, t, r, x in rows if r == "system" and t == 0}
+    budget, history, system = 300, 60, 40
+    windows = chat_format.format_conversations(turns(spark, rows), budget=budget, history=history, system=system).collect()
+    opening = {c: x or "" for c, t, r, x in rows if r == "system" and t == 0}
     assert len({(w.conv_id, w.window) for w in windows}) == len(windows)
+    whole = 0
     for w in windows:
-        parts = [p.removeprefix(chat_format.START).partition("\n") for p in w.text.split(chat_format.END)[:-1]]
-        assert len(parts) == w.n_repeated + w.n_new and w.text.endswith(chat_format.END)
-        sizes = [tokens(undo(x)) for *_, x in parts]
+        parts = pieces(w)
+        assert len(parts) == w.n_repeated + w.n_new
+        sizes = [count(x) for _, _, x, _ in parts]
+        assert w.n_tokens == sum(sizes) <= budget
         repeated, new = sizes[: w.n_repeated], sizes[w.n_repeated :]
-        assert w.n_new == 1 or sum(new) <= budget - history
-        if w.window > 0 and w.conv_id in system:
-            assert parts[0][0] == "system" and undo(parts[0][2]) == system[w.conv_id]
+        assert sum(new) <= budget - history - system
+        if w.window > 0 and w.conv_id in opening:
+            _, role, text, tail = parts[0]
+            assert role == "system" and repeated[0] <= system and opening[w.conv_id].startswith(text)
+            assert (text == opening[w.conv_id]) == (tail == chat_format.END) == (count(opening[w.conv_id]) <= system)
+            whole += tail == chat_format.END
             repeated = repeated[1:]
         elif w.window == 0:
             assert not repeated
         assert sum(repeated) <= history
-        masked = [w.text[m.start : m.end] for m in w.mask]
-        assert masked == [x for role, _, x in parts[w.n_repeated :] if role == "assistant"]
-    assert any(w.n_repeated > 1 for w in windows)
+        masked = [re.sub(r"<\\(\\*)\|", r"<\1|", w.text[m.start : m.end]) for m in w.mask]
+        assert masked == [x for _, role, x, _ in parts[w.n_repeated :] if role == "assistant"]
+    assert whole and any(w.n_repeated > 1 for w in windows)
+
+
+def test_long_turns_and_system_turns_are_within_the_budget(spark):
+    long = "".join(random.Random(2).choice(["<|im_end|>", "<|", "|", "😀", "é", "ab c\n"]) for _ in range(60_000))
+    rows = [(1, 0, "system", "s" * 8_000), *[(1, t, "assistant" if t % 2 else "user", f"{t} " * 500 + "x" * 400) for t in range(1, 9)], (2, 0, "user", "a"), (2, 1, "assistant", long), (2, 1, "assistant", long), (2, 2, "assistant", "b")]
+    windows = chat_format.format_conversations(turns(spark, rows))
+    assert max(w.n_tokens for w in windows.collect()) <= chat_format.BUDGET
+    for w in windows.collect():
+        assert sum(count(x) for _, _, x, _ in pieces(w)) == w.n_tokens
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat_format.digest(windows).collect()}
+    assert got == slow_digest(rows)
+
+
+def test_own_token_counts(spark):
+    """Counts of another kind, with a bound on characters that holds, and one that doesn't."""
+    rows = [(1, t, "user" if t % 2 else "assistant", "w " * 70) for t in range(6)]
+    bytes_of = lambda text: (F.octet_length(text) + 2).cast("long")
+    form = lambda most: chat_format.format_conversations(turns(spark, rows), budget=200, history=40, system=40, tokens=bytes_of, characters=most)
+    windows = form(lambda n: (n - 2) // 4)
+    assert max(w.n_tokens for w in windows.collect()) <= 200
+    assert chat_format.digest(windows).first().turns_sha256 == slow_digest(rows)[1][1]
+    with pytest.raises(Exception, match="more tokens than half the room"):
+        form(lambda n: 2 * n).collect()
 
 
 def test_long_conversations_are_placed_in_two_steps(spark):
@@ -86,6 +130,8 @@ def test_empty_and_wrong(spark):
     assert chat_format.digest(chat_format.format_conversations(turns(spark, []))).count() == 0
     with pytest.raises(ValueError):
         chat_format.format_conversations(turns(spark, []), budget=10, history=10)
+    with pytest.raises(ValueError):
+        chat_format.format_conversations(turns(spark, []), budget=400, history=100, system=300)
 
 
 def test_escape_is_undone(spark):
