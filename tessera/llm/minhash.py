@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, fresh, map_batches, own_columns, possibly_in, small_batches, texts, without, written
+from tessera.llm.common import components, flagged, fresh, map_batches, own_columns, possibly_in, small_batches, texts, written
 from tessera.llm.shingles import document_frequencies, levels, mix, weighted
 
 SIMILARITY, BANDS, ROWS = 0.8, 9, 3
@@ -77,14 +77,14 @@ def samples(hashes: np.ndarray, weights: np.ndarray, bounds: np.ndarray, count:
 
 
 def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, key (of the words, in order) and bands of every document with a word."""
+    """doc_id, th (hash of the text), key (of the words, in order) and bands of every document with a word."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)  # PLACES numbers
 
     def make():
         from tessera.llm.shingles import numbered_words
 
         def run(batch: pa.RecordBatch) -> dict:
-            ids, keys, bands = [], [], []
+            ids, ths, keys, bands = [], [], [], []
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 own = part.column("text")
@@ -101,14 +101,16 @@ def signatures(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                 band = np.zeros(drawn.shape[:2], np.uint64)
                 for k in range(ROWS):
                     band = mix(band * np.uint64(0x9E3779B97F4A7C15) + drawn[:, :, k] + np.uint64(k + 1))
-                ids += part.column("doc_id").take(pa.array(with_words)).to_pylist()
+                there = pa.array(with_words)
+                ids += part.column("doc_id").take(there).to_pylist()
+                ths += part.column("th").take(there).to_pylist()
                 keys += [a.tobytes() + b.tobytes() for a, b in zip(*both, strict=True)]
                 bands += list(band.view(np.int64)[with_words])
-            return {"doc_id": ids, "key": keys, "bands": bands}
+            return {"doc_id": ids, "th": ths, "key": keys, "bands": bands}
 
         return run
 
-    return map_batches(texts(docs), make, "doc_id long, key binary, bands array<long>")
+    return map_batches(texts(docs).withColumn("th", F.xxhash64("text")), make, "doc_id long, th long, key binary, bands array<long>")
 
 
 def similarities(first: pa.Array, second: pa.Array, idf: np.ndarray) -> np.ndarray:
@@ -130,49 +132,73 @@ def _jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndarray) ->
     return least / (float(wa.sum(dtype=np.float64)) + float(wb.sum(dtype=np.float64)) - least)
 
 
-def classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and class_id, the least doc_id that is joined to the document by a chain of near copies.
+def _grouped(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Two tables: doc_id, th and key of every document with words, and key, first (doc_id and th) of what is joined to the texts of that key.
 
-    One row per input row. A null or wordless text is in no class but its own, and so is a row with a null doc_id
-    (class_id null); rows with one doc_id are of one class. Other columns play no part; an empty table gives an empty
-    one. Words are runs of letters, digits and underscores in lower case; texts of equal words are copies.
+    Texts are told apart by key, not by doc_id, so that rows with one doc_id and different texts keep all their links.
     """
-    docs = texts(docs)
+    docs = texts(docs).where(F.col("doc_id").isNotNull())
     idf = levels(*document_frequencies(docs))
-    signed = written(signatures(docs.where(F.col("doc_id").isNotNull()), idf), "signatures")
-    alike = signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("bands").alias("bands"))
-    reps = written(alike, "copies")
+    signed = written(signatures(docs, idf), "signatures")
+    alike = signed.groupBy("key").agg(F.min(F.struct("doc_id", "th")).alias("first"), F.min("bands").alias("bands"))
+    # A number of each distinct text, which stays once the table is written.
+    reps = written(alike.withColumn("rep", F.monotonically_increasing_id()), "copies")
     dealt = reps.select("rep", F.posexplode("bands").alias("band", "h"))
     buckets = written(dealt.groupBy("band", "h").agg(F.min("rep").alias("head"), F.count("*").alias("n")).where("n > 1"), "buckets")
     members = written(dealt.join(buckets, ["band", "h"]), "members")
     pairs = members.where("rep <> head").select("rep", "head").distinct()
-    wanted = members.select("rep").distinct()
-    bodies = written(possibly_in(docs.where(F.col("doc_id").isNotNull()), wanted).join(wanted, F.col("doc_id") == F.col("rep"), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "bodies")
+    wanted = written(reps.select("rep", "first.doc_id", "first.th").join(members.select("rep").distinct(), "rep", "left_semi"), "wanted")
+    found = possibly_in(docs, wanted.select("doc_id")).withColumn("th", F.xxhash64("text"))
+    bodies = written(found.join(wanted, ["doc_id", "th"]).groupBy("rep").agg(F.min("text").alias("text")), "bodies")
     measured = written(_measured(pairs, bodies, idf), "measured")
     links = measured.where(F.col("similarity") >= similarity)
     joined = components(links.select(F.col("rep").alias("a"), F.col("head").alias("b")))
     more = written(_between(members, measured, joined, bodies, idf, similarity), "more")
     every = links.select(F.col("rep").alias("a"), F.col("head").alias("b")).unionByName(more)
     last = components(every) if not more.isEmpty() else joined
-    of_rep = reps.select("key", "rep").join(last, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("class"))
-    named = signed.select("doc_id", "key").join(of_rep, "key").groupBy("doc_id").agg(F.min("class").alias("class"))
-    return docs.select("doc_id").join(named, "doc_id", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
+    of_rep = written(reps.select("key", "first", "rep").join(last, F.col("rep") == F.col("node"), "left").select("key", "first", "component"), "grouped")
+    firsts = of_rep.where("component is not null").groupBy("component").agg(F.min("first").alias("least"))
+    return signed.select("doc_id", "th", "key"), of_rep.join(firsts, "component", "left").select("key", F.coalesce("least", "first").alias("first"))
+
+
+def classes(docs: DataFrame, *, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id and class_id, the least doc_id that is joined to the document by a chain of near copies.
+
+    One row per input row. A null or wordless text is in no class but its own, and so is a row with a null doc_id
+    (class_id null). Rows with one doc_id are one document: where their texts differ, the copies of each are of one
+    class. Other columns play no part; an empty table gives an empty one. Words are runs of letters, digits and
+    underscores in lower case; texts of equal words are copies.
+    """
+    signed, grouped = _grouped(docs, similarity)
+    rows = written(signed.join(grouped, "key").select("doc_id", F.col("first.doc_id").alias("class")), "rows")
+    named = rows.groupBy("doc_id").agg(F.min("class").alias("class"), F.max("class").alias("other"))
+    # Classes that meet in one doc_id are one.
+    several = named.where("class < other").select("doc_id", F.col("class").alias("a"))
+    met = components(rows.join(several, "doc_id").select("a", F.col("class").alias("b")).distinct())
+    of = named.join(met, F.col("class") == F.col("node"), "left").select("doc_id", F.coalesce("component", "class").alias("class"))
+    return texts(docs).select("doc_id").join(of, "doc_id", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without all but the first (by doc_id) of each class, with all their columns, whatever their names.
+    """The documents without all but the first of each group of near copies, with all their columns, whatever their names.
 
-    Of rows with one doc_id one stays, the least by text. Rows with a null doc_id or without words stay.
+    The first is that of the least doc_id (and, among texts of one doc_id, hash). Texts that have no copy stay, also
+    where another row has their doc_id; of rows equal in doc_id and text one stays. Rows with a null doc_id or without
+    words stay. An empty table gives an empty one.
     """
-    told = written(classes(docs), "classes")
-    kept = without(docs, told.where("doc_id <> class_id").select("doc_id").distinct())
-    twice = told.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id")
-    if twice.isEmpty():
-        return kept
-    (row,) = fresh(docs, "row")
-    again = kept.join(twice.select(F.col("doc_id").alias(row)), F.col("doc_id") == F.col(row), "left_semi")
-    least = again.groupBy("doc_id").agg(F.min_by(F.struct(*own_columns(docs)), F.coalesce("text", F.lit(""))).alias(row)).select(f"{row}.*")
-    return without(kept, twice).unionByName(least)
+    signed, grouped = _grouped(docs, SIMILARITY)
+    told = signed.groupBy("doc_id", "th", "key").agg(F.count("*").alias("rows")).join(grouped, "key")
+    told = told.select("doc_id", "th", "rows", ((F.col("first.doc_id") != F.col("doc_id")) | (F.col("first.th") != F.col("th"))).alias("goes")).where("goes or rows > 1")
+    told = written(told, "told")
+    th, own_id, own_th, goes, row = fresh(docs, "th", "own_id", "own_th", "goes", "row")
+    rows, maybe = flagged(docs, told.select("doc_id"))
+    named = told.select(F.col("doc_id").alias(own_id), F.col("th").alias(own_th), F.col("goes").alias(goes))
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias(th)
+    touched = rows.where(maybe).select(*own_columns(docs), text)
+    touched = touched.join(named, (F.col("doc_id") == F.col(own_id)) & (F.col(th) == F.col(own_th)), "left").where(F.col(goes).isNull() | ~F.col(goes))
+    untouched = rows.where(f"not {maybe}").select(*own_columns(docs)).unionByName(touched.where(F.col(goes).isNull()).select(*own_columns(docs)))
+    again = touched.where(F.col(goes).isNotNull()).groupBy(own_id, own_th).agg(F.first(F.struct(*own_columns(docs))).alias(row))
+    return untouched.unionByName(again.select(f"{row}.*"))
 
 
 def _measured(pairs: DataFrame, bodies: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -186,7 +212,7 @@ def _measured(pairs: DataFrame, bodies: DataFrame, idf: np.ndarray) -> DataFrame
 
         return run
 
-    a, b = bodies.select(F.col("doc_id").alias("rep"), F.col("text").alias("a")), bodies.select(F.col("doc_id").alias("head"), F.col("text").alias("b"))
+    a, b = bodies.select("rep", F.col("text").alias("a")), bodies.select(F.col("rep").alias("head"), F.col("text").alias("b"))
     return map_batches(pairs.join(a, "rep").join(b, "head").select("rep", "head", "a", "b"), make, "rep long, head long, similarity double")
 
 
@@ -216,7 +242,7 @@ def _apart(rows: DataFrame, bodies: DataFrame, idf: np.ndarray, similarity: floa
     dealt = rows.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     # Part i meets part j in block (i, j), i <= j; a bucket of one part is one block.
     dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0, parts - 1)"))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    with_text = dealt.join(bodies, dealt.rep == bodies.doc_id).select("band", "h", "i", "j", "rep", "d", "c", "text")
+    with_text = dealt.join(bodies, "rep").select("band", "h", "i", "j", "rep", "d", "c", "text")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["c", "rep"])

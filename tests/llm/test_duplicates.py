@@ -323,6 +323,21 @@ def test_large_buckets_in_parts(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in minhash.classes(docs).collect()} == slow_classes(rows)
 
 
+def test_ids_that_repeat_with_other_texts(spark):
+    """No link is lost where rows share a doc_id, and no text goes that has no copy."""
+    rnd = random.Random(12)
+    a, b, c, d, e = (words(rnd, 120) for _ in range(5))
+    near = lambda t, k: " ".join([f"other{k}", *t.split()[1:]])
+    rows = [(1, a), (1, b), (2, near(b, 2)), (3, near(a, 3)), (5, c), (5, near(a, 5)), (7, near(c, 7)), (8, d), (8, e), (9, near(e, 9)), (9, near(e, 9)), (10, words(rnd, 50)), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.defaultdict(set)
+    for r in minhash.classes(docs).collect():
+        got[r.doc_id].add(r.class_id)
+    assert got == {1: {1}, 2: {1}, 3: {1}, 5: {1}, 7: {1}, 8: {8}, 9: {8}, 10: {10}, None: {None}}
+    kept = minhash.one_of_each(docs).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, a), (1, a), (1, b), (5, c), (8, d), (8, e), (10, rows[11][1])])
+
+
 def test_odd_near_copies(spark):
     got = collections.defaultdict(set)
     for r in minhash.classes(odd(spark)).collect():
