@@ -74,7 +74,7 @@ def patterns(text: str) -> dict[str, list[tuple[int, int]]]:
 def shape(token: str) -> tuple[str, ...]:
     """Features of a token: its runs of character classes, its length, its mixture."""
     runs, last, changes = [], "", 0
-    for c in token[:64]:
+    for c in token:
         kind = "d" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c
         if kind != last:
             runs.append(kind)
@@ -84,8 +84,8 @@ def shape(token: str) -> tuple[str, ...]:
     letters, digits = any(c.isalpha() for c in token), any(c.isdigit() for c in token)
     mixed = letters and digits
     hexed = mixed and all(c in "0123456789abcdef" for c in token)
-    rough = max(map(len, _VOWELS.split(token[:64])))
-    odd = sum(c in "JKQXZWV" for c in token[:64]) * 4 // max(1, min(64, len(token)))
+    rough = max(map(len, _VOWELS.split(token)))
+    odd = sum(c in "JKQXZWV" for c in token) * 4 // max(1, len(token))
     return (f"rough={min(rough, 7)},{size},{runs[0]}", f"odd={odd},{size},{min(rough, 5)}", f"runs={''.join(runs[:4])}", f"size={size}", f"mixed={mixed},{size}", f"hex={hexed},{size}", f"changes={min(changes, 8)},{size}", f"upper={mixed and not any(c.islower() for c in token)},{size}")
 
 
