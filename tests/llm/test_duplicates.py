@@ -77,7 +77,7 @@ def distance(a, b):
 
 
 def alike(x, y):
-    if max(len(x), len(y)) > line_dedup.CHARACTERS:
+    if max(len(x), len(y)) > 200 and all(len(z) < 15 * len(z.split(" ")) for z in (x, y)):
         x, y = x.split(" "), y.split(" ")
     most = int(max(len(x), len(y)) * 0.2 + 1e-9)
     return abs(len(x) - len(y)) <= most and distance(x, y) <= most
@@ -178,6 +178,45 @@ def test_recall_in_crowded_buckets(spark):
     assert len(found) >= 0.95 * len(gone), (len(found), len(gone))
 
 
+def test_large_buckets_are_whole(spark):
+    """Hundreds of lines of few beginnings and ends: what agrees in two blocks and is alike is linked, by words and by characters."""
+    rows = crowded(21, 130, 4, 0.16)
+    rnd = random.Random(22)
+    letters = lambda n: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    head = " ".join(letters(4) for _ in range(14))
+    for k in range(100):
+        line = head + "".join(f" {letters(9)}" for _ in range(5))
+        rows += [(len(rows), line), (len(rows) + 1, line[:80] + "".join("z" if rnd.random() < 0.2 else x for x in line[80:]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    made = {r.t: [r.p >> 2 * i & line_dedup.PLACES for i in range(4)] + [r.q >> 2 * i & line_dedup.PLACES for i in range(2)] for r in line_dedup.lines(df).collect()}
+    sizes, u = collections.Counter(), Union()
+    for t, blocks in made.items():
+        sizes.update((i, j, blocks[i], blocks[j]) for i, j in itertools.combinations(range(6), 2))
+    assert max(sizes.values()) > 2 * line_dedup.SMALL
+    for x, y in itertools.combinations(sorted(made), 2):
+        if sum(a == b for a, b in zip(made[x], made[y], strict=True)) >= 2 and alike(x, y):
+            u.join(x, y)
+    seen, want = set(), {}
+    for d, t in rows:
+        want[d] = "" if u.find(norm(t)) in seen else t
+        seen.add(u.find(norm(t)))
+    got = {r.doc_id: r.text for r in line_dedup.dedupe_lines(df).collect()}
+    assert sum(t == "" for t in want.values()) > 200
+    assert got == want
+
+
+def test_long_lines_without_spaces(spark):
+    """By characters at any length; with words, by words."""
+    rnd = random.Random(23)
+    sign = lambda: chr(rnd.randrange(0x4E00, 0x9000))
+    rows = []
+    for n in (100, 300, 3000):
+        line = [sign() for _ in range(n)]
+        rows += [(len(rows), "".join(line)), (len(rows) + 1, "".join([*line[:50], sign(), *line[51:]])), (len(rows) + 2, "".join(line[: n // 2] + [sign() for _ in range(n // 2)]))]
+    got = {r.doc_id: r.text for r in line_dedup.dedupe_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == slow_lines(rows) == {d: "" if d % 3 == 1 else t for d, t in rows}
+
+
 def test_numbers_count_as_text(spark):
     rnd = random.Random(9)
     rows = [(k, f"In the year {rnd.randrange(1000, 3000)} the town had {rnd.randrange(10 ** rnd.randint(1, 6))} schools.") for k in range(60)]
