@@ -205,6 +205,30 @@ def test_large_buckets_are_whole(spark):
     assert got == want
 
 
+def test_unlike_lines_seldom_share_a_block(spark):
+    """Blocks of two, four and eight words: lines without a word in common agree in about one case of 2^16."""
+    rnd = random.Random(31)
+    for n in (15, 30, 60):
+        rows = [(k, " ".join(f"{rnd.getrandbits(40):x}" for _ in range(n))) for k in range(1200)]
+        made = line_dedup.lines(spark.createDataFrame(rows, "doc_id long, text string")).select("p", "q").collect()
+        shared = sum(k * (k - 1) // 2 for x, i in [("p", i) for i in range(4)] + [("q", i) for i in range(2)] for k in collections.Counter(r[x] >> 2 * i & line_dedup.PLACES for r in made).values())
+        assert shared < 2 * 6 * (1200 * 1199 // 2) / 2**16, (n, shared)
+
+
+def test_scratch_tables_are_deleted(spark):
+    """What stays is what the result still reads: not the lines, their keys or the rounds of components."""
+    import pathlib
+
+    from tessera.session import shared_folder
+
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file:"))
+    before = {x.name for x in folder.iterdir()}
+    df = spark.createDataFrame(crowded(33, 20, 3, 0.06), "doc_id long, text string")
+    out = line_dedup.dedupe_lines(df)
+    stay = {x.name.rpartition("-")[0] for x in folder.iterdir() if x.name not in before}
+    assert stay <= {"edges", "gone"} and out.count() == 60
+
+
 def test_long_lines_without_spaces(spark):
     """By characters at any length; with words, by words."""
     rnd = random.Random(23)
