@@ -205,6 +205,30 @@ def test_large_buckets_are_whole(spark):
     assert got == want
 
 
+def test_a_shared_passage_makes_few_pairs(spark, monkeypatch):
+    """Long lines of one bucket, half of each a passage that all share: pairs are of what is like beside it, and none is lost."""
+    rnd = random.Random(41)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    passage, rows = " ".join(word() for _ in range(40)), []
+    for k in range(150):
+        own = [word() for _ in range(30)]
+        rows.append((k, " ".join([*own, passage])))
+        if k % 5 == 0:  # edits over the whole beginning, so that the passage's blocks alone agree
+            rows.append((1000 + k, " ".join([*[word() if i % 4 == 1 else w for i, w in enumerate(own)], passage])))
+    made, real = {}, line_dedup.written
+
+    def counted(df, name):
+        out = real(df, name)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", counted)
+    want = slow_lines(rows)
+    got = {r.doc_id: r.text for r in line_dedup.dedupe_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and sum(t == "" for t in want.values()) == 30
+    assert made["apart"] < 300, made
+
+
 def test_unlike_lines_seldom_share_a_block(spark):
     """Blocks of two, four and eight words: lines without a word in common agree in about one case of 2^16."""
     rnd = random.Random(31)
