@@ -4,14 +4,16 @@ import collections
 import hashlib
 import itertools
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from tessera.llm import line_dedup, minhash, shingles, suffix_array
-from tessera.llm.common import components, possibly_in, without
+from tessera.llm.common import components, possibly_in, without, written
 
 from .helpers import ODD, SMALL, empty, odd, words
 
@@ -253,6 +255,32 @@ def test_scratch_tables_are_deleted(spark):
     assert stay <= {"edges", "gone"} and out.count() == 60
 
 
+def test_keys_in_passes(spark, monkeypatch, tmp_path):
+    """Buckets are the same however many passes deal them out, and none of a pass's keys are exchanged with another's."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    distinct = line_dedup.lines(docs).groupBy("h1").agg(*[F.min(c).alias(c) for c in ("n", "p", "q")]).cache()
+    rows = lambda: sorted(map(tuple, line_dedup._shared(distinct).select("key", "h1", "low").collect()))
+    whole, made = rows(), []
+    monkeypatch.setattr(line_dedup, "KEYS", 15 * distinct.count() // 4)
+    monkeypatch.setattr(line_dedup, "written", lambda df, name: made.append(name) or written(df, name))
+    assert rows() == whole and len(whole) > 100 and made == ["heads", "shared"] * 5
+    distinct.unpersist()
+
+
+def test_tables_leave_no_shuffle_files(spark):
+    """What a table's write exchanged is deleted with the write, before the driver collects garbage."""
+    blocks = lambda: {str(i) for i in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllBlocks()) if i.isShuffle()}
+    before = blocks()
+    df = spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count()
+    told = written(df, "told")
+    for _ in range(50):  # files go in the background
+        if not blocks() - before:
+            break
+        time.sleep(0.1)
+    assert not blocks() - before
+    assert told.count() == df.count() == 10
+
+
 def test_long_lines_without_spaces(spark):
     """By characters at any length; with words, by words."""
     rnd = random.Random(23)
