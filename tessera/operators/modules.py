@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.paths import lexical, parent
 from tessera.operators.definitions import HOPS, exported_definitions
-from tessera.session import gathered, settle
+from tessera.session import cut, discard, gathered, stored, unseen
 
 _SEP = "::"
 
@@ -43,7 +43,7 @@ def glob_definitions(items: DataFrame, uses: DataFrame, globs: DataFrame, asked:
     told = told.select("*", seen_from).where("_open or public").select(_key(F.col("_open"), F.col("module")).alias("file"), "name", F.struct("rank", "line", "kind", "target", "inner").alias("x"))
     exports = told.groupBy("file", "name").agg(F.min("x").alias("x")).select("file", "name", "x.kind", "x.target", "x.inner", "x.line", F.lit(False).alias("type_only"))
     stars = globs.where("module <> target").select("*", seen_from).where("_open or public").select(_key(F.col("_open"), F.col("module")).alias("file"), _key(sees(F.col("module"), F.col("target")), F.col("target")).alias("target"), "line", F.lit(False).alias("type_only"))
-    wanted = settle(asked.select("from", "module", "name").distinct().withColumn("file", _key(sees(F.col("from"), F.col("module")), F.col("module"))))
+    wanted = stored(asked.select("from", "module", "name").distinct().withColumn("file", _key(sees(F.col("from"), F.col("module")), F.col("module"))))
     found = exported_definitions(exports, stars, wanted.select("file", "name"), hops=hops, unstarred="")
     part = lambda k: F.substring_index("def_file", "\0", k)
     return wanted.join(found, ["file", "name"]).select("from", "module", "name", "status", part(1).alias("def_module"), part(-1).alias("def_name"), (F.col("hops") - 1).alias("hops"))
@@ -62,14 +62,14 @@ def forest(roots: DataFrame, declared: DataFrame, inline: DataFrame, files: Data
     reached, ties to the least module and line. Refused: crate, module, line, file of the others (file null: there is none).
     """
     path = F.col("path")
-    known = settle(files.select("path").distinct())
+    known = stored(files.select("path").distinct())
     down = F.regexp_replace("file", r"\.rs$", "")
     beside = F.col("file").rlike(r"(^|/)mod\.rs$")
     under = lambda folder, *more: F.concat_ws("/", F.when(folder != "", folder), *more)
-    d = settle(declared.select("file", "inside", "name", F.col("line").cast("int").alias("line"), "path"))
-    w = settle(inline.select("file", "inside", "name").distinct())
+    d = stored(declared.select("file", "inside", "name", F.col("line").cast("int").alias("line"), "path"))
+    w = stored(inline.select("file", "inside", "name").distinct())
     fresh = roots.groupBy("crate").agg(F.min("file").alias("file")).select("crate", F.lit("").alias("module"), "file", F.lit("").alias("inside"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("int").alias("line"), parent(F.col("file")).alias("folder"))
-    seen = fresh = settle(fresh)
+    seen = fresh = stored(fresh)
     refused = None
     for i in count():
         if fresh.isEmpty():
@@ -83,17 +83,20 @@ def forest(roots: DataFrame, declared: DataFrame, inline: DataFrame, files: Data
         ways = F.when(path.isNotNull(), F.array(lexical(under(home, "path")))).otherwise(F.array(under(F.col("folder"), F.concat("name", F.lit(".rs"))), under(F.col("folder"), "name", F.lit("mod.rs"))))
         wants = wants.select("crate", child.alias("module"), F.col("module").alias("parent"), "line", F.posexplode(ways).alias("rank", "path"))
         found = wants.join(known.withColumn("_there", F.lit(True)), "path", "left").groupBy("crate", "module", "parent", "line").agg(F.min(F.when(F.col("_there"), F.struct("rank", "path"))).alias("x"))
-        claims = found.select("crate", "module", "parent", "line", F.col("x.path").alias("file"))
+        claims = stored(found.select("crate", "module", "parent", "line", F.col("x.path").alias("file")))
         # Of a module's declarations the first counts, of a file's claims the least; what an earlier round took stays.
-        taken = seen.select("crate", "file", F.lit(True).alias("_taken")).distinct()
+        taken = cut(seen.select("crate", "file", F.lit(True).alias("_taken")), claims, ["crate", "file"]).distinct()
         claim = F.struct("module", "line")
         mine = claims.where("file is not null").groupBy("crate", "file").agg(F.min(claim).alias("first"))
-        won = settle(claims.join(mine, ["crate", "file"], "left").join(taken, ["crate", "file"], "left").withColumn("won", (F.col("first") == claim) & F.col("_taken").isNull()).select("crate", "module", "parent", "line", "file", F.coalesce("won", F.lit(False)).alias("won")))
+        won = stored(claims.join(mine, ["crate", "file"], "left").join(taken, ["crate", "file"], "left").withColumn("won", (F.col("first") == claim) & F.col("_taken").isNull()).select("crate", "module", "parent", "line", "file", F.coalesce("won", F.lit(False)).alias("won")))
+        discard(claims)
         folder = F.when(beside, parent(F.col("file"))).otherwise(down)
         loaded = won.where("won").select("crate", "module", "file", F.lit("").alias("inside"), "parent", "line", folder.alias("folder"))
         new = within.unionByName(loaded).groupBy("crate", "module").agg(F.min(F.struct("line", "file", "inside", "parent", "folder")).alias("x")).select("crate", "module", "x.file", "x.inside", "x.parent", "x.line", "x.folder")
         lost = won.where("not won").select("crate", "module", "line", "file")
         refused = lost if refused is None else refused.unionByName(lost)
-        fresh = settle(new.join(seen.select("crate", "module"), ["crate", "module"], "left_anti"))
+        new = stored(new)
+        fresh = stored(unseen(new, seen.select("crate", "module"), ["crate", "module"]))
+        discard(new)
         seen = gathered(seen, fresh, i)
     raise AssertionError
