@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.definitions import WHOLE
-from tessera.session import gathered, settle
+from tessera.session import cut, discard, gathered, stored, unseen
 
 #: How a barrel passes a name of the changed files on: by that name; perhaps, through stars; whatever it does not define.
 EXACT, POSSIBLE, ANY = "exact", "possible", "any"
@@ -28,16 +28,17 @@ def exports_of(changed: DataFrame, statements: DataFrame, symbols: DataFrame, *,
     Names they define, pass on by name and that some statement takes from them, and the same of the files that they
     pass on whole. A null name with open says that one of them passes on what is outside of the scan.
     """
-    s = settle(statements.select("file", "target", "name", F.coalesce("alias", "name").alias("as"), "passes_on"))
-    seen = fresh = settle(changed.select("change", "file").distinct())
+    s = stored(statements.select("file", "target", "name", F.coalesce("alias", "name").alias("as"), "passes_on"))
+    seen = fresh = stored(changed.select("change", "file").distinct())
     whole = s.where("passes_on and target is not null").where(F.col("name") == WHOLE).where(F.col("as") == WHOLE).select("file", "target").distinct()
     for i in range(bound + 1):
         if fresh.isEmpty():
             break
         if i == bound:
             raise RuntimeError(f"no fix-point after {bound} rounds")
-        step = fresh.join(whole, "file").select("change", F.col("target").alias("file")).distinct()
-        fresh = settle(step.join(seen, ["change", "file"], "left_anti"))
+        step = stored(fresh.join(whole, "file").select("change", F.col("target").alias("file")).distinct())
+        fresh = stored(unseen(step, seen, ["change", "file"]))
+        discard(step)
         seen = gathered(seen, fresh, i)
     own = symbols.select("file", "name")
     taken = s.where("target is not null").select(F.col("target").alias("file"), "name")
@@ -57,16 +58,20 @@ def passed_on(changed: DataFrame, statements: DataFrame, symbols: DataFrame, *,
     export it, and the barrel neither defines it nor passes it on by name from elsewhere. Changed files are no barrels.
     """
     s = statements.select("file", "line", "target", "name", "alias", "passes_on", "test", F.coalesce("found", F.lit(False)).alias("found")).where("target is not null and file <> target")
-    s = settle(s)
-    exported = settle(exports_of(changed, statements, symbols, bound=bound))
+    s = stored(s)
+    exported = stored(exports_of(changed, statements, symbols, bound=bound))
     names, open_ = exported.where("not open").select("change", F.col("name").alias("_e")), exported.where("open").select("change", F.lit(True).alias("_open")).distinct()
     # Names that a barrel's stars can't give: its own, and what it takes by name to pass on.
     shut = symbols.select("file", "name").unionByName(s.where("passes_on").where(F.col("name") != WHOLE).select("file", "name")).distinct()
-    own = changed.select("change", "file").distinct()
+    own = stored(changed.select("change", "file").distinct())
+    # Whether a barrel is shut for a name that a statement takes is the same in all rounds.
+    named = stored(s.where(F.col("name") != WHOLE).join(shut.select(F.col("file").alias("target"), "name", F.lit(True).alias("_shut")), ["target", "name"], "left"))
+    unnamed = stored(s.where(F.col("name").isNull() | (F.col("name") == WHOLE)).where("not (name is null and passes_on)"))
+    taken = ("change", "file", "line", "target", "name", "alias", "passes_on", "test", "found", "_shut", "how")
     outgoing = F.when(F.col("name") == WHOLE, F.col("alias")).otherwise(F.coalesce("alias", "name"))
     start = own.select("change", F.col("file").alias("target")).join(s.where("passes_on and name is not null"), "target")
     start = start.select("change", "file", F.when((F.col("name") == WHOLE) & F.col("alias").isNull(), F.lit(None)).otherwise(outgoing).alias("name"), F.when((F.col("name") == WHOLE) & F.col("alias").isNull(), ANY).otherwise(EXACT).alias("how"))
-    seen = fresh = settle(start.join(own, ["change", "file"], "left_anti").distinct())
+    seen = fresh = stored(start.join(own, ["change", "file"], "left_anti").distinct())
     links = None
     for i in range(bound + 1):
         if fresh.isEmpty():
@@ -75,28 +80,32 @@ def passed_on(changed: DataFrame, statements: DataFrame, symbols: DataFrame, *,
             raise RuntimeError(f"no fix-point after {bound} rounds")
         state = fresh.select("change", F.col("file").alias("target"), F.col("name").alias("_name"), "how")
         # By name: a name passed on as such, a possible one, or one that may be among any; whole, or loading alone.
-        named = s.where(F.col("name") != WHOLE)
-        met = state.where("how <> 'any'").withColumnRenamed("_name", "name").join(named, ["target", "name"]).select("change", "file", "line", "target", "name", "alias", "passes_on", "test", "found", "how")
+        met = state.where("how <> 'any'").withColumnRenamed("_name", "name").join(named, ["target", "name"]).select(*taken)
         # What stars may give of the names that are taken from the barrel by name.
         any_ = state.where("how = 'any'").select("change", "target", F.lit(ANY).alias("how"))
         loose = state.join(open_, "change").select("change", "target", F.lit("open").alias("how")).distinct()
-        met = met.unionByName(any_.unionByName(loose).join(named, "target").select("change", "file", "line", "target", "name", "alias", "passes_on", "test", "found", "how"))
-        met = met.join(shut.select(F.col("file").alias("target"), "name", F.lit(True).alias("_shut")), ["target", "name"], "left")
-        met = met.join(names.select("change", F.col("_e").alias("name"), F.lit(True).alias("_theirs")), ["change", "name"], "left")
+        met = met.unionByName(any_.unionByName(loose).join(named, "target").select(*taken))
+        read = stored(met)
+        met = read.join(cut(names.select("change", F.col("_e").alias("name"), F.lit(True).alias("_theirs")), read, ["change", "name"]), ["change", "name"], "left")
         theirs, free = F.coalesce("_theirs", F.lit(False)), F.col("_shut").isNull() & (F.col("name") != "default")
         how = F.col("how")
         keep = (how == EXACT) | ((how == POSSIBLE) & theirs & (F.col("found") | free)) | ((how == ANY) & free & theirs) | ((how == "open") & free & ~F.col("found"))
         by_name = met.where(keep).select("change", "file", "line", "target", "name", "alias", "passes_on", "test", F.when(how == EXACT, EXACT).otherwise(POSSIBLE).alias("how"), F.col("name").alias("_out"))
-        wholly = state.join(s.where(F.col("name").isNull() | (F.col("name") == WHOLE)), "target").where("not (name is null and passes_on)")
+        wholly = state.join(unnamed, "target")
         wholly = wholly.select("change", "file", "line", "target", "name", "alias", "passes_on", "test", "how", F.col("_name").alias("_out"))
-        met = settle(by_name.unionByName(wholly).join(own, ["change", "file"], "left_anti"))
+        met = stored(by_name.unionByName(wholly).join(own, ["change", "file"], "left_anti"))
+        discard(read)
         now = met.select("change", F.col("target").alias("barrel"), "file", "line", "passes_on", "test").distinct()
         links = now if links is None else links.unionByName(now)
         spaced = (F.col("name") == WHOLE) & F.col("alias").isNotNull()
         out = F.when(F.col("name") == WHOLE, F.coalesce("alias", "_out")).otherwise(F.coalesce("alias", "name"))
         step = met.where("passes_on").where(~((F.col("name") == WHOLE) & F.col("alias").isNull() & F.coalesce(F.col("_out") == "default", F.lit(False)))).select("change", "file", out.alias("name"), F.when(spaced, EXACT).otherwise(F.col("how")).alias("how")).distinct()
-        same = lambda c: step[c].eqNullSafe(seen[c])  # noqa: E731, B023
-        fresh = settle(step.join(seen, same("change") & same("file") & same("name") & same("how"), "left_anti"))
+        step = stored(step)
+        same = lambda one, two, c: one[c].eqNullSafe(two[c])
+        alike = lambda one, two: same(one, two, "change") & same(one, two, "file") & same(one, two, "name") & same(one, two, "how")
+        old = seen.join(step, alike(seen, step), "left_semi")  # as unseen, but names may be null
+        fresh = stored(step.join(old, alike(step, old), "left_anti"))
+        discard(step)
         seen = gathered(seen, fresh, i)
     if links is None:
         links = changed.sparkSession.createDataFrame([], f"change {changed.schema['change'].dataType.simpleString()}, barrel string, file string, line int, passes_on boolean, test boolean")
