@@ -2,7 +2,7 @@
 
 import os
 
-from tessera.operators import barrels, definitions, modules, settings
+from tessera.operators import barrels, definitions, graph, modules, settings
 from tessera.session import shared_folder
 
 LONG = 12
@@ -18,7 +18,9 @@ def _tables(spark):
 def _left(spark, make):
     before = _tables(spark)
     rows = make().collect()
-    return rows, len(_tables(spark) - before)
+    new = _tables(spark) - before
+    assert not [at for at in new if "/rdd-" in at], "a checkpoint"
+    return rows, len(new)
 
 
 def _chain(spark):
@@ -69,3 +71,9 @@ def test_barrels(spark):
     changed, symbols = spark.createDataFrame([("f0", "f0")], "change string, file string"), spark.createDataFrame([("f0", "a")], "file string, name string")
     links, left = _left(spark, lambda: barrels.passed_on(changed, s, symbols)[0])
     assert ("u", f"f{LONG - 1}") in {(r.file, r.barrel) for r in links} and left <= 2 * LONG + 12
+
+
+def test_strong(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("c", "d")], "src string, dst string")
+    rows, _ = _left(spark, lambda: graph.strong_components(edges))
+    assert {(r.id, r.component) for r in rows} == {("a", "a"), ("b", "a")}
